@@ -61,6 +61,7 @@ PANEL_EXPRS: dict[str, str] = {
     "value": "40 + l_partkey % 90",
     "selected": "l_partkey * 1000",
     "xp": "cast(cast(round(l_extendedprice * 100) as bigint) % 40 as double) / 8.0",
+    "customer": "o_custkey",
     "cents": "cast(round(l_extendedprice * 100) as bigint)",
 }
 
