@@ -97,8 +97,8 @@ def squad_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(squad_id, slot) rows; the bench depends on the squad, a tenth has an illegal formation."""
     part = table(spark, sf_dir, "part")
     base = part.selectExpr(
-        "cast((p_partkey - 1) div 15 as bigint) as squad_id",
-        "cast((p_partkey - 1) % 15 + 1 as bigint) as slot",
+        "cast(p_partkey div 15 as bigint) as squad_id",
+        "cast(p_partkey % 15 + 1 as bigint) as slot",
         "p_partkey as element",
         "cast(substring(p_brand, 7) as bigint) as team",
         "cast(p_size as bigint) as purchase_price",
@@ -191,7 +191,7 @@ _SL = """sl as (select *, case when slot <= 2 then 'GK' when slot <= 7 then 'DEF
       when squad_id % 3 = 0 then slot not in (2, 7, 12, 15)
       when squad_id % 3 = 1 then slot not in (2, 6, 7, 15)
       else slot not in (2, 10, 11, 12) end as in_lineup
- from (select (p_partkey - 1) // 15 as squad_id, (p_partkey - 1) % 15 + 1 as slot, p_partkey as element,
+ from (select p_partkey // 15 as squad_id, p_partkey % 15 + 1 as slot, p_partkey as element,
   substring(p_brand, 7)::bigint as team, p_size::bigint as purchase_price, round(p_retailprice * 100)::bigint as xp from part))"""
 _SQ = (
     _SL

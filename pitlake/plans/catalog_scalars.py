@@ -250,7 +250,7 @@ _AVAIL_SQL = """m as (select season, customer, gw, case when sum(minutes) < 60 t
  y as (select season, customer, gw, last_gw, max(pgw) as prev, max(case when back = 1 then pm end) as pm, max(case when back = 1 then pt end) as pt, avg(pt) as avg_t,
    max(case when pm > 0 then pgw end) as lp, least(coalesce(min(case when pm > 0 then back end) - 1, count(pgw)), 3) as z from x group by all),
  av as (select season, customer, gw, 'always_100' as strategy, 100 as cop from y
-  union all select season, customer, gw, 'consec_zero', case when prev is null then 0 when z >= 3 then 0 when z = 2 then 25 when z = 1 then 75 else 100 end from y
+  union all select season, customer, gw, 'consec_zero', case when z >= 3 then 0 when z = 2 then 25 when z = 1 then 75 else 100 end from y
   union all select season, customer, gw, 'last_gw', case when prev = last_gw then case when pm > 0 then 100 else 25 end when lp >= last_gw - 2 then 75 else 0 end from y
   union all select season, customer, gw, 'tfer_spike', case when prev = last_gw and avg_t > 0 and pt > avg_t * 3 then 25 when prev = last_gw and pm = 0 then 50 else 100 end from y
   union all select season, customer, gw, 'combined', case when prev is null or prev <> last_gw then case when lp >= last_gw - 3 then 50 else 0 end
