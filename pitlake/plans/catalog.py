@@ -1,4 +1,4 @@
 """All catalogue modules, imported for their registrations."""
 
-from . import catalog_aggs, catalog_joins, catalog_scalars, catalog_windows  # noqa: F401
+from . import catalog_aggs, catalog_evals, catalog_joins, catalog_scalars, catalog_squads, catalog_windows  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
