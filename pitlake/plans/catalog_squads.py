@@ -190,7 +190,7 @@ def i12(spark, sf):
     return Q.free_transfer_ledger(moves, "squad_id", "gw")
 
 
-@query("i13_validate_chips", """with @SQ, @CH, x as (select squad_id, gw, chip from ch union all select squad_id, gw, 'bench_boost' from ch where squad_id % 4 = 1
+@query("i13_validate_chips", """with @SQ, @CH, x as (select squad_id, gw, chip from ch union all select squad_id, gw, 'bench_boost' from ch where squad_id % 4 = 1 and chip <> 'bench_boost'
    union all select squad_id, unnest([19, 20]), 'free_hit' from ch where chip = 'free_hit' and gw = 12),
  h as (select *, gw <= 19 as h1, row_number() over () as id from x)
  select squad_id, gw, chip, list_filter([case when chip not in ('wildcard', 'free_hit', 'bench_boost', 'triple_captain') then 'unknown' end,
@@ -199,7 +199,7 @@ def i12(spark, sf):
    case when chip = 'free_hit' and gw = 20 and lag(gw) over (partition by squad_id, chip order by gw) = 19 then 'free_hit_twice' end], lambda v: v is not null) as violations from h""")
 def i13(spark, sf):
     c = chips(spark, sf)
-    extra = c.where("squad_id % 4 = 1").withColumn("chip", F.lit("bench_boost"))
+    extra = c.where("squad_id % 4 = 1 and chip <> 'bench_boost'").withColumn("chip", F.lit("bench_boost"))
     middle = c.where("chip = 'free_hit' and gw = 12").select("squad_id", F.explode(F.array(F.lit(19).cast("bigint"), F.lit(20).cast("bigint"))).alias("gw"), "chip")
     return Q.validate_chips(c.unionByName(extra).unionByName(middle), "squad_id", "gw")
 
