@@ -146,7 +146,20 @@ def i09(spark, sf):
     return Q.captain_bonus(squads(spark, sf), squad_facts(spark, sf), one_chip(spark, sf), K)
 
 
-@query("i10_auto_subs")
+_COUNT = "len(list_filter(lineup, lambda y: y.position = '{0}')) - (x.position = '{0}')::int + (sub.position = '{0}')::int"
+_AFTER = f"({_COUNT.format('GK')}) = 1 and len(lineup) = 11 and ({_COUNT.format('DEF')}) || '-' || ({_COUNT.format('MID')}) || '-' || ({_COUNT.format('FWD')}) in {_LEGAL}"
+_SUBS = f"""p0 as (select squad_id, gw, list({{'place': slot, 'slot': slot, 'position': position, 'open': not played, 'o': null::bigint}} order by slot) filter (where in_lineup) as lineup,
+   list({{'slot': slot, 'position': position, 'played': played}} order by bench_order) filter (where not in_lineup) as bench from jf group by all),
+ st as (select squad_id, gw, coalesce(lineup, []) as lineup, bench, 0 as n from p0
+   union all select squad_id, gw, case when sub.played and chosen is not null then list_transform(lineup, lambda x: case when x.place = chosen
+       then {{'place': x.place, 'slot': sub.slot, 'position': sub.position, 'open': false, 'o': x.slot}} else x end) else lineup end, bench, n + 1
+     from (select *, list_filter(lineup, lambda x: x.open and {_AFTER})[1].place as chosen from (select *, bench[n + 1] as sub from st where n < coalesce(len(bench), 0)))),
+ fin as (select squad_id, gw, unnest(lineup) as x from st where n = coalesce(len(bench), 0)),
+ fs as (select sq.* exclude (in_lineup, bench_order), fin.x.slot is not null as in_lineup, case when fin.x.slot is null then sq.bench_order end as bench_order, r.element as for_element
+   from sq left join fin on fin.squad_id = sq.squad_id and fin.gw = sq.gw and fin.x.slot = sq.slot left join sq r on r.squad_id = fin.squad_id and r.gw = fin.gw and r.slot = fin.x.o)"""
+
+
+@query("i10_auto_subs", f"with recursive @SQ, @SF, {_JF}, {_SUBS} select squad_id, gw, slot, element, in_lineup, bench_order, for_element from fs")
 def i10(spark, sf):
     out = Q.auto_subs(squads(spark, sf), squad_facts(spark, sf), K)
     return out.select(*K, "slot", "element", "in_lineup", "bench_order", "for_element")
@@ -171,7 +184,11 @@ def i11(spark, sf):
     return Q.gameweek_score(squads(spark, sf), squad_facts(spark, sf), ledger(spark, sf).select(*K, "hit"), one_chip(spark, sf), K)
 
 
-@query("i11_score_after_subs")
+_AFTER_SUBS = f"""with recursive @SQ, @SF, @CH, @TR, {_JF}, {_SUBS}, {_JF.replace("jf as", "jf2 as").replace("from sq left join", "from fs left join").replace("sq.", "fs.")},
+ {_CAP.replace("jf", "jf2")}, {_HIT}, {_SCORE.replace("from jf ", "from jf2 ")} select *, gw_points - hit as net_points from sc"""
+
+
+@query("i11_score_after_subs", _AFTER_SUBS)
 def i11b(spark, sf):
     facts = squad_facts(spark, sf)
     final = Q.auto_subs(squads(spark, sf), facts, K)
