@@ -77,21 +77,29 @@ def zero_confusion(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> Dat
     )
 
 
-def leaderboard(df: DataFrame, variant: str, value: str, ref: str, actual: str, period: Sequence[str], min_n: int = 20) -> DataFrame:
+def leaderboard(
+    df: DataFrame, variant: str, value: str, ref: str, actual: str, period: Sequence[str], base: str, min_n: int = 20
+) -> DataFrame:
     """One row of metrics per variant, plus the reference scored against itself.
 
-    ``df`` holds one row per (variant, row). The reference row is built from the first variant's rows.
+    ``df`` holds one row per (variant, row); the rows of variant ``base`` also stand for the
+    reference. Overall and per-period figures come from one pass with two grouping sets.
     """
-    first = df.agg(F.min(variant)).scalar()
-    reference = df.where(F.col(variant) == first).withColumns({variant: F.lit("reference"), value: F.col(ref).cast("double")})
-    rows = df.unionByName(reference)
-    diff = F.abs(F.col(value) - F.col(ref))
-    overall = rows.groupBy(variant).agg(
-        pearson(value, ref).alias("corr_ref"), F.avg(diff).alias("mae_ref"), pearson(value, actual).alias("corr_actual"),
+    own = F.struct(F.col(variant).alias("v"), F.col(value).cast("double").alias("x"))
+    reference = F.struct(F.lit("reference").alias("v"), F.col(ref).cast("double").alias("x"))
+    both = F.when(F.col(variant) == base, F.array(own, reference)).otherwise(F.array(own))
+    rows = df.select(*period, ref, actual, F.inline(both))
+    diff = F.abs(F.col("x") - F.col(ref))
+    cells = rows.groupingSets([["v", *period], ["v"]], "v", *period).agg(
+        F.grouping_id().alias("__level"), F.count(F.lit(1)).alias("__n"),
+        pearson("x", ref).alias("corr_ref"), F.avg(diff).alias("mae_ref"), pearson("x", actual).alias("corr_actual"),
         share(diff < 0.01).alias("exact"), share(diff <= 0.5).alias("within_05"), share(diff <= 1.0).alias("within_10"),
     )
-    return overall.join(
-        mean_period_corr(rows, period, value, actual, min_n, [variant]).select(variant, F.col("mean_corr").alias("period_corr")), variant, "left"
+    overall = F.col("__level") > 0
+    metrics = ["corr_ref", "mae_ref", "corr_actual", "exact", "within_05", "within_10"]
+    return cells.groupBy(F.col("v").alias(variant)).agg(
+        *[F.max(F.when(overall, F.col(m))).alias(m) for m in metrics],
+        F.avg(F.when(~overall & (F.col("__n") > min_n), F.col("corr_actual"))).alias("period_corr"),
     )
 
 

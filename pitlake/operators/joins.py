@@ -166,49 +166,56 @@ def repair_team(
 
 
 def name_variants(people: DataFrame, code: str, order: str, first: str, second: str, web: str) -> DataFrame:
-    """One row per (person, spelling): full, short, mixed and nick names, with their rank."""
+    """(norm, code, ord) rows: full, short, mixed and nick names of each person.
+
+    The parts are normalised once and the spellings put together from them; ``ord`` sorts by
+    person, then by spelling.
+    """
     f, s, w = [F.coalesce(F.regexp_replace(F.col(c), r"^\s+|\s+$", ""), F.lit("")) for c in (first, second, web)]
-    last = F.regexp_extract(s, r"(\S+)$", 1)
-    nick = F.regexp_extract(f, r"'([^']+)'", 1)
-    has = lambda c: c != ""
+    parts = people.select(code, F.col(order).cast("bigint").alias("__order"), f.alias("f"), s.alias("s"), w.alias("w"))
+    parts = parts.withColumns({"last": F.regexp_extract("s", r"(\S+)$", 1), "nick": F.regexp_extract("f", r"'([^']+)'", 1)})
+    parts = parts.withColumns({f"n_{c}": normalise_name(c) for c in ("f", "s", "w", "last", "nick")})
+    has = lambda c: F.col(c) != ""
+    n = lambda *cs: F.trim(F.concat_ws(" ", *[f"n_{c}" for c in cs]))
     variants = [
-        F.when(has(f) & has(s), F.concat_ws(" ", f, s)),
-        F.when(has(w), w),
-        F.when(has(f) & has(w) & (w != f), F.concat_ws(" ", f, w)),
-        F.when(has(f), f),
-        F.when(has(s) & (s != f), s),
-        F.when(has(f) & s.contains(" "), F.concat_ws(" ", f, last)),
-        F.when(has(nick), nick),
+        F.when(has("f") & has("s"), n("f", "s")),
+        F.when(has("w"), n("w")),
+        F.when(has("f") & has("w") & (F.col("w") != F.col("f")), n("f", "w")),
+        F.when(has("f"), n("f")),
+        F.when(has("s") & (F.col("s") != F.col("f")), n("s")),
+        F.when(has("f") & F.col("s").contains(" "), n("f", "last")),
+        F.when(has("nick"), n("nick")),
     ]
-    rows = people.select(F.col(code), F.col(order), F.posexplode(F.array(*variants)).alias("variant_rank", "spelling"))
-    return rows.where("spelling is not null").withColumn("norm", normalise_name("spelling")).drop("spelling")
+    rows = parts.select(code, "__order", F.posexplode(F.array(*variants)).alias("__rank", "norm"))
+    return rows.where("norm <> ''").select("norm", code, (F.col("__order") * 10 + F.col("__rank")).alias("ord"))
 
 
-def name_index(people: DataFrame, code: str, order: str, first: str, second: str, web: str) -> DataFrame:
-    """Normalised spelling -> code, the first definition (by person order, then variant) winning."""
-    rows = name_variants(people, code, order, first, second, web).where("norm <> ''")
-    ranked = rows.withColumn("ord", F.col(order).cast("decimal(30,0)") * 10 + F.col("variant_rank"))
-    return ranked.groupBy("norm").agg(F.min_by(code, "ord").alias(code), F.min("ord").alias("ord"))
+def name_index(variants: DataFrame, code: str) -> DataFrame:
+    """Normalised spelling -> code, the first definition (by person, then spelling) winning."""
+    return variants.groupBy("norm").agg(F.min_by(code, "ord").alias(code), F.min("ord").alias("ord"))
 
 
-def prefix_index(index: DataFrame, code: str, min_prefix: int = 3) -> DataFrame:
-    """Multi-word spellings with the first word shortened to ``min_prefix``.. letters, first wins."""
+def prefix_index(variants: DataFrame, code: str, min_prefix: int = 3) -> DataFrame:
+    """Spellings as they are and, behind all of those, with the first of several words shortened.
+
+    Shortened keys hold the first ``min_prefix``.. letters of the first word; an exact spelling
+    always beats a shortened one, and among equals the first definition wins.
+    """
     first = F.substring_index("norm", " ", 1)
     rest = F.substr(F.col("norm"), F.length(first) + 1)
-    longer = index.where(F.col("norm").contains(" ") & (F.length(first) > min_prefix))
-    n = F.explode(F.sequence(F.lit(min_prefix), F.length(first) - 1))
-    short = longer.select("*", n.alias("__n")).withColumn("norm", F.concat(F.substr(first, F.lit(1), F.col("__n")), rest))
-    return short.groupBy("norm").agg(F.min_by(code, "ord").alias(code))
+    shorter = F.when(
+        F.col("norm").contains(" ") & (F.length(first) > min_prefix), F.sequence(F.lit(min_prefix), F.length(first) - 1)
+    ).otherwise(F.array().cast("array<int>"))
+    later = F.lit(1 << 61)
+    exact = F.struct(F.col("norm"), F.col("ord"))
+    short = F.transform(shorter, lambda n: F.struct(F.concat(F.substr(first, F.lit(1), n), rest).alias("norm"), (F.col("ord") + later).alias("ord")))
+    keys = variants.select(code, F.inline(F.concat(F.array(exact), short)))
+    return keys.groupBy("norm").agg(F.min_by(code, "ord").alias(code))
 
 
-def match_names(probes: DataFrame, name: str, index: DataFrame, code: str, min_prefix: int = 3) -> DataFrame:
+def match_names(probes: DataFrame, name: str, variants: DataFrame, code: str, min_prefix: int = 3) -> DataFrame:
     """Probe names to codes: exact spelling first, shortened first names (several words only) second."""
-    norm = probes.withColumn("norm", normalise_name(name))
-    exact = index.select("norm", F.col(code).alias("__exact"))
-    short = prefix_index(index, code, min_prefix).select("norm", F.col(code).alias("__short"))
-    out = norm.join(exact, "norm", "left").join(short, "norm", "left")
-    fallback = F.when(F.col("norm").contains(" "), F.col("__short"))
-    return out.withColumn(code, F.coalesce("__exact", fallback)).drop("__exact", "__short")
+    return probes.withColumn("norm", normalise_name(name)).join(prefix_index(variants, code, min_prefix), "norm", "left")
 
 
 def match_full_name(probes: DataFrame, name: str, people: DataFrame, code: str, order: str, full: str, web: str) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import HIT_COST, MAX_FREE, clip, selling_price
+from ..functions.scalars import HIT_COST, MAX_FREE, selling_price
 from .scale import top_rows
 
 # Fixed values of the game.
@@ -88,32 +88,39 @@ def _line_arrays(squads: DataFrame, keys: Sequence[str], xp: str) -> DataFrame:
     )
 
 
-def _objective(arrays: dict[str, Column]) -> Column:
-    """Best (objective, formation) over the legal formations; NULL when no formation can be filled.
+def _with_best(df: DataFrame, arrays: dict[str, Column], name: str) -> DataFrame:
+    """Add ``name``: best (objective, formation) over the legal formations, NULL when none can be filled.
 
     For fixed counts the best lineup takes the top players of each position, which maximises the
-    sum and the captain's extra points at once, so eight sums replace a search.
+    sum and the captain's extra points at once, so eight sums replace a search. A position's
+    running sums are plain columns; one that needs a missing player is NULL and rules itself out.
     """
-    zero = F.lit(0).cast("bigint")
-    keeper = F.slice(arrays["GK"], 1, 1)
-    captain = F.array_max(F.flatten(F.array(*[F.slice(a, 1, 1) for a in arrays.values()])))
-
-    def total(shape: tuple[int, int, int]) -> Column:
-        picked = [keeper, *[F.slice(arrays[p], 1, n) for p, n in zip(("DEF", "MID", "FWD"), shape)]]
-        fits = F.size(arrays["GK"]) >= 1
-        for p, n in zip(("DEF", "MID", "FWD"), shape):
-            fits = fits & (F.size(arrays[p]) >= n)
-        points = F.aggregate(F.flatten(F.array(*picked)), zero, lambda a, v: a + v) + captain
-        return F.when(fits, F.struct(points.alias("objective"), F.lit("-".join(map(str, shape))).alias("formation")))
-
-    return F.array_max(F.array_compact(F.array(*[total(s) for s in FORMATIONS])))
+    own = f"__{name}_"
+    out = df.withColumns({f"{own}{p}": a for p, a in arrays.items()})
+    sums: dict[str, Column] = {f"{own}GK1": F.get(f"{own}GK", F.lit(0))}
+    for p in ("DEF", "MID", "FWD"):
+        total = F.get(f"{own}{p}", F.lit(0))
+        sums[f"{own}{p}1"] = total
+        for i in range(1, QUOTAS[p]):
+            total = total + F.get(f"{own}{p}", F.lit(i))
+            sums[f"{own}{p}{i + 1}"] = total
+    out = out.withColumns(sums)
+    c = lambda key: F.col(own + key)
+    captain = F.greatest(c("GK1"), c("DEF1"), c("MID1"), c("FWD1"))
+
+    def option(d: int, m: int, f: int) -> Column:
+        points = c("GK1") + c(f"DEF{d}") + c(f"MID{m}") + c(f"FWD{f}") + captain
+        return F.when(points.isNotNull(), F.struct(points.alias("objective"), F.lit(f"{d}-{m}-{f}").alias("formation")))
+
+    out = out.withColumn(name, F.greatest(*[option(*shape) for shape in FORMATIONS]))
+    return out.drop(*[f"{own}{p}" for p in arrays], *sums)
 
 
 def best_lineup(squads: DataFrame, keys: Sequence[str], xp: str) -> DataFrame:
     """Best lineup value (eleven starters plus the captain again) and its formation; ``xp`` is integral."""
     arrays = _line_arrays(squads, keys, xp)
-    best = _objective({p: F.col(p) for p in QUOTAS})
-    return arrays.select(*keys, best.alias("__best")).select(*keys, "__best.objective", "__best.formation")
+    best = _with_best(arrays, {p: F.col(p) for p in QUOTAS}, "best")
+    return best.select(*keys, "best.objective", "best.formation")
 
 
 def bench_order(bench: DataFrame, keys: Sequence[str], item: str, xp: str) -> DataFrame:
@@ -173,7 +180,6 @@ def best_single_transfer(
     legal = F.col("in_team").isNull() | (F.coalesce("__in_club", F.lit(0)) - freed < MAX_PER_CLUB)
     best = swaps.where(legal).groupBy(*keys, "slot", "position", "out_xp", "free").agg(F.max("in_xp").alias("in_xp"))
     arrays = _line_arrays(squads, keys, xp)
-    alternatives = arrays.join(best, keys, "left")
 
     def swapped(p: str) -> Column:
         where = F.array_position(F.col(p), F.col("out_xp")).cast("int")
@@ -181,10 +187,12 @@ def best_single_transfer(
         changed = F.sort_array(F.concat(rest, F.array("in_xp")), False)
         return F.when(F.col("position") == p, changed).otherwise(F.col(p))
 
-    before = _objective({p: F.col(p) for p in QUOTAS})["objective"]
-    after = _objective({p: swapped(p) for p in QUOTAS})["objective"]
+    arrays = _with_best(arrays, {p: F.col(p) for p in QUOTAS}, "now").withColumn("before", F.col("now.objective"))
+    alternatives = arrays.join(best, keys, "left")
+    alternatives = _with_best(alternatives, {p: swapped(p) for p in QUOTAS}, "new")
     hit = F.greatest(1 - F.col("free"), F.lit(0)) * HIT_COST
-    value = alternatives.select(*keys, before.alias("before"), F.when(F.col("slot").isNotNull(), after - hit).alias("after"))
+    after = F.when(F.col("slot").isNotNull(), F.col("new.objective") - hit)
+    value = alternatives.select(*keys, "before", after.alias("after"))
     result = value.groupBy(*keys).agg(F.max("before").alias("before"), F.max("after").alias("after"))
     objective = F.greatest("before", "after")
     return result.select(*keys, "before", objective.alias("objective"), (objective - F.col("before")).alias("gain"))

@@ -200,7 +200,7 @@ def _board_sql(corr_digits: int = 6) -> str:
 
 def board(spark, sf):
     rows = with_xp(spark, sf, grid(spark, sf).drop("total_points"))
-    return H.leaderboard(rows, "variant", "ep", "xp", "actual", P)
+    return H.leaderboard(rows, "variant", "ep", "xp", "actual", P, "A")
 
 
 @query("h07_leaderboard", f"with @PG, {_GRID_SQL}, {_XP_SQL}, {_board_sql()} select * replace (round(period_corr, 6) as period_corr) from bd")

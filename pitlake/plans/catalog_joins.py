@@ -181,7 +181,8 @@ _INDEX_SQL = f"""va as (
 
 def people(spark, sf):
     """Every sentence of every document as a person: first word, the rest, last word."""
-    parts = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", r"\.")).alias("i", "raw"))
+    # Texts differ in length by four orders of magnitude, so they are spread evenly before they multiply.
+    parts = table(spark, sf, "documents").hint("rebalance").select("doc_id", F.posexplode(F.split("text", r"\.")).alias("i", "raw"))
     s = parts.withColumn("s", F.trim(F.regexp_replace("raw", r"\s+", " "))).where("s <> ''")
     w = F.split("s", " ")
     return s.select(
@@ -191,7 +192,8 @@ def people(spark, sf):
 
 @query("c12_name_index", f"with {_PEOPLE_SQL}, {_INDEX_SQL} select norm, code from ix")
 def c12(spark, sf):
-    return J.name_index(people(spark, sf), "code", "code", "first_name", "second_name", "web_name").select("norm", "code")
+    variants = J.name_variants(people(spark, sf), "code", "code", "first_name", "second_name", "web_name")
+    return J.name_index(variants, "code").select("norm", "code")
 
 
 @query("c13_match_names", f"""with {_PEOPLE_SQL}, {_INDEX_SQL},
@@ -201,10 +203,10 @@ def c12(spark, sf):
  select probe_id, pr.norm, coalesce(ix.code, case when contains(pr.norm, ' ') then px.code end) as code from pr left join ix on ix.norm = pr.norm left join px on px.norm = pr.norm""")
 def c13(spark, sf):
     p = people(spark, sf)
-    index = J.name_index(p, "code", "code", "first_name", "second_name", "web_name")
+    variants = J.name_variants(p, "code", "code", "first_name", "second_name", "web_name")
     probes = p.select(F.col("code").alias("probe_id"), F.expr(
         "concat(substring(first_name, 1, greatest(length(first_name) - 2, 3)), ' ', second_name)").alias("probe"))
-    return J.match_names(probes, "probe", index, "code").select("probe_id", "norm", "code")
+    return J.match_names(probes, "probe", variants, "code").select("probe_id", "norm", "code")
 
 
 @query("c14_match_full_name", f"""with {_PEOPLE_SQL}, fu as (select {_NORM.format("s")} as norm, max(code) as code from pp group by 1),
