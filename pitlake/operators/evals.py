@@ -105,7 +105,7 @@ def leaderboard(
 
 def gap_closed(board: DataFrame, variant: str, baseline: str, reference: str = "reference", metric: str = "period_corr") -> DataFrame:
     """The best variant and the share of the baseline's distance to the reference it closes."""
-    tested = F.col(variant) != reference
+    tested = (F.col(variant) != reference) & F.col(metric).isNotNull()
     pick = lambda name: F.max(F.when(F.col(variant) == name, F.col(metric)))
     best = F.max(F.when(tested, F.struct(F.col(metric), F.col(variant))))
     row = board.agg(pick(reference).alias("reference"), pick(baseline).alias("baseline"), best.alias("__best"))

@@ -41,10 +41,12 @@ def scaffold(entities: DataFrame, periods: DataFrame, scope: Sequence[str]) -> D
 def asof_rolling(
     events: DataFrame, cutoffs: DataFrame, scope: Sequence[str], key: str, ts: str, tie: str,
     specs: Sequence[tuple[str, str, int]], period: str = "period", cutoff: str = "cutoff",
+    entities: DataFrame | None = None,
 ) -> DataFrame:
     """Means of the last ``n`` events strictly before each cut-off, for every key and cut-off.
 
-    ``specs`` are ``(output, column, n)``. An event belongs to the first cut-off after it. Of each
+    ``specs`` are ``(output, column, n)``; ``entities(scope.., key)`` lists who gets rows, by default all
+    keys with events, and those without get NULLs. An event belongs to the first cut-off after it. Of each
     (key, cut-off) only the newest ``max(n)`` events can matter to any cut-off, so the rest is
     dropped before the shuffle and the ordered pass sees at most that many rows per cut-off.
     """
@@ -64,7 +66,8 @@ def asof_rolling(
     rolled = newest.withColumns({out: F.avg(c).over(line.rowsBetween(-(n - 1), 0)) for out, c, n in specs})
     outs = [out for out, _, _ in specs]
     ends = rolled.where("__back = 1").select(*scope, key, F.col("__p").alias(period), F.struct(*outs).alias("__f"))
-    grid = scaffold(events.select(*scope, key), cutoffs.select(*scope, period, cutoff), scope)
+    who = events if entities is None else entities
+    grid = scaffold(who.select(*scope, key), cutoffs.select(*scope, period, cutoff), scope)
     carry = Window.partitionBy(*scope, key).orderBy(cutoff).rowsBetween(Window.unboundedPreceding, 0)
     filled = grid.join(ends, [*scope, key, period], "left").withColumn("__f", F.last("__f", ignorenulls=True).over(carry))
     return filled.select(*scope, key, period, cutoff, "__f.*")
@@ -147,12 +150,12 @@ def repair_team(
     )
     sides = df.where(F.col(team).isNotNull()).groupBy(*scope, fixture, team).agg(F.min(opponent).alias("__opp"))
     two = sides.groupBy(*scope, fixture).agg(
-        F.count(F.lit(1)).alias("__n"), F.min(F.struct(F.col(team), F.col("__opp"))).alias("lo"),
-        F.max(F.struct(F.col(team), F.col("__opp"))).alias("hi"),
+        F.count(F.lit(1)).alias("__n"), F.min(F.struct(F.col(team), F.col("__opp"))).alias("__a"),
+        F.max(F.struct(F.col(team), F.col("__opp"))).alias("__b"),
     ).where("__n = 2")
     named = two.select(*scope, fixture, F.inline(F.array(
-        F.struct(F.col(f"lo.{team}").alias(team), F.col("hi.__opp").alias("__id")),
-        F.struct(F.col(f"hi.{team}").alias(team), F.col("lo.__opp").alias("__id")),
+        F.struct(F.col(f"__a.{team}").alias(team), F.col("__b.__opp").alias("__id")),
+        F.struct(F.col(f"__b.{team}").alias(team), F.col("__a.__opp").alias("__id")),
     ))).groupBy(*scope, team).agg(F.max_by("__id", fixture).alias("__mapped"))
     ends = df.groupBy(*scope, fixture).agg(F.min(opponent).alias("__lo"), F.max(opponent).alias("__hi"))
     between = df.select(*scope, fixture, opponent).distinct().groupBy(*scope, fixture).agg(F.count(opponent).alias("__sides"))
@@ -172,18 +175,19 @@ def name_variants(people: DataFrame, code: str, order: str, first: str, second:
     person, then by spelling.
     """
     f, s, w = [F.coalesce(F.regexp_replace(F.col(c), r"^\s+|\s+$", ""), F.lit("")) for c in (first, second, web)]
-    parts = people.select(code, F.col(order).cast("bigint").alias("__order"), f.alias("f"), s.alias("s"), w.alias("w"))
-    parts = parts.withColumns({"last": F.regexp_extract("s", r"(\S+)$", 1), "nick": F.regexp_extract("f", r"'([^']+)'", 1)})
-    parts = parts.withColumns({f"n_{c}": normalise_name(c) for c in ("f", "s", "w", "last", "nick")})
-    has = lambda c: F.col(c) != ""
-    n = lambda *cs: F.trim(F.concat_ws(" ", *[f"n_{c}" for c in cs]))
+    parts = people.select(code, F.col(order).cast("bigint").alias("__order"), f.alias("__f"), s.alias("__s"), w.alias("__w"))
+    parts = parts.withColumns({"__last": F.regexp_extract("__s", r"(\S+)$", 1), "__nick": F.regexp_extract("__f", r"'([^']+)'", 1)})
+    parts = parts.withColumns({f"__n_{c}": normalise_name(f"__{c}") for c in ("f", "s", "w", "last", "nick")})
+    raw = lambda c: F.col(f"__{c}")
+    has = lambda c: raw(c) != ""
+    n = lambda *cs: F.trim(F.concat_ws(" ", *[f"__n_{c}" for c in cs]))
     variants = [
         F.when(has("f") & has("s"), n("f", "s")),
         F.when(has("w"), n("w")),
-        F.when(has("f") & has("w") & (F.col("w") != F.col("f")), n("f", "w")),
+        F.when(has("f") & has("w") & (raw("w") != raw("f")), n("f", "w")),
         F.when(has("f"), n("f")),
-        F.when(has("s") & (F.col("s") != F.col("f")), n("s")),
-        F.when(has("f") & F.col("s").contains(" "), n("f", "last")),
+        F.when(has("s") & (raw("s") != raw("f")), n("s")),
+        F.when(has("f") & raw("s").contains(" "), n("f", "last")),
         F.when(has("nick"), n("nick")),
     ]
     rows = parts.select(code, "__order", F.posexplode(F.array(*variants)).alias("__rank", "norm"))

@@ -95,7 +95,7 @@ def _with_best(df: DataFrame, arrays: dict[str, Column], name: str) -> DataFrame
     sum and the captain's extra points at once, so eight sums replace a search. A position's
     running sums are plain columns; one that needs a missing player is NULL and rules itself out.
     """
-    own = f"__{name}_"
+    own = f"{name}_"
     out = df.withColumns({f"{own}{p}": a for p, a in arrays.items()})
     sums: dict[str, Column] = {f"{own}GK1": F.get(f"{own}GK", F.lit(0))}
     for p in ("DEF", "MID", "FWD"):
@@ -119,8 +119,8 @@ def _with_best(df: DataFrame, arrays: dict[str, Column], name: str) -> DataFrame
 def best_lineup(squads: DataFrame, keys: Sequence[str], xp: str) -> DataFrame:
     """Best lineup value (eleven starters plus the captain again) and its formation; ``xp`` is integral."""
     arrays = _line_arrays(squads, keys, xp)
-    best = _with_best(arrays, {p: F.col(p) for p in QUOTAS}, "best")
-    return best.select(*keys, "best.objective", "best.formation")
+    best = _with_best(arrays, {p: F.col(p) for p in QUOTAS}, "__best")
+    return best.select(*keys, "__best.objective", "__best.formation")
 
 
 def bench_order(bench: DataFrame, keys: Sequence[str], item: str, xp: str) -> DataFrame:
@@ -187,11 +187,11 @@ def best_single_transfer(
         changed = F.sort_array(F.concat(rest, F.array("in_xp")), False)
         return F.when(F.col("position") == p, changed).otherwise(F.col(p))
 
-    arrays = _with_best(arrays, {p: F.col(p) for p in QUOTAS}, "now").withColumn("before", F.col("now.objective"))
+    arrays = _with_best(arrays, {p: F.col(p) for p in QUOTAS}, "__now").withColumn("before", F.col("__now.objective"))
     alternatives = arrays.join(best, keys, "left")
-    alternatives = _with_best(alternatives, {p: swapped(p) for p in QUOTAS}, "new")
+    alternatives = _with_best(alternatives, {p: swapped(p) for p in QUOTAS}, "__new")
     hit = F.greatest(1 - F.col("free"), F.lit(0)) * HIT_COST
-    after = F.when(F.col("slot").isNotNull(), F.col("new.objective") - hit)
+    after = F.when(F.col("slot").isNotNull(), F.col("__new.objective") - hit)
     value = alternatives.select(*keys, "before", after.alias("after"))
     result = value.groupBy(*keys).agg(F.max("before").alias("before"), F.max("after").alias("after"))
     objective = F.greatest("before", "after")
@@ -242,8 +242,8 @@ def auto_subs(squads: DataFrame, facts: DataFrame, keys: Sequence[str], period:
     )
     bench = F.struct(F.col("bench_order").alias("place"), F.col("slot"), F.col("position"), F.col("played"))
     packed = rows.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(F.col("in_lineup"), place))).alias("lineup"),
-        F.array_sort(F.collect_list(F.when(~F.col("in_lineup"), bench))).alias("bench"),
+        F.array_sort(F.collect_list(F.when(F.col("in_lineup"), place))).alias("__lineup"),
+        F.array_sort(F.collect_list(F.when(~F.col("in_lineup"), bench))).alias("__bench"),
     )
 
     def formation_after(lineup: Column, out_pos: Column, in_pos: Column) -> Column:
@@ -267,8 +267,8 @@ def auto_subs(squads: DataFrame, facts: DataFrame, keys: Sequence[str], period:
 
         return F.when(sub["played"] & chosen.isNotNull(), F.transform(lineup, replace)).otherwise(lineup)
 
-    final = packed.select(*keys, F.explode(F.aggregate("bench", F.col("lineup"), step)).alias("x"))
-    final = final.select(*keys, F.col("x.slot").alias("slot"), F.col("x.out_slot").alias("__out"))
+    final = packed.select(*keys, F.explode(F.aggregate("__bench", F.col("__lineup"), step)).alias("__x"))
+    final = final.select(*keys, F.col("__x.slot").alias("slot"), F.col("__x.out_slot").alias("__out"))
     names = squads.select(*keys, F.col("slot").alias("__out"), F.col(item).alias("for_element"))
     final = final.join(names, [*keys, "__out"], "left").withColumn("__now", F.lit(True)).drop("__out")
     out = squads.join(final, [*keys, "slot"], "left")
@@ -300,7 +300,7 @@ def free_transfer_ledger(ledger: DataFrame, squad: str, period: str, start: int
     ``ledger(squad, period, n, chip)``; a wildcard or free hit leaves the balance as it is.
     """
     moves = ledger.groupBy(squad).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(period).alias("p"), F.col("n").cast("int").alias("n"), "chip"))).alias("m")
+        F.array_sort(F.collect_list(F.struct(F.col(period).alias("p"), F.col("n").cast("int").alias("n"), "chip"))).alias("__m")
     )
     empty = F.array(F.struct(F.lit(None).cast("bigint").alias("p"), F.lit(0).alias("free"), F.lit(start).alias("next")))
 
@@ -311,8 +311,8 @@ def free_transfer_ledger(ledger: DataFrame, squad: str, period: str, start: int
         state = F.struct(move["p"].cast("bigint").alias("p"), free.alias("free"), after.alias("next"))
         return F.concat(states, F.array(state))
 
-    folded = moves.select(squad, F.explode(F.aggregate("m", empty, step)).alias("s")).where("s.p is not null")
-    return folded.select(squad, F.col("s.p").alias(period), F.col("s.free").alias("free"), F.col("s.next").alias("free_next"))
+    folded = moves.select(squad, F.explode(F.aggregate("__m", empty, step)).alias("__s")).where("__s.p is not null")
+    return folded.select(squad, F.col("__s.p").alias(period), F.col("__s.free").alias("free"), F.col("__s.next").alias("free_next"))
 
 
 def validate_chips(chips: DataFrame, squad: str, period: str) -> DataFrame:

@@ -20,8 +20,8 @@ def parse_csv_lines(df: DataFrame, line: str, schema: StructType, keep: Sequence
     """
     wide = StructType([*[StructField(f.name, StringType()) for f in schema.fields], StructField(EXTRA, StringType())])
     ddl = ", ".join(f"`{f.name}` string" for f in wide.fields)
-    parsed = df.select(*keep, F.from_csv(F.col(line), ddl, {"mode": "PERMISSIVE"}).alias("r")).where(F.col(f"r.{EXTRA}").isNull())
-    return parsed.select(*keep, *[F.col("r")[f.name].try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    parsed = df.select(*keep, F.from_csv(F.col(line), ddl, {"mode": "PERMISSIVE"}).alias("__r")).where(F.col(f"__r.{EXTRA}").isNull())
+    return parsed.select(*keep, *[F.col("__r")[f.name].try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read_csv_safe(spark: SparkSession, paths: str | Sequence[str], schema: StructType) -> DataFrame:
@@ -56,8 +56,8 @@ def _typed(item: Column, numbers: Sequence[str], default: float | None) -> list[
 
 def match_rows(df: DataFrame, keep: Sequence[str], items: str, date: str, numbers: Sequence[str]) -> DataFrame:
     """A list of all-text match records to typed rows; unreadable numbers become 0."""
-    rows = df.select(*keep, F.explode(items).alias("m"))
-    return rows.select(*keep, F.try_to_timestamp(F.col("m")[date]).alias(date), *_typed(F.col("m"), numbers, 0.0))
+    rows = df.select(*keep, F.explode(items).alias("__m"))
+    return rows.select(*keep, F.try_to_timestamp(F.col("__m")[date]).alias(date), *_typed(F.col("__m"), numbers, 0.0))
 
 
 def match_schema(date: str, numbers: Sequence[str]) -> str:

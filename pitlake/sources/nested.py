@@ -37,23 +37,23 @@ def flatten_events(df: DataFrame, json: str, bookmaker: str, market: str, keep:
 
     Of several entries with the wanted key the first counts, of repeated outcomes the last.
     """
-    e = df.select(*keep, F.from_json(json, EVENT).alias("e")).withColumn("b", _with_key(F.col("e.bookmakers"), bookmaker))
-    outcomes = _with_key(F.col("b.markets"), market)["outcomes"]
+    e = df.select(*keep, F.from_json(json, EVENT).alias("__e")).withColumn("__b", _with_key(F.col("__e.bookmakers"), bookmaker))
+    outcomes = _with_key(F.col("__b.markets"), market)["outcomes"]
 
     def price(name: Column) -> Column:
         return F.try_element_at(F.filter(outcomes, lambda o: o["name"] == name), F.lit(-1))["price"]
 
     out = e.select(
-        *keep, F.col("e.id").alias("event_id"), F.col("e.commence_time").alias("commence_time"),
-        F.col("e.home_team").alias("home_team"), F.col("e.away_team").alias("away_team"),
-        price(F.col("e.home_team")).alias("home_odds"), price(F.lit("Draw")).alias("draw_odds"),
-        price(F.col("e.away_team")).alias("away_odds"), F.coalesce("b.last_update", F.lit("")).alias("last_update"),
+        *keep, F.col("__e.id").alias("event_id"), F.col("__e.commence_time").alias("commence_time"),
+        F.col("__e.home_team").alias("home_team"), F.col("__e.away_team").alias("away_team"),
+        price(F.col("__e.home_team")).alias("home_odds"), price(F.lit("Draw")).alias("draw_odds"),
+        price(F.col("__e.away_team")).alias("away_odds"), F.coalesce("__b.last_update", F.lit("")).alias("last_update"),
     )
     return out.na.drop(subset=["home_odds", "draw_odds", "away_odds"])
 
 
 def flatten_stat_lists(df: DataFrame, json: str, keep: Sequence[str] = ()) -> DataFrame:
     """Ranked lists to one row per entry, absent fields as empty text."""
-    lists = df.select(*keep, F.explode(F.from_json(json, RANKED)["TopLists"]).alias("l"))
-    rows = lists.select(*keep, F.explode("l.StatList").alias("s"))
-    return rows.select(*keep, *[F.coalesce(F.col("s")[a], F.lit("")).alias(b) for a, b in RANKED_NAMES.items()])
+    lists = df.select(*keep, F.explode(F.from_json(json, RANKED)["TopLists"]).alias("__l"))
+    rows = lists.select(*keep, F.explode("__l.StatList").alias("__s"))
+    return rows.select(*keep, *[F.coalesce(F.col("__s")[a], F.lit("")).alias(b) for a, b in RANKED_NAMES.items()])
