@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import col_of, pearson, share
-from .scale import top_rows
+from .scale import spread_join, top_rows
 
 
 def pre_aggregate(
@@ -72,7 +72,7 @@ def schedule_flags(fixtures: DataFrame, keys: Sequence[str], sides: Sequence[str
     )
     periods = played.groupBy(season).agg(F.collect_set(period).alias("__periods"))
     grid = (
-        played.select(season, team).distinct().join(periods, season).select(season, team, F.explode("__periods").alias(period))
+        spread_join(played.select(season, team).distinct(), periods, [season], [team]).select(season, team, F.explode("__periods").alias(period))
     )
     full = grid.join(played, [season, period, team], "left").fillna(0, ["n_fixtures"])
     return full.withColumns({"is_double": F.col("n_fixtures") > 1, "is_blank": F.col("n_fixtures") == 0})
@@ -144,7 +144,7 @@ def best_column(df: DataFrame, candidates: Sequence[str], name: str, threshold:
     )
     pick = F.coalesce(*[F.when(F.col(f"__g_{c}") >= threshold, F.lit(c)) for c in candidates])
     gates = gates.select(*by, pick.alias("chosen"))
-    out = df.join(gates, list(by), "left") if by else df.withColumn("chosen", gates.select("chosen").scalar())
+    out = spread_join(df, gates, by, candidates, "left") if by else df.withColumn("chosen", gates.select("chosen").scalar())
     value = F.coalesce(*[F.when(F.col("chosen") == c, F.col(c).try_cast("double")) for c in candidates])
     return out.withColumn(name, value)
 

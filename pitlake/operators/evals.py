@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import pearson, share
 from .ranks import argmax_membership, average_rank
-from .scale import top_rows
+from .scale import spread_join, top_rows
 
 
 def error_metrics(df: DataFrame, pred: str, actual: str, by: Sequence[str] = ()) -> DataFrame:
@@ -186,6 +186,6 @@ def median_period_top(
 ) -> DataFrame:
     """Best ``k`` predictions of each scope's median period, with names."""
     mid = df.select(*scope, period).distinct().groupBy(*scope).agg(F.floor(F.percentile(period, F.lit(0.5))).alias(period))
-    rows = df.join(mid, [*scope, period], "left_semi")
+    rows = spread_join(df, mid, [*scope, period], [item], "left_semi")
     best = top_rows(rows, [*scope, period], [F.col(pred).desc(), F.col(item)], k)
     return best.join(names, item, "left")

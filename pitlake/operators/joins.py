@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.names import normalise_name
 from ..functions.stats import share
 from .aggs import two_level
-from .scale import top_rows
+from .scale import spread_join, top_rows
 from .windows import lagged_rolling
 
 
@@ -35,7 +35,8 @@ def scaffold(entities: DataFrame, periods: DataFrame, scope: Sequence[str]) -> D
     """Every entity at every period of its scope, by expanding the scope's short list of periods."""
     cols = [c for c in periods.columns if c not in scope]
     lists = periods.groupBy(*scope).agg(F.collect_set(F.struct(*cols)).alias("__periods"))
-    return entities.distinct().join(lists, list(scope)).select(*entities.columns, F.inline("__periods"))
+    names = [c for c in entities.columns if c not in scope]
+    return spread_join(entities.distinct(), lists, scope, names).select(*entities.columns, F.inline("__periods"))
 
 
 def asof_rolling(
@@ -58,7 +59,7 @@ def asof_rolling(
     later = F.filter("__cuts", lambda x: x["c"] > F.col(ts))
     cols = list(dict.fromkeys(c for _, c, _ in specs))
     placed = (
-        events.select(*scope, key, ts, tie, *cols).join(cuts, scope)
+        spread_join(events.select(*scope, key, ts, tie, *cols), cuts, scope, [key, ts])
         .withColumn("__p", F.try_element_at(later, F.lit(1))["p"]).drop("__cuts").where("__p is not null")
     )
     newest = top_rows(placed, [*scope, key, "__p"], [F.col(ts).desc(), F.col(tie).desc()], k, "__back")
@@ -161,7 +162,8 @@ def repair_team(
     between = df.select(*scope, fixture, opponent).distinct().groupBy(*scope, fixture).agg(F.count(opponent).alias("__sides"))
     ends = ends.join(between, [*scope, fixture])
     mapped_any = named.groupBy(*scope).agg(F.count(F.lit(1)).alias("__names"))
-    out = df.join(gates, scope).join(named, [*scope, team], "left").join(ends, [*scope, fixture]).join(mapped_any, scope, "left")
+    gates = gates.join(mapped_any, scope, "left")
+    out = spread_join(df, gates, scope, [fixture, opponent]).join(named, [*scope, team], "left").join(ends, [*scope, fixture])
     derived = F.when(F.col("__sides") == 2, F.when(F.col(opponent) == F.col("__lo"), F.col("__hi")).otherwise(F.col("__lo")))
     has_names = (F.col("__has") > gate) & (F.coalesce("__names", F.lit(0)) > 0)
     ids = F.when((F.col("__has") > gate) & (F.col("__num") > gate), F.col("__numeric")).when(has_names, F.col("__mapped")).otherwise(derived)
@@ -280,7 +282,7 @@ def resolve_attribute(sources: Sequence[DataFrame], scope: Sequence[str], key: S
     for t in tagged[1:]:
         rows = rows.unionByName(t)
     first = rows.groupBy(*scope).agg(F.min("source").alias("source"))
-    return rows.join(first, [*scope, "source"], "left_semi")
+    return spread_join(rows, first, [*scope, "source"], key, "left_semi")
 
 
 def attach_predictions(df: DataFrame, preds: DataFrame, on: Sequence[str], col: str = "prediction", default: float = 0.0) -> DataFrame:

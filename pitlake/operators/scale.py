@@ -14,6 +14,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "__bucket"
+SPREAD = 16
+
+
+def spread_join(
+    big: DataFrame, small: DataFrame, on: Sequence[str], salt_by: Sequence[str], how: str = "inner", spread: int = SPREAD
+) -> DataFrame:
+    """Join on a key with few or hot values without gathering a value's rows in one task.
+
+    Each value is cut into ``spread`` parts by a hash of the big side's ``salt_by`` columns, and the
+    small side is repeated for every part. Rows and results are those of the plain join, and what
+    follows is not tied to the low-cardinality key's partitioning. Where the small side proves
+    small at run time, adaptive execution broadcasts it as usual.
+    """
+    salt = F.pmod(F.xxhash64(*salt_by), F.lit(spread)).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
+    return big.withColumn("__salt", salt).join(small.withColumn("__salt", parts), [*on, "__salt"], how).drop("__salt")
 
 
 def bucketed(df: DataFrame, keys: Sequence[str], order: str, splits: int = 64) -> DataFrame:
@@ -26,7 +42,7 @@ def bucketed(df: DataFrame, keys: Sequence[str], order: str, splits: int = 64) -
     cuts = df.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(order, probs, 10 * splits)).alias("__cuts")
     )
-    joined = df.join(cuts, list(keys), "left") if keys else df.withColumn("__cuts", cuts.scalar())
+    joined = spread_join(df, cuts, keys, [order], "left") if keys else df.withColumn("__cuts", cuts.scalar())
     bucket = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(order))), F.lit(0))
     return joined.withColumn(BUCKET, bucket).drop("__cuts")
 
@@ -102,7 +118,7 @@ def value_ranks(df: DataFrame, keys: Sequence[str], col: str, splits: int = 64)
     hist = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("n_equal"))
     up = running(hist, keys, col, {"__n": ("n_equal", "sum")}, splits=splits)
     total = hist.groupBy(*keys).agg(F.sum("n_equal").alias("__all"))
-    ranked = up.join(total, keys, "left") if keys else up.withColumn("__all", total.scalar())
+    ranked = spread_join(up, total, keys, [col], "left") if keys else up.withColumn("__all", total.scalar())
     return ranked.select(
         *keys,
         col,

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import HIT_COST, MAX_FREE, selling_price
-from .scale import top_rows
+from .scale import spread_join, top_rows
 
 # Fixed values of the game.
 SQUAD_SIZE = 15
@@ -162,7 +162,7 @@ def best_single_transfer(
     short = top_rows(pool, [period, "position"], [F.col(xp).desc(), F.col(item)], top_per_pos + spare, "__place").select(
         period, "position", F.col(item).alias("in_item"), F.col("team").alias("in_team"), "price", F.col(xp).alias("in_xp")
     )
-    wanted = squads.select(*keys, "position").distinct().join(short, [period, "position"])
+    wanted = spread_join(squads.select(*keys, "position").distinct(), short, [period, "position"], [squad])
     owned = squads.select(*keys, F.col(item).alias("in_item"))
     wanted = top_rows(
         wanted.join(owned, [*keys, "in_item"], "left_anti"), [*keys, "position"], [F.col("in_xp").desc(), F.col("in_item")],
@@ -388,7 +388,7 @@ def reward(
     net: DataFrame, value: DataFrame, averages: DataFrame, keys: Sequence[str], period: str, w_rel: float = 0.1, w_val: float = 0.05
 ) -> DataFrame:
     """Net points, plus a share of the lead over the period average and of the value gained (in tens)."""
-    df = net.join(value, [*keys, period], "left").join(averages, period, "left")
+    df = spread_join(net.join(value, [*keys, period], "left"), averages, [period], keys, "left")
     relative = F.col("net") - F.coalesce("period_avg", F.lit(0.0))
     change = F.coalesce("value_change", F.lit(0)) / 10.0
     return df.withColumn("reward", F.col("net") + w_rel * relative + w_val * change)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from .scale import lag_pair, running as running_scan, top_rows
+from .scale import lag_pair, running as running_scan, spread_join, top_rows
 
 _AGG = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp, "max": F.max, "min": F.min}
 
@@ -79,7 +79,7 @@ def time_window_mean(
         "__cuts",
         lambda c: (c[period] > F.col(period)) & (F.col(ts) < c[cutoff]) & (F.col(ts) >= c[cutoff] - span),
     )
-    sent = part.join(pairs, list(scope)).withColumn("__to", F.explode(F.transform(hits, lambda c: c[period])))
+    sent = spread_join(part, pairs, scope, [key, ts]).withColumn("__to", F.explode(F.transform(hits, lambda c: c[period])))
     out = sent.groupBy(*scope, key, F.col("__to").alias(period)).agg(
         F.sum("__s").alias("__s"), F.sum("__n").alias("n_rows")
     )

@@ -260,9 +260,9 @@ def c18(spark, sf):
     own = pg.groupBy("season", "element").agg(F.max("position").alias("position"))
     dim = table(spark, sf, "supplier").selectExpr(
         "cast(1996 as bigint) as season", "s_suppkey as element", "case when s_suppkey % 2 = 0 then 'GK' else 'MID' end as position")
-    known = own.where("position is not null").groupBy("element").agg(F.max_by("position", "season").alias("position"), F.lit(1).alias("one"))
-    seasons = pg.select("season").distinct().groupBy(F.lit(1).alias("one")).agg(F.collect_set("season").alias("seasons"))
-    back = known.join(seasons, "one").select(F.explode("seasons").alias("season"), "element", "position")
+    known = own.where("position is not null").groupBy("element").agg(F.max_by("position", "season").alias("position"))
+    seasons = pg.agg(F.collect_set("season"))  # a handful of years
+    back = known.withColumn("seasons", seasons.scalar()).select(F.explode("seasons").alias("season"), "element", "position")
     return J.resolve_attribute([own, dim, back], ["season"], ["element"], "position").select("season", "element", "position", "source")
 
 

@@ -13,6 +13,8 @@ CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot join partition even where the next step needs one more shuffle for it
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -28,6 +30,13 @@ def build_session(app: str = "pitlake", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> None:
+    """Give a session made elsewhere the adaptive settings above."""
+    for key, value in CONF.items():
+        if key.startswith("spark.sql.adaptive."):
+            spark.conf.set(key, value)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
 
