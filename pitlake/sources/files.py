@@ -18,10 +18,11 @@ def parse_csv_lines(df: DataFrame, line: str, schema: StructType, keep: Sequence
 
     One overflow field behind the schema tells the two apart, since both count as malformed.
     """
-    wide = StructType([*[StructField(f.name, StringType()) for f in schema.fields], StructField(EXTRA, StringType())])
-    ddl = ", ".join(f"`{f.name}` string" for f in wide.fields)
-    parsed = df.select(*keep, F.from_csv(F.col(line), ddl, {"mode": "PERMISSIVE"}).alias("__r")).where(F.col(f"__r.{EXTRA}").isNull())
-    return parsed.select(*keep, *[F.col("__r")[f.name].try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    names = [f"__{i}" for i in range(len(schema.fields))]
+    ddl = ", ".join(f"`{c}` string" for c in [*names, EXTRA])
+    record = F.inline(F.array(F.from_csv(F.col(line), ddl, {"mode": "PERMISSIVE"})))
+    parsed = df.select(*keep, record).where(F.col(EXTRA).isNull())
+    return parsed.select(*keep, *[F.col(c).try_cast(f.dataType).alias(f.name) for c, f in zip(names, schema.fields)])
 
 
 def read_csv_safe(spark: SparkSession, paths: str | Sequence[str], schema: StructType) -> DataFrame:

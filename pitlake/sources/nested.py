@@ -37,17 +37,19 @@ def flatten_events(df: DataFrame, json: str, bookmaker: str, market: str, keep:
 
     Of several entries with the wanted key the first counts, of repeated outcomes the last.
     """
-    e = df.select(*keep, F.from_json(json, EVENT).alias("__e")).withColumn("__b", _with_key(F.col("__e.bookmakers"), bookmaker))
-    outcomes = _with_key(F.col("__b.markets"), market)["outcomes"]
+    # inline makes columns of the record, so its text is parsed once however many of them are used
+    record = F.inline(F.array(F.from_json(json, EVENT))).alias("__id", "__time", "__home", "__away", "__books")
+    e = df.select(*keep, record).withColumn("__b", _with_key(F.col("__books"), bookmaker))
+    e = e.select("*", _with_key(F.col("__b.markets"), market)["outcomes"].alias("__outcomes"))
 
     def price(name: Column) -> Column:
-        return F.try_element_at(F.filter(outcomes, lambda o: o["name"] == name), F.lit(-1))["price"]
+        return F.try_element_at(F.filter("__outcomes", lambda o: o["name"] == name), F.lit(-1))["price"]
 
     out = e.select(
-        *keep, F.col("__e.id").alias("event_id"), F.col("__e.commence_time").alias("commence_time"),
-        F.col("__e.home_team").alias("home_team"), F.col("__e.away_team").alias("away_team"),
-        price(F.col("__e.home_team")).alias("home_odds"), price(F.lit("Draw")).alias("draw_odds"),
-        price(F.col("__e.away_team")).alias("away_odds"), F.coalesce("__b.last_update", F.lit("")).alias("last_update"),
+        *keep, F.col("__id").alias("event_id"), F.col("__time").alias("commence_time"),
+        F.col("__home").alias("home_team"), F.col("__away").alias("away_team"),
+        price(F.col("__home")).alias("home_odds"), price(F.lit("Draw")).alias("draw_odds"),
+        price(F.col("__away")).alias("away_odds"), F.coalesce("__b.last_update", F.lit("")).alias("last_update"),
     )
     return out.na.drop(subset=["home_odds", "draw_odds", "away_odds"])
 
