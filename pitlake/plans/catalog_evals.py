@@ -9,8 +9,8 @@ from ..operators import evals as H
 from ..operators import folds as G
 from ..operators import setops as S
 from ..operators import windows as W
-from .binding import panel, panel_agg, squads, table
-from .catalog_scalars import _AVAIL_SQL, _FORM_SQL, _GRID_SQL, availability, expected, grid
+from .binding import panel, panel_agg, table
+from .catalog_scalars import _FORM_SQL, _GRID_SQL, expected, grid
 from .registry import query
 
 KEYS = ["season", "element", "gw"]

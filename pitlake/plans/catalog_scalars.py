@@ -11,7 +11,7 @@ from ..operators import aggs as A
 from ..operators import features as X
 from ..operators import windows as W
 from .binding import POSITIONS, panel, panel_agg, prices, squads, table, transfers
-from .catalog_windows import ROLLING_SPECS, e05, e07, rolling_sql
+from .catalog_windows import ROLLING_SPECS
 from .registry import query
 
 KEYS = ["season", "element"]

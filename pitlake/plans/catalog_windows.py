@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import r6
 from ..operators import ranks, windows as W
-from ..operators.aggs import double_flag, period_cutoffs, target
+from ..operators.aggs import period_cutoffs, target, two_level
 from ..operators.features import synthetic_ep
-from .binding import POSITIONS, panel, panel_agg, squads, table
+from ..operators.scale import running
+from .binding import POSITIONS, panel, panel_agg, table
 from .registry import query
 
 KEYS = ["season", "element"]
@@ -116,8 +117,6 @@ def e03(spark, sf):
   round(avg(team_pts_faced) over w, 6) as pts_conceded_r5 from j
  window w as (partition by season, team order by gw rows between 5 preceding and 1 preceding)""")
 def e04(spark, sf):
-    from ..operators.aggs import two_level
-
     pg = panel(spark, sf)
     gc = two_level(pg, ["season", "team", "gw", "fixture"], ["season", "team", "gw"], "goals_conceded", "team_goals_conceded")
     pts = target(pg, ["season", "opponent_team", "gw"], "total_points", "team_pts_faced").withColumnRenamed("opponent_team", "team")
@@ -224,8 +223,6 @@ def e12(spark, sf):
  select event_type, event_id, sum(v) over w::bigint as running_sum, max(v) over w as running_max from d
  window w as (partition by event_type order by event_id rows between unbounded preceding and current row)""")
 def e13(spark, sf):
-    from ..operators.scale import running
-
     df = table(spark, sf, "events").selectExpr("event_type", "event_id", "cast(round(value * 100) as bigint) as v")
     out = running(df, ["event_type"], "event_id", {"running_sum": ("v", "sum"), "running_max": ("v", "max")})
     return out.select("event_type", "event_id", "running_sum", "running_max")

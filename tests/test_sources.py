@@ -36,10 +36,10 @@ def test_league_file(spark, tmp_path):
 
 
 def test_ranked_lists(spark):
-    doc = {"TopLists": [{"StatList": [{"ParticipantName": "Salah", "StatValue": "2.5", "SubStatValue": "85%"}, {"ParticipantName": "Kane"}]}, {"StatList": []}]}
+    doc = {"TopLists": [{"StatList": [{"ParticipantName": "Ana", "StatValue": "2.5", "SubStatValue": "85%"}, {"ParticipantName": "Bo"}]}, {"StatList": []}]}
     df = spark.createDataFrame([(json.dumps(doc),), ("{}",)], "j string")
     rows = nested.flatten_stat_lists(df, "j").collect()
-    assert [(r.player_name, r.stat_value, r.sub_stat_value) for r in rows] == [("Salah", "2.5", "85%"), ("Kane", "", "")]
+    assert [(r.player_name, r.stat_value, r.sub_stat_value) for r in rows] == [("Ana", "2.5", "85%"), ("Bo", "", "")]
 
 
 def test_stream_takes_each_file_once(spark, tmp_path):

@@ -9,7 +9,7 @@ from pitlake.operators import joins as J
 from pitlake.operators import windows as W
 from pitlake.operators.aggs import pre_aggregate
 from pitlake.operators.ranks import average_rank, competition_rank
-from pitlake.operators.scale import lag_pair, running
+from pitlake.operators.scale import lag_pair, running, spread_join
 
 KEYS = ["season", "element"]
 SPECS = [("p3", "total_points", 3, "mean"), ("p5", "total_points", 5, "mean"), ("m3", "minutes", 3, "mean"), ("s5", "minutes", 5, "std"), ("g3", "total_points", 3, "sum")]
@@ -139,3 +139,20 @@ def test_streak_is_capped_and_broken(spark):
 
     out = W.trailing_streak(frame(spark, rows), KEYS, "gw", F.col("minutes") == 0).orderBy("gw").collect()
     assert [r.streak for r in out] == [0, 1, 2, 3, 3, 0, 1]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_spread_join_is_the_plain_join(spark, how):
+    big = spark.createDataFrame([(i % 3 if i % 2 else 0, i) for i in range(200)], "k long, i long")
+    small = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
+    key = lambda d: sorted(map(tuple, d.collect()))
+    assert key(spread_join(big, small, ["k"], ["i"], how).select(big.join(small, ["k"], how).columns)) == key(big.join(small, ["k"], how))
+
+
+def test_time_window_counts_only_earlier_periods(spark):
+    rows = [(1, 1, 1, "2024-01-01", 4), (1, 1, 2, "2024-01-20", 8), (1, 1, 2, "2024-02-06", 100), (1, 1, 3, "2024-02-05", 6)]
+    df = spark.createDataFrame(rows, "season long, e long, gw long, d string, v long").selectExpr("season", "e", "gw", "cast(d as timestamp) ts", "v")
+    cut = spark.createDataFrame([(1, 2, "2024-01-20"), (1, 3, "2024-02-05"), (1, 4, "2024-03-06")], "season long, gw long, d string")
+    cut = cut.selectExpr("season", "gw", "cast(d as timestamp) cutoff")
+    out = W.time_window_mean(df, cut, ["season"], "e", "gw", "ts", "v", 30)
+    assert {r.gw: (r.window_mean, r.n_rows) for r in out.collect()} == {2: (4.0, 1), 3: (8.0, 1), 4: (53.0, 2)}
