@@ -20,9 +20,11 @@ ACCURACY = 0.01
 MIN_GROUP = 100
 #: Fences stand this many spreads outside the quartiles.
 FENCE = 4.0
-#: Measure -> least spread. A spread is the distance of the quartiles, a quarter of the median at
-#: least for two-sided measures, or this resolution where most documents agree.
-MEASURES = {"symbols_per_word": 0.02, "chars_per_word": 0.2, "dup_line_share": 0.05, "repeat_share": 0.02, "upper_share": 0.03}
+#: Words at which a text's own sampling error doubles the variance: short texts get wider fences.
+NOISE_WORDS = 50
+#: Measure -> least spread. A spread is the distance of the quartiles, or this resolution where most
+#: documents agree.
+MEASURES = {"symbols_per_word": 0.03, "chars_per_word": 0.3, "dup_line_share": 0.1, "repeat_share": 0.04, "upper_share": 0.03}
 TWO_SIDED = ("chars_per_word",)
 
 
@@ -111,7 +113,7 @@ def quartiles(sketches: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def thresholds(measured: DataFrame, groups: list[str], fence: float = FENCE, min_group: int = MIN_GROUP) -> DataFrame:
-    """One row per group with ``fences``: measure -> the least and the largest value kept.
+    """One row per group with ``fences``: measure -> the outer quartiles and how far beyond them is still kept.
 
     The groups' sketches are made once; those of the first column and of everything are merged from
     them. A group of fewer than ``min_group`` documents takes the next level's quartiles.
@@ -125,11 +127,9 @@ def thresholds(measured: DataFrame, groups: list[str], fence: float = FENCE, min
         match = reduce(lambda a, b: a & b, (same(F.col(c), F.col(f"_g{c}")) for c in by), F.col("measure") == F.col("_m"))
         usable = F.when((F.col("_n") >= min_group) | F.lit(i == len(upper) - 1), F.col("_u"))
         levels = levels.join(right, match, "left").withColumn("_q", F.coalesce("_q", usable)).drop("_m", "_n", "_u", *(f"_g{c}" for c in by))
-    two = F.col("measure").isin(*TWO_SIDED)
     least = F.create_map(*(F.lit(x) for kv in MEASURES.items() for x in kv))[F.col("measure")]
-    spread = F.greatest(F.col("_q")[2] - F.col("_q")[0], least)
-    low = F.when(two, F.col("_q")[0] - fence * spread)
-    limits = F.struct(F.col("measure"), F.struct(low.alias("low"), (F.col("_q")[2] + fence * spread).alias("high")))
+    reach = fence * F.greatest(F.col("_q")[2] - F.col("_q")[0], least)
+    limits = F.struct(F.col("measure"), F.struct(F.col("_q")[0].alias("low"), F.col("_q")[2].alias("high"), reach.alias("reach")))
     return levels.groupBy(*groups).agg(F.map_from_entries(F.collect_list(limits)).alias("fences"))
 
 
@@ -144,9 +144,15 @@ def judge(measured: DataFrame, groups: list[str]) -> DataFrame:
     limits = materialise(thresholds(passed, groups), "quality-thresholds")
     right = limits.select(*(F.col(c).alias(f"_t{c}") for c in groups), "fences")
     match = reduce(lambda a, b: a & b, (same(F.col(c), F.col(f"_t{c}")) for c in groups))
-    fences = F.col("fences")
-    inside = reduce(lambda a, b: a & b, (
-        F.coalesce((v <= fences[k]["high"]) & (v >= F.coalesce(fences[k]["low"], F.lit(-1.0))), F.lit(True)) for k, v in values().items()))
+    wider = F.sqrt(1 + F.lit(float(NOISE_WORDS)) / F.greatest(F.col("n_words"), F.lit(1)))
+
+    def fits(name: str, value: Column) -> Column:
+        fence = F.col("fences")[name]
+        reach = fence["reach"] * wider
+        below = value <= fence["high"] + reach
+        return F.coalesce(below & (value >= fence["low"] - reach) if name in TWO_SIDED else below, F.lit(True))
+
+    inside = reduce(lambda a, b: a & b, (fits(k, v) for k, v in values().items()))
     joined = measured.join(right, match, "left")
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & inside).drop("fences", *(f"_t{c}" for c in groups))
 
