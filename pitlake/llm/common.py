@@ -52,7 +52,7 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+def small(df: DataFrame, max_rows: int = 250_000) -> DataFrame:
     """``df``, a written table of a few numbers a row, marked for broadcasting if a count shows that it is small.
 
     Otherwise it comes back unmarked and Spark joins by shuffling both sides.

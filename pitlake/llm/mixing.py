@@ -128,3 +128,12 @@ def cyclic_weights(docs: DataFrame, source: str = "source", cycle: int = 3) -> D
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
     return mix(sized, cyclic_weights(sized), ["doc_id"])
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the documents that the mix takes words of, with how many (repeats counted) and their source's target.
+
+    Rows come with their ids, not their texts: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken``.
+    """
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    return mix(sized, cyclic_weights(sized), ["doc_id"]).filter("taken > 0")
