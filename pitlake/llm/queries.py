@@ -1,4 +1,4 @@
 """The training-data queries: importing the modules registers them."""
 
-from . import decontaminate, jaccard_join, mixing, quality_rules, secret_scan  # noqa: F401
+from . import decontaminate, jaccard_join, mixing, quality_rules, secret_scan, url_filter  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
