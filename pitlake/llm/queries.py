@@ -1,4 +1,4 @@
 """The training-data queries: importing the modules registers them."""
 
-from . import chat, decontaminate, jaccard_join, mixing, quality_rules, secret_scan, toxicity, url_filter  # noqa: F401
+from . import chat, decontaminate, jaccard_join, mixing, quality_rules, secret_scan, site_quality, toxicity, url_filter  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
