@@ -14,10 +14,12 @@ from .common import query, same, table
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("MIT", "Licensed under the MIT License"),
+    ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
     ("GPL-3.0", "Licensed under the GNU General Public License, Version 3"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, Version 3"),
     ("GPL-2.0", "Licensed under the GNU General Public License, Version 2"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, Version 3"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
@@ -31,7 +33,7 @@ TEMPLATES = [
 ANCHORS = ("licens", "permission", "public domain")
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Least cosine of a match.
-LEAST_COSINE = 0.7
+LEAST_COSINE = 0.6
 
 
 def terms(text: Column) -> Column:
