@@ -95,12 +95,23 @@ def _sampled(docs: DataFrame, text: str, size: int, share: float) -> DataFrame:
     return docs.select(text).mapInArrow(_over_texts(text, size, emit), "token long, key_a long")
 
 
+def _bits(h: np.ndarray, start: np.ndarray) -> pa.Array:
+    """For each set 512 bits, each telling whether an odd number of its hashes falls there.
+
+    Two sets differ in at least as many elements as their bits do.
+    """
+    doc = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    odd = np.bincount(doc * 512 + (mix(h ^ U64(0xA4093822299F31D0)) & U64(511)).astype(np.int64), minlength=512 * (len(start) - 1)) & 1
+    words = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(start), dtype=np.int32) * 8), pa.array(words))
+
+
 def _full_sets(docs: DataFrame, text: str, size: int) -> DataFrame:
     def emit(batch, piece, h, start):
         sets = pa.LargeListArray.from_arrays(pa.array(start), pa.array(h.view(np.int64))).cast(pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([*map(pa.array, _keys(h, start)), sets], names=["n", "key_a", "key_b", "tokens"])
+        return pa.RecordBatch.from_arrays([*map(pa.array, _keys(h, start)), sets, _bits(h, start)], names=["n", "key_a", "key_b", "tokens", "bits"])
 
-    return docs.select(text).mapInArrow(_over_texts(text, size, emit), "n long, key_a long, key_b long, tokens array<long>")
+    return docs.select(text).mapInArrow(_over_texts(text, size, emit), "n long, key_a long, key_b long, tokens array<long>, bits array<long>")
 
 
 def must_share(n: Column, percent: int) -> Column:
@@ -108,11 +119,6 @@ def must_share(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100)
 
 
-def _overlap(n: Column, m: Column, percent: int) -> Column:
-    """Least intersection of two sets of ``n`` and ``m`` that are near."""
-    return F.ceil((n + m) * percent / (100 + percent))
-
-
 def survivors(docs: DataFrame, classes: DataFrame, text: str, size: int, percent: int, share: float) -> DataFrame:
     """Classes that may have a partner.
 
@@ -142,26 +148,26 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
         F.col("_t.token").alias("token"), "id", "n", (F.col("_alone") + F.col("_k")).alias("at"))
 
 
-def _right(prefix: DataFrame, **more: Column) -> DataFrame:
-    return prefix.select("token", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"), *(c.alias(k) for k, c in more.items()))
+def _possible(percent: int) -> Column:
+    """What two sets with a common prefix shingle must meet to be near: length, positional and bit filter.
 
-
-def _near_lengths(percent: int) -> Column:
-    return (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
+    The positional filter takes the shingle for their first common one. If it is not, another row of
+    the pair has that, and the pair comes through there.
+    """
+    lengths = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
+    need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
+    room = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(8)))
+    return (F.col("part") != F.col("part2")) & lengths & (room >= need) & (apart <= F.col("n") + F.col("n2") - 2 * need)
 
 
-def _pairs(matches: DataFrame, percent: int) -> DataFrame:
-    """Each pair once, if its first common shingle leaves room for enough common ones (positional filter)."""
-    low = F.col("id") < F.col("id2")
-    turn = lambda a, b: F.when(low, F.col(a)).otherwise(F.col(b))
-    both = matches.select(turn("id", "id2").alias("x"), turn("id2", "id").alias("y"), turn("n", "n2").alias("nx"), turn("n2", "n").alias("ny"), turn("at", "at2").alias("ax"), turn("at2", "at").alias("ay"))
-    once = both.groupBy("x", "y", "nx", "ny").agg(F.min("ax").alias("ax"), F.min("ay").alias("ay"))
-    room = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))
-    return once.filter(room >= _overlap(F.col("nx"), F.col("ny"), percent)).select("x", "y")
+def _pairs(matches: DataFrame) -> DataFrame:
+    """Each pair once, the lower id first."""
+    return matches.select(F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("y")).distinct()
 
 
 def _bound(x: np.ndarray, y: np.ndarray, depth: int) -> int:
-    """At least so many elements are in one of two ascending sets only: halving both at a pivot, again and again."""
+    """A number of elements that two ascending sets surely do not share (suffix filter): halving both at a pivot, again and again."""
     if depth == 0 or not len(x) or not len(y):
         return abs(len(x) - len(y))
     pivot = y[len(y) // 2]
@@ -196,22 +202,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def set_links(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """``links`` (x, y) that connect all near sets, and ``component`` per set that has any.
 
-    ``sets`` is a written table of ``id``, ``n`` and ascending ``tokens``. First, in each group of
+    ``sets`` is a written table of ``id``, ``n``, ascending ``tokens`` and ``bits``. First, in each group of
     equal prefix shingle and like size, all are compared with one leader; then all pairs in different
     components are. A pair in the same component needs no look: so a group of near copies costs
     its size and not its square, and no link between components is lost.
     """
-    prefix = materialise(prefixes(sets, percent), "jaccard-prefixes")
+    prefix = materialise(prefixes(sets, percent).join(sets.select("id", "bits"), "id"), "jaccard-prefixes")
     links = None
     placed = prefix.withColumn("part", F.col("id"))
     for turn in range(LEADER_ROUNDS):
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(0.5 * turn)).cast("int")
         grouped = placed.withColumn("band", band)
         lead = grouped.groupBy("token", "band").agg(
-            F.min_by(F.struct("id", "n", "at", "part"), F.xxhash64(F.lit(turn), "id")).alias("l"), F.count("*").alias("_size")).filter("_size > 1")
-        right = lead.select("token", "band", F.col("l.id").alias("id2"), F.col("l.n").alias("n2"), F.col("l.at").alias("at2"), F.col("l.part").alias("part2"))
-        matches = grouped.join(right, ["token", "band"]).filter((F.col("part") != F.col("part2")) & _near_lengths(percent))
-        found = materialise(verified(_pairs(matches, percent), sets, percent), "jaccard-links")
+            F.min_by(F.struct("id", "n", "at", "bits", "part"), F.xxhash64(F.lit(turn), "token", "id")).alias("l"), F.count("*").alias("_size")).filter("_size > 1")
+        right = lead.select("token", "band", *(F.col(f"l.{c}").alias(f"{c}2") for c in ("id", "n", "at", "bits", "part")))
+        found = materialise(verified(_pairs(grouped.join(right, ["token", "band"]).filter(_possible(percent))), sets, percent), "jaccard-links")
         links = found if links is None else links.unionByName(found)
         parts = components(links, "x", "y")
         placed = prefix.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
@@ -219,11 +224,9 @@ def set_links(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataF
     by_part = placed.groupBy("token", "part").agg(F.count("*").alias("size"))
     major = by_part.groupBy("token").agg(F.max_by("part", F.struct("size", "part")).alias("major"), F.count("*").alias("parts")).filter("parts > 1").select("token", "major")
     mixed = placed.join(major, "token")
-    minor = mixed.filter("part <> major").drop("major")
-    right = _right(mixed, part2=F.col("part"))
-    matches = minor.join(right, "token").filter((F.col("part") != F.col("part2")) & _near_lengths(percent))
-    found = materialise(verified(_pairs(matches, percent), sets, percent), "jaccard-links")
-    links = links.unionByName(found)
+    right = mixed.select("token", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "at", "bits", "part")))
+    matches = mixed.filter("part <> major").join(right, "token").filter(_possible(percent))
+    links = links.unionByName(materialise(verified(_pairs(matches), sets, percent), "jaccard-links"))
     return links, components(links, "x", "y")
 
 
@@ -246,7 +249,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     wanted = small(open_.select(F.col("first").alias("_first")))
     texts = docs.select(key, text).join(wanted, same(F.col(key), F.col("_first")), "left_semi")
     full = _full_sets(texts, text, size).join(small(open_.select("id", "n_shingles", "key_a", "key_b")), ["key_a", "key_b"]).filter("n = n_shingles")
-    sets = materialise(full.groupBy("id", "n").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
+    sets = materialise(full.groupBy("id", "n").agg(F.first("tokens").alias("tokens"), F.first("bits").alias("bits")), "jaccard-sets")
     _, parts = set_links(sets, percent)
     named = open_.join(parts.withColumnRenamed("node", "id"), "id").select(*of_class, "first", "component")
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))

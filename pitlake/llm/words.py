@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text that are worked on at once; a single longer text is one piece.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
