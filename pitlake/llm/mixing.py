@@ -112,7 +112,7 @@ def mix(
     length = F.least(F.col("_quota") * block_tokens, F.col("_ring") * max_epochs)
     first = F.pmod(F.xxhash64(F.lit(seed), F.lit("first block"), "source", "_shard"), F.greatest(F.lit(1), F.floor(F.col("_ring") / block_tokens))) * block_tokens
     overlap = lambda lo, hi: F.greatest(F.lit(0), F.least(F.col("_at") + F.col("size"), hi) - F.greatest(F.col("_at"), lo))
-    placed = placed.withColumn("_len", length).withColumn("_from", first).withColumn("_rounds", F.floor(F.col("_len") / F.col("_ring")))
+    placed = placed.withColumn("_len", length).withColumn("_from", first).withColumn("_rounds", F.floor(F.col("_len") / F.greatest(F.lit(1), F.col("_ring"))))
     placed = placed.withColumn("_to", F.col("_from") + F.col("_len") - F.col("_rounds") * F.col("_ring"))
     taken = F.col("_rounds") * F.col("size") + overlap(F.col("_from"), F.least("_to", "_ring")) + overlap(F.lit(0), F.col("_to") - F.col("_ring"))
     return placed.select(*key, "source", "size", "source_size", "target", F.when(F.col("_ring") > 0, taken).otherwise(0).cast("long").alias("taken"))
