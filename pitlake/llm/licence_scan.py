@@ -41,13 +41,13 @@ def terms(text: Column) -> Column:
 
 
 def passages(files: DataFrame, repository: str, path: str, text: str) -> DataFrame:
-    """``repository``, ``path``, ``passage``: the distinct lines and blocks (between empty lines) of whole texts that hold an anchor."""
+    """``repository``, ``path``, ``passage`` and its ``key``: the distinct lines and blocks (between empty lines) of whole texts that hold an anchor."""
     whole = F.coalesce(F.col(text), F.lit(""))
     any_anchor = lambda x: F.contains(F.lower(x), F.lit(ANCHORS[0])) | F.contains(F.lower(x), F.lit(ANCHORS[1])) | F.contains(F.lower(x), F.lit(ANCHORS[2]))
     blocks = F.split(whole, r"\n[ \t\r]*\n")
     lines = F.split(whole, "\n")
     some = F.filter(F.array_distinct(F.transform(F.concat(blocks, lines), lambda x: F.trim(x))), any_anchor)
-    return files.filter(any_anchor(whole)).select(F.col(repository).alias("repository"), F.col(path).alias("path"), F.explode(some).alias("passage"))
+    return files.filter(any_anchor(whole)).select(F.col(repository).alias("repository"), F.col(path).alias("path"), F.explode(some).alias("passage")).withColumn("key", F.unhex(F.md5("passage")))
 
 
 def weights(templates: DataFrame) -> tuple[DataFrame, float]:
@@ -61,21 +61,23 @@ def weights(templates: DataFrame) -> tuple[DataFrame, float]:
 
 
 def best_match(passage: DataFrame, templates: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """``passage``, ``licence``, ``cosine`` for the distinct passages near a template; ties go to the first identifier.
+    """``key``, ``licence``, ``cosine`` for the distinct passages near a template; ties go to the first identifier.
 
-    Only terms are joined, and only distinct passages: copies of a notice cost nothing.
+    ``passage`` has ``key`` and ``passage``. Only terms are joined, and only distinct passages: copies
+    of a notice cost nothing, and no row of a term carries a text.
     """
     vectors, unknown = weights(templates)
     vectors = materialise(vectors, "licence-templates")
-    each = passage.select("passage").distinct().select("passage", F.explode(terms(F.col("passage"))).alias("term")).groupBy("passage", "term").agg(F.count("*").alias("tf"))
+    once = passage.groupBy("key").agg(F.first("passage").alias("passage"))
+    each = once.select("key", F.explode(terms(F.col("passage"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
     idf = vectors.select("term", "idf").distinct()
     weighed = each.join(idf, "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(unknown))).drop("idf")
-    length = weighed.groupBy("passage").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("length"))
-    dot = weighed.join(vectors.select("template", "licence", "term", "w"), "term").groupBy("passage", "template", "licence").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    near = dot.join(length, "passage").select("passage", "licence", F.round(F.col("dot") / F.col("length"), 6).alias("cosine")).filter(F.col("cosine") >= least)
-    by_cosine = near.groupBy("passage", "licence").agg(F.max("cosine").alias("cosine"))
-    top = by_cosine.groupBy("passage").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
-    return top.select("passage", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
+    length = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("length"))
+    dot = weighed.join(vectors.select("template", "licence", "term", "w"), "term").groupBy("key", "template", "licence").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    near = dot.join(length, "key").select("key", "licence", F.round(F.col("dot") / F.col("length"), 6).alias("cosine")).filter(F.col("cosine") >= least)
+    by_cosine = near.groupBy("key", "licence").agg(F.max("cosine").alias("cosine"))
+    top = by_cosine.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
+    return top.select("key", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
 
 
 def directory(path: Column) -> Column:
@@ -95,7 +97,7 @@ def scan(files: DataFrame, templates: DataFrame, is_licence_file: Column, reposi
     """
     marked = files.withColumn("_file", F.coalesce(is_licence_file, F.lit(False)))
     found = materialise(passages(marked, repository, path, text), "licence-passages")
-    matches = found.join(best_match(found, templates, least), "passage")
+    matches = found.select("repository", "path", "key").join(best_match(found, templates, least), "key")
     own = materialise(
         matches.groupBy("repository", "path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
         .select(F.col("repository").alias("_r"), F.col("path").alias("_p"), F.col("b.licence").alias("own_licence"), (-F.col("b.c")).alias("cosine")), "licence-own")

@@ -33,7 +33,8 @@ PASSAGES = [
 
 
 def test_cosine_matches_dense_vectors(spark):
-    got = {r.passage: (r.licence, r.cosine) for r in s.best_match(spark.createDataFrame([(p,) for p in PASSAGES * 2], "passage string"), s.template_table(spark)).collect()}
+    passages = spark.createDataFrame([(p, p) for p in PASSAGES * 2], "key string, passage string")
+    got = {r.key: (r.licence, r.cosine) for r in s.best_match(passages, s.template_table(spark)).collect()}
     for p in PASSAGES:
         want = cosine(p)
         assert (p in got) == (want is not None), p
