@@ -48,25 +48,29 @@ def reply_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     with unique (tree, id). Self-joins double how far each message sees: after round k it knows its
     ancestor 2^k levels up, its depth and the sum of scores up to there. So every leaf's path is known
     by its end and its score after as many joins as the logarithm of the deepest tree, in one small row
-    a message. The ``best`` leaves of a tree by mean score (NULL counts 0; ties by longer path, then
+    a message; a tree takes part only until all its messages know their root. The ``best`` leaves of a tree by mean score (NULL counts 0; ties by longer path, then
     id) are chosen; their messages are collected by going up the same doubled steps. A parent that is
     absent makes a root; messages on a cycle hang on no root and are left out.
     """
     known = messages.select(F.col("tree").alias("_t"), F.col("id").alias("_i"))
     start = messages.join(known, same(F.col("tree"), F.col("_t")) & (F.col("parent") == F.col("_i")), "left")
-    state = materialise(start.select(
+    work = materialise(start.select(
         "tree", "id", F.col("_i").alias("up"), F.lit(1).cast("long").alias("depth"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total")), "reply-steps")
-    size = state.count()
-    steps = [state]
-    for _ in range(max(1, size).bit_length() + 1):
-        if state.filter("up is not null").isEmpty():
+    rooted, steps, size = work.filter("up is null"), [work], work.count()
+    for turn in range(size.bit_length() + 1):
+        open_ = work.filter("up is not null")
+        if open_.isEmpty():
             break
-        above = state.select(F.col("tree").alias("_t"), F.col("id").alias("_i"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("total").alias("_s"))
-        joined = state.join(above, same(F.col("tree"), F.col("_t")) & (F.col("up") == F.col("_i")), "left")
-        state = materialise(joined.select(
-            "tree", "id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("_s", F.lit(0.0))).alias("total")), "reply-steps")
-        steps.append(state)
-    rooted = state.filter("up is null")
+        if turn:  # only trees that are not done yet go on
+            left = open_.select(F.col("tree").alias("_t")).distinct()
+            work = work.join(left, same(F.col("tree"), F.col("_t")), "left_semi")
+        above = work.select(F.col("tree").alias("_t"), F.col("id").alias("_i"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("total").alias("_s"))
+        moved = open_.join(above, same(F.col("tree"), F.col("_t")) & (F.col("up") == F.col("_i"))).select(
+            "tree", "id", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"), (F.col("total") + F.col("_s")).alias("total"))
+        moved = materialise(moved, "reply-steps")
+        rooted = rooted.unionByName(moved.filter("up is null"))
+        work = materialise(moved.unionByName(work.filter("up is null")), "reply-steps")
+        steps.append(work)
     parents = messages.filter("parent is not null").select(F.col("tree").alias("_t"), F.col("parent").alias("_i")).distinct()
     leaves = rooted.join(parents, same(F.col("tree"), F.col("_t")) & (F.col("id") == F.col("_i")), "left_anti")
     ranked = leaves.withColumn("_rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "id")))
