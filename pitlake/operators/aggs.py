@@ -26,10 +26,10 @@ def target(df: DataFrame, keys: Sequence[str], col: str, name: str = "target") -
 
 
 def period_lookup(df: DataFrame, keys: Sequence[str], sums: Sequence[str], firsts: Sequence[str], order: str) -> DataFrame:
-    """Merged view of several rows per key: counts add up, prices and ratings come from the first row."""
+    """Merged view of several rows per key: counts add up, prices and ratings are those of the first row, NULL included."""
     return df.groupBy(*keys).agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums],
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in firsts],
+        *[F.min_by(c, order).alias(c) for c in firsts],
     )
 
 

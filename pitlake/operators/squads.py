@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import HIT_COST, MAX_FREE, selling_price
+from ..session import materialise
 from .scale import spread_join, top_rows
 
 # Fixed values of the game.
@@ -146,39 +147,57 @@ def build_pool(
     return pool.fillna(0.0, ["xp"]).drop("points")
 
 
+def _best_incoming(squads: DataFrame, pool: DataFrame, ledger: DataFrame, keys: list[str], period: str, item: str, xp: str, first_look: int) -> DataFrame:
+    """For each slot of each squad the best ``in_xp`` of a non-member that is affordable and within the club limit.
+
+    A pool is looked at from the best value down: the first legal candidate is the answer. Slots that
+    find none among the ``first_look`` best of their position look eight times deeper, and so on to
+    the end of the pool; slots that cannot pay its cheapest member drop out at once.
+    """
+    spare = sum(QUOTAS.values())
+    owned = squads.select(*keys, F.col(item).alias("in_item"))
+    clubs = squads.groupBy(*keys, F.col("team").alias("in_team")).agg(F.count(F.lit(1)).alias("__in_club"))
+    out = squads.select(*keys, "position", "slot", F.col("team").alias("out_team"), F.col(xp).alias("out_xp"), "sell_price").join(ledger, keys)
+    floor = pool.groupBy(period, "position").agg(F.min("price").alias("__least"), F.count(F.lit(1)).alias("__members"))
+    depth = floor.agg(F.max("__members")).first()[0] or 0
+    open_ = out.join(floor.drop("__members"), [period, "position"]).where(F.col("__least") <= F.col("bank") + F.col("sell_price")).drop("__least")
+    freed = F.when(F.col("in_team").eqNullSafe(F.col("out_team")), 1).otherwise(0)
+    legal = F.col("in_team").isNull() | (F.coalesce("__in_club", F.lit(0)) - freed < MAX_PER_CLUB)
+    found, look = None, first_look
+    while True:
+        short = top_rows(pool, [period, "position"], [F.col(xp).desc(), F.col(item)], look + spare, "__place").select(
+            period, "position", F.col(item).alias("in_item"), F.col("team").alias("in_team"), "price", F.col(xp).alias("in_xp"))
+        wanted = spread_join(open_.select(*keys, "position").distinct(), short, [period, "position"], [keys[0]]).join(owned, [*keys, "in_item"], "left_anti")
+        swaps = (
+            open_.join(wanted, [*keys, "position"])
+            .where(F.col("price") <= F.col("bank") + F.col("sell_price"))
+            .join(clubs, [*keys, "in_team"], "left")
+        )
+        best = swaps.where(legal).groupBy(*keys, "slot", "position", "out_xp", "free").agg(F.max("in_xp").alias("in_xp"))
+        if look >= depth:
+            return best if found is None else found.unionByName(best)
+        best = materialise(best, "transfers")
+        found = best if found is None else found.unionByName(best)
+        open_ = materialise(open_.join(best.select(*keys, "slot"), [*keys, "slot"], "left_anti"), "transfers")
+        if open_.isEmpty():
+            return found
+        look *= 8
+
+
 def best_single_transfer(
-    squads: DataFrame, pool: DataFrame, ledger: DataFrame, squad: str, period: str, item: str, xp: str, top_per_pos: int = 20
+    squads: DataFrame, pool: DataFrame, ledger: DataFrame, squad: str, period: str, item: str, xp: str, first_look: int = 20
 ) -> DataFrame:
     """Best value reachable with at most one transfer, net of the hit, and the gain over none.
 
     ``squads`` carry ``sell_price``, ``ledger`` holds ``bank`` and ``free`` per squad and period, and
-    ``pool`` has unique (period, item) with position, team, price and the integral ``xp``. Candidates are
-    the ``top_per_pos`` best non-members of a position. Swapping a given player for a better one of
+    ``pool`` has unique (period, item) with position, team, price and the integral ``xp``. All
+    non-members of a position are candidates. Swapping a given player for a better one of
     the same position never lowers the lineup value, so per outgoing player only the best affordable
-    candidate within the club limit needs a lineup value: at most fifteen per squad.
+    candidate within the club limit needs a lineup value: at most fifteen per squad. ``first_look``
+    only says how many are looked at first.
     """
     keys = [squad, period]
-    spare = sum(QUOTAS.values())
-    short = top_rows(pool, [period, "position"], [F.col(xp).desc(), F.col(item)], top_per_pos + spare, "__place").select(
-        period, "position", F.col(item).alias("in_item"), F.col("team").alias("in_team"), "price", F.col(xp).alias("in_xp")
-    )
-    wanted = spread_join(squads.select(*keys, "position").distinct(), short, [period, "position"], [squad])
-    owned = squads.select(*keys, F.col(item).alias("in_item"))
-    wanted = top_rows(
-        wanted.join(owned, [*keys, "in_item"], "left_anti"), [*keys, "position"], [F.col("in_xp").desc(), F.col("in_item")],
-        top_per_pos, "__place",
-    )
-    clubs = squads.groupBy(*keys, F.col("team").alias("in_team")).agg(F.count(F.lit(1)).alias("__in_club"))
-    out = squads.select(*keys, "position", "slot", F.col("team").alias("out_team"), F.col(xp).alias("out_xp"), "sell_price")
-    swaps = (
-        out.join(wanted, [*keys, "position"])
-        .join(ledger, keys)
-        .where(F.col("price") <= F.col("bank") + F.col("sell_price"))
-        .join(clubs, [*keys, "in_team"], "left")
-    )
-    freed = F.when(F.col("in_team").eqNullSafe(F.col("out_team")), 1).otherwise(0)
-    legal = F.col("in_team").isNull() | (F.coalesce("__in_club", F.lit(0)) - freed < MAX_PER_CLUB)
-    best = swaps.where(legal).groupBy(*keys, "slot", "position", "out_xp", "free").agg(F.max("in_xp").alias("in_xp"))
+    best = _best_incoming(squads, pool, ledger, keys, period, item, xp, first_look)
     arrays = _line_arrays(squads, keys, xp)
 
     def swapped(p: str) -> Column:
@@ -340,7 +359,9 @@ def audit_transfers(
 
     ``ledger(squad, period, element_out, element_in)``, ``squads`` with ``sell_price``, and
     ``players(period, item, position, team, price)``. Swaps run in the order that frees most cash
-    first, and the bank may never fall below zero on the way.
+    first, and the bank may never fall below zero on the way. A player without a price in the period
+    costs that of the period before; one without either is an unknown price, and one without a
+    position an unknown position: such swaps cost nothing but are violations.
     """
     keys = [squad, period]
     sold = squads.select(
@@ -350,7 +371,9 @@ def audit_transfers(
     bought = players.select(
         period, F.col(item).alias("element_in"), F.col("price"), F.col("position").alias("in_pos"), F.col("team").alias("in_team")
     )
+    before = players.select((F.col(period) + 1).alias(period), F.col(item).alias("element_in"), F.col("price").alias("__before"))
     t = ledger.join(sold, [*keys, "element_out"], "left").join(bought, [period, "element_in"], "left").join(bank, keys, "left")
+    t = t.join(before, [period, "element_in"], "left").withColumn("price", F.coalesce("price", "__before"))
     cash = F.coalesce("sell_price", F.lit(0)) - F.coalesce("price", F.lit(0))
     w = Window.partitionBy(*keys).orderBy(F.col("__cash").desc(), F.col("element_out"), F.col("element_in"))
     t = t.withColumn("__cash", cash)
@@ -359,6 +382,8 @@ def audit_transfers(
         F.count("element_out").alias("n_out"), F.count("element_in").alias("n_in"),
         _count(F.col("element_out").isNotNull() & F.col("__owned").isNull()).alias("not_owned"),
         F.min("__bank").alias("lowest_bank"),
+        _count(F.col("element_in").isNotNull() & F.col("price").isNull()).alias("no_price"),
+        _count(F.col("element_in").isNotNull() & F.col("in_pos").isNull()).alias("no_position"),
         *[(_count(F.col("in_pos") == p) - _count(F.col("out_pos") == p)).alias(f"d_{p}") for p in QUOTAS],
     )
     moves = t.select(*keys, F.inline(F.array(
@@ -369,6 +394,8 @@ def audit_transfers(
     checks = {
         "unequal": F.col("n_out") != F.col("n_in"),
         "not_owned": F.col("not_owned") > 0,
+        "unknown_price": F.col("no_price") > 0,
+        "unknown_position": F.col("no_position") > 0,
         "bank": F.col("lowest_bank") < 0,
         "composition": F.greatest(*[F.abs(f"d_{p}") for p in QUOTAS]) > 0,
         "club_limit": F.coalesce("most", F.lit(0)) > MAX_PER_CLUB,

@@ -1,7 +1,7 @@
 """The given tables seen as a panel, and the same views as DuckDB common table expressions.
 
 ``panel``: one row per (season, period, entity, fixture line). An entity is a supplier, its
-team is the supplier's nation, the opponent is the customer's nation; the season is the order
+team is the supplier's nation, the opponent is the customer's nation (the next one if equal); the season is the order
 year and the period (``gw``) the order month. ``squads``: fifteen consecutive parts.
 """
 
@@ -26,15 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# The customer's nation, or the next one where that is the supplier's own: no team plays itself.
+OPPONENT = "(case when c_nationkey = s_nationkey then (c_nationkey + 1) % 25 else c_nationkey end)"
+
 PANEL_EXPRS: dict[str, str] = {
     "season": "cast(year(o_orderdate) as bigint)",
     "gw": "cast(month(o_orderdate) as bigint)",
     "element": "l_suppkey",
     "name": "s_name",
     "team": "cast(s_nationkey as bigint)",
-    "opponent_team": "cast(c_nationkey as bigint)",
-    "fixture": "cast(month(o_orderdate) * 10000 + least(s_nationkey, c_nationkey) * 100 + greatest(s_nationkey, c_nationkey) as bigint)",
-    "was_home": "s_nationkey < c_nationkey",
+    "opponent_team": f"cast({OPPONENT} as bigint)",
+    "fixture": f"cast(month(o_orderdate) * 10000 + least(s_nationkey, {OPPONENT}) * 100 + greatest(s_nationkey, {OPPONENT}) as bigint)",
+    "was_home": f"s_nationkey < {OPPONENT}",
     "kickoff": "o_orderdate",
     "position": "case when year(o_orderdate) <= 1996 then null when l_suppkey % 4 = 0 then 'GK' when l_suppkey % 4 = 1 then 'DEF' when l_suppkey % 4 = 2 then 'MID' else 'FWD' end",
     "line": "l_orderkey * 10 + l_linenumber",
@@ -76,7 +79,6 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-        .where("c_nationkey <> s_nationkey")
     )
     # A total order of the lines that fits one number: day, then line, then part.
     seq = (
@@ -125,9 +127,8 @@ def squads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def squad_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points, minutes and cards per (part, month) of one year."""
-    lines = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders").where("o_orderdate >= '1997-01-01' and o_orderdate < '1998-01-01'")
+    """Points, minutes and cards per (part, month), over all years."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     return (
         lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .groupBy(F.col("l_partkey").alias("element"), F.expr("cast(month(o_orderdate) as bigint)").alias("gw"))
@@ -173,7 +174,7 @@ _PG = (
     + ", ".join(f"{_PG_DUCK.get(n, e)} as {n}" for n, e in PANEL_EXPRS.items())
     + ", o_orderdate as seq_day, l_orderkey * 10 + l_linenumber as seq_line, l_partkey as seq_part"
     + " from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey"
-    + " join supplier on l_suppkey = s_suppkey where c_nationkey <> s_nationkey)"
+    + " join supplier on l_suppkey = s_suppkey)"
 )
 _PA = (
     _PG
@@ -204,7 +205,7 @@ _SF = """sf as (select l_partkey as element, month(o_orderdate)::bigint as gw,
  sum(case when l_quantity <= 10 then 0 else l_quantity end)::bigint as minutes,
  sum(case when l_returnflag = 'R' and l_linenumber = 1 then 1 else 0 end)::bigint as yellow_cards,
  sum(case when l_returnflag = 'A' and l_linenumber = 7 then 1 else 0 end)::bigint as red_cards
- from lineitem join orders on l_orderkey = o_orderkey where year(o_orderdate) = 1997 group by 1, 2)"""
+ from lineitem join orders on l_orderkey = o_orderkey group by 1, 2)"""
 _PR = "pr as (select squad_id, gw, element, purchase_price + (element + gw) % 7 - 3 as current_price from sq)"
 _TR = """tr as (select squad_id, gw, element as element_out, element + 15 as element_in from sq
  where (slot + gw * 5) % 15 < (squad_id + gw) % 4)"""

@@ -25,15 +25,15 @@ def d02(spark, sf):
 
 
 LOOKUP_SUMS = ["total_points", "minutes", "goals_scored", "assists", "clean_sheets", "goals_conceded", "yellow_cards",
-               "red_cards", "saves", "bonus", "bps", "transfers_in", "transfers_out", "transfers_balance"]
+               "red_cards", "saves", "bonus", "bps"]
+LOOKUP_FIRSTS = ["xp", "ict_index", "value", "transfers_in", "transfers_out", "transfers_balance"]
 
 
 @query("d03_period_lookup", "with @PG select season, element, gw, "
        + ", ".join(f"sum({c})::bigint as {c}" for c in LOOKUP_SUMS)
-       + """, first(xp order by seq_day, seq_line, seq_part) as xp, first(ict_index order by seq_day, seq_line, seq_part) as ict_index,
- first(value order by seq_day, seq_line, seq_part) as value from pg group by season, element, gw""")
+       + ", " + ", ".join(f"first({c} order by seq_day, seq_line, seq_part) as {c}" for c in LOOKUP_FIRSTS) + " from pg group by season, element, gw")
 def d03(spark, sf):
-    return A.period_lookup(panel(spark, sf), KEYS, LOOKUP_SUMS, ["xp", "ict_index", "value"], "seq")
+    return A.period_lookup(panel(spark, sf), KEYS, LOOKUP_SUMS, LOOKUP_FIRSTS, "seq")
 
 
 @query("d04_period_cutoffs", """with @PG, c as (select season, gw, min(kickoff) as cutoff from pg group by all)

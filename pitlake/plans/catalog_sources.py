@@ -24,6 +24,47 @@ def a01(spark, sf):
     return S.parse_csv_lines(raw, "line", schema)
 
 
+@query("a01_csv_files", """select l_orderkey, l_linenumber, l_partkey, case when l_linenumber = 4 then null else l_suppkey end as l_suppkey, l_returnflag || 'é' as flag,
+ case when l_linenumber = 3 then null else l_quantity end as l_quantity from lineitem where l_linenumber <> 5""")
+def a01_files(spark, sf):
+    """Line items written as files of four layouts, then read by name: extra and missing columns, Latin-1, short and long lines."""
+    t = table(spark, sf, "lineitem").withColumn("flag", F.concat("l_returnflag", F.lit("é")))
+    layouts = [
+        ("l_linenumber <= 2", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "flag", "l_quantity"], "UTF-8", []),
+        ("l_linenumber = 3", ["l_quantity", "flag", "l_suppkey", "l_partkey", "l_linenumber", "l_orderkey"], "ISO-8859-1", []),
+        ("l_linenumber = 4", ["flag", "l_tax", "l_orderkey", "l_linenumber", "l_quantity", "l_partkey"], "UTF-8", []),
+        ("l_linenumber = 5", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "flag", "l_quantity"], "UTF-8", ["l_tax"]),
+        ("l_linenumber > 5", ["l_suppkey", "l_comment", "l_partkey", "l_orderkey", "l_quantity", "l_linenumber", "flag"], "UTF-8", []),
+    ]
+    t = t.withColumn("l_comment", F.concat(F.lit("a, "), "l_linestatus"))
+    paths = []
+    for i, (rows, columns, encoding, more) in enumerate(layouts):
+        own = t.where(rows).withColumn("l_quantity", F.when(F.col("l_linenumber") != 3, F.col("l_quantity")))
+        paths.append(scratch_dir(spark, f"csv-{i}"))
+        values = [F.concat(F.lit('"'), F.col(c), F.lit('"')) if c == "l_comment" else F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [*columns, *more]]
+        body = own.select(F.concat_ws(",", *values).alias("value"))
+        # every part file begins with its header
+        lines = body.mapInArrow(_with_header(",".join(columns)), "value string")
+        lines.write.option("encoding", encoding).option("lineSep", "\n").text(paths[-1]) if encoding == "UTF-8" else lines.select(
+            F.encode("value", "ISO-8859-1").cast("string").alias("value")).write.text(paths[-1])
+    schema = StructType.fromDDL("l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, flag string, l_quantity double")
+    return S.read_csv_safe(spark, paths, schema)
+
+
+def _with_header(header):
+    import pyarrow as pa
+
+    def run(batches):
+        first = True
+        for batch in batches:
+            if first:
+                yield pa.RecordBatch.from_arrays([pa.array([header], batch.schema.field(0).type)], schema=batch.schema)
+                first = False
+            yield batch
+
+    return run
+
+
 @query("a02_read_optional", "select s_suppkey, s_name, s_acctbal from supplier")
 def a02(spark, sf):
     schema = table(spark, sf, "supplier").schema
@@ -63,11 +104,11 @@ def a05(spark, sf):
     return S.parse_match_json(match_payloads(spark, sf), ["user_id"], "payload", "date", ["xG", "shots"])
 
 
-@query("a06_league_json", "select p_partkey as id, p_name as player_name, p_size::double as time, case when p_size % 9 = 0 then null else p_retailprice end as \"xG\" from part where p_size <> 13")
+@query("a06_league_json", "select p_partkey as id, p_name as player_name, case when p_size % 9 = 0 then null else p_size::double end as time, case when p_size % 9 = 0 then null when p_size % 7 = 0 then 0 else p_retailprice end as \"xG\" from part where p_size <> 13")
 def a06(spark, sf):
     p = table(spark, sf, "part").select(F.expr("p_partkey div 40").alias("piece"), F.struct(
         F.expr("case when p_size = 13 then 'unknown' else cast(p_partkey as string) end").alias("id"), F.col("p_name").alias("player_name"), F.col("p_size").cast("string").alias("time"),
-        F.expr("case when p_size % 9 = 0 then '' else cast(p_retailprice as string) end").alias("xG")).alias("m"))
+        F.expr("case when p_size % 9 = 0 then '' when p_size % 7 = 0 then null else cast(p_retailprice as string) end").alias("xG")).alias("m"))
     doc = p.groupBy("piece").agg(F.to_json(F.collect_list("m")).alias("payload"))
     return S.parse_league_json(doc, "payload", ["player_name"], ["time", "xG"])
 

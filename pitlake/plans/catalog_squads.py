@@ -99,10 +99,9 @@ _MARKET = "mk as (select gw, element, position, team, purchase_price + gw % 3 as
 
 
 @query("i06_best_single_transfer", f"""with @SQ, @PR, {_BANK}, {_SELL}, {_MARKET}, {_FORMATIONS},
- cd as (select s.squad_id, s.gw, s.slot, s.position, s.team as ot, s.sell_price, m.element as ie, m.team as it, m.price, m.xp as ix,
-   dense_rank() over (partition by s.squad_id, s.gw, s.position order by m.xp desc, m.element) as place
+ cd as (select s.squad_id, s.gw, s.slot, s.position, s.team as ot, s.sell_price, m.element as ie, m.team as it, m.price, m.xp as ix
    from sl2 s join mk m on m.gw = s.gw and m.position = s.position where not exists (select 1 from sq o where o.squad_id = s.squad_id and o.gw = s.gw and o.element = m.element)),
- ok as (select c.* from cd c join bk on bk.squad_id = c.squad_id and bk.gw = c.gw where place <= 20 and price <= bank + sell_price
+ ok as (select c.* from cd c join bk on bk.squad_id = c.squad_id and bk.gw = c.gw where price <= bank + sell_price
    and (select count(*) from sq t where t.squad_id = c.squad_id and t.gw = c.gw and t.team = c.it and t.slot <> c.slot) < 3),
  bi as (select squad_id, gw, slot, max(ix) as ix from ok group by all),
  al as (select squad_id, gw, 0 as alt, slot, position, xp from sq union all
@@ -222,25 +221,29 @@ def i13(spark, sf):
 
 
 @query("i14_audit_transfers", f"""with @SQ, @PR, @TR, {_BANK}, {_SELL}, {_MARKET},
+ mg as (select gw, element, case when element % 29 = 0 then null else position end as position, team, case when (element + gw) % 11 = 0 or element % 17 = 0 then null else price end as price from mk),
  lg as (select squad_id, gw, element_out, element_in from tr union all select squad_id, gw, element + 1, element + 2 from sq where slot = 15 and squad_id % 13 = 4),
- t as (select lg.*, s.sell_price, s.position as op, s.team as ot, s.element is not null as owned, m.price, m.position as ip, m.team as it, bank,
-   coalesce(s.sell_price, 0) - coalesce(m.price, 0) as cash from lg left join sl2 s on s.squad_id = lg.squad_id and s.gw = lg.gw and s.element = lg.element_out
-   left join mk m on m.gw = lg.gw and m.element = lg.element_in join bk on bk.squad_id = lg.squad_id and bk.gw = lg.gw),
+ t as (select lg.*, s.sell_price, s.position as op, s.team as ot, s.element is not null as owned, coalesce(m.price, b.price) as price, m.position as ip, m.team as it, bank,
+   coalesce(s.sell_price, 0) - coalesce(m.price, b.price, 0) as cash from lg left join sl2 s on s.squad_id = lg.squad_id and s.gw = lg.gw and s.element = lg.element_out
+   left join mg m on m.gw = lg.gw and m.element = lg.element_in left join mg b on b.gw = lg.gw - 1 and b.element = lg.element_in join bk on bk.squad_id = lg.squad_id and bk.gw = lg.gw),
  u as (select *, bank + sum(cash) over (partition by squad_id, gw order by cash desc, element_out, element_in rows unbounded preceding) as run from t),
- a as (select squad_id, gw, count(*) as n, count(*) filter (where not owned) as no, min(run)::bigint as lowest_bank,
+ a as (select squad_id, gw, count(*) as n, count(*) filter (where not owned) as no, min(run)::bigint as lowest_bank, count(*) filter (where price is null) as np, count(*) filter (where ip is null) as nq,
    greatest(abs(count(*) filter (where ip = 'GK') - count(*) filter (where op = 'GK')), abs(count(*) filter (where ip = 'DEF') - count(*) filter (where op = 'DEF')),
      abs(count(*) filter (where ip = 'MID') - count(*) filter (where op = 'MID')), abs(count(*) filter (where ip = 'FWD') - count(*) filter (where op = 'FWD'))) as comp from u group by all),
  cl as (select squad_id, gw, max(n) as most from (select squad_id, gw, team, sum(d) as n from (
     select sq.squad_id, sq.gw, team, 1 as d from sq join a on a.squad_id = sq.squad_id and a.gw = sq.gw union all select squad_id, gw, ot, -1 from t where ot is not null
     union all select squad_id, gw, it, 1 from t where it is not null) group by all) group by all)
- select a.squad_id, a.gw, n as n_transfers, lowest_bank, list_filter([case when no > 0 then 'not_owned' end, case when lowest_bank < 0 then 'bank' end,
+ select a.squad_id, a.gw, n as n_transfers, lowest_bank, list_filter([case when no > 0 then 'not_owned' end, case when np > 0 then 'unknown_price' end, case when nq > 0 then 'unknown_position' end, case when lowest_bank < 0 then 'bank' end,
    case when comp > 0 then 'composition' end, case when most > 3 then 'club_limit' end], lambda v: v is not null) as violations
  from a left join cl on cl.squad_id = a.squad_id and cl.gw = a.gw""")
 def i14(spark, sf):
     s = sells(spark, sf)
     extra = s.where("slot = 15 and squad_id % 13 = 4").selectExpr("squad_id", "gw", "element + 1 as element_out", "element + 2 as element_in")
     book = transfers(spark, sf).unionByName(extra)
-    return Q.audit_transfers(book, s, market(spark, sf), bank(spark, sf).select(*K, "bank"), "squad_id", "gw", "element")
+    gaps = market(spark, sf).withColumns({
+        "position": F.expr("case when element % 29 = 0 then null else position end"),
+        "price": F.expr("case when (element + gw) % 11 = 0 or element % 17 = 0 then null else price end")})
+    return Q.audit_transfers(book, s, gaps, bank(spark, sf).select(*K, "bank"), "squad_id", "gw", "element")
 
 
 @query("i15_team_value", f"""with @SQ, @PR, {_SELL}, v as (select squad_id, gw, sum(sell_price)::bigint as value from sl2 group by all)

@@ -25,19 +25,38 @@ def parse_csv_lines(df: DataFrame, line: str, schema: StructType, keep: Sequence
     return parsed.select(*keep, *[F.col(c).try_cast(f.dataType).alias(f.name) for c, f in zip(names, schema.fields)])
 
 
-def read_csv_safe(spark: SparkSession, paths: str | Sequence[str], schema: StructType) -> DataFrame:
-    """CSV files with a header, UTF-8 or else Latin-1 file by file, bad lines skipped.
+def _fields(line: Column, width: int) -> Column:
+    """The first ``width`` fields of a CSV line."""
+    ddl = ", ".join(f"`__{i}` string" for i in range(width))
+    record = F.from_csv(line, ddl, {"mode": "PERMISSIVE"})
+    return F.transform(F.array(record), lambda r: F.array(*[r[f"__{i}"] for i in range(width)]))[0]
+
 
-    The text source keeps the raw bytes, so a file is Latin-1 when any of its lines is not valid
-    UTF-8; that verdict is an aggregate joined back by file name and nothing is read on the driver.
+def read_csv_safe(spark: SparkSession, paths: str | Sequence[str], schema: StructType) -> DataFrame:
+    """CSV files with a header, read by column name; UTF-8 or else Latin-1 file by file, bad lines skipped.
+
+    Each file's own first line says where its columns are, so files may order them differently, have
+    others, or lack some (NULL). Lines with more fields than their file's header are dropped, shorter
+    ones padded with NULL. The text source keeps the raw bytes, so a file is Latin-1 when any of its
+    lines is not valid UTF-8. Headers and verdicts are one aggregate per file, joined back by file
+    name; only the largest number of columns is read on the driver. A record is one line: line breaks
+    inside quotes are not supported. Repeated header names give the first column of that name.
     """
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias(FILE))
-    verdict = lines.groupBy(FILE).agg(F.bool_and(F.is_valid_utf8("value")).alias("__utf8"))
-    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    text = lines.join(verdict, FILE).withColumn("line", F.when(F.col("__utf8"), F.col("value")).otherwise(latin))
-    header = ",".join(f.name for f in schema.fields)
-    plain = F.regexp_replace(F.col("line"), "[﻿\"\r]", "")
-    return parse_csv_lines(text.where((F.trim("line") != "") & (plain != header)), "line", schema)
+    raw = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias(FILE), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("__at"))
+    per_file = raw.groupBy(FILE).agg(F.bool_and(F.is_valid_utf8("value")).alias("__utf8"), F.min_by("value", "__at").alias("__first"), F.min("__at").alias("__head"))
+    decoded = lambda c: F.when(F.col("__utf8"), F.col(c)).otherwise(F.decode(F.col(c).cast("binary"), "ISO-8859-1"))
+    heads = per_file.withColumn("__first", F.regexp_replace(decoded("__first"), "[\ufeff\r]", ""))
+    widest = heads.agg(F.max(F.length(F.regexp_replace("__first", "[^,]", "")))).first()[0]
+    width = max(len(schema.fields), (widest or 0) + 1) + 1
+    heads = heads.withColumn("__names", F.transform(_fields(F.col("__first"), width), lambda x: F.trim(x)))
+    # fields of a line beyond the file's own last named column make it too long
+    heads = heads.withColumn("__n", F.size(F.filter("__names", lambda x: x.isNotNull()))).select(FILE, "__utf8", "__head", "__names", "__n")
+    lines = raw.join(heads, FILE).where(F.col("__at") != F.col("__head")).withColumn("__line", F.regexp_replace(decoded("value"), "\r$", ""))
+    parsed = lines.where(F.trim("__line") != "").withColumn("__f", _fields(F.col("__line"), width))
+    fits = parsed.where(~F.exists(F.slice("__f", F.col("__n") + 1, F.lit(width)), lambda x: x.isNotNull()))
+    field = lambda name: F.get(F.col("__f"), F.array_position("__names", F.lit(name)).cast("int") - 1)
+    return fits.select(*[field(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read_optional(spark: SparkSession, path: str, schema: StructType, fmt: str = "csv", **options: str) -> DataFrame:
@@ -50,15 +69,14 @@ def read_optional(spark: SparkSession, path: str, schema: StructType, fmt: str =
         return spark.createDataFrame([], schema)
 
 
-def _typed(item: Column, numbers: Sequence[str], default: float | None) -> list[Column]:
-    value = lambda c: item[c].try_cast("double")
-    return [(value(c) if default is None else F.coalesce(value(c), F.lit(default))).alias(c) for c in numbers]
+def _typed(item: Column, numbers: Sequence[str]) -> list[Column]:
+    return [F.coalesce(item[c].try_cast("double"), F.lit(0.0)).alias(c) for c in numbers]
 
 
 def match_rows(df: DataFrame, keep: Sequence[str], items: str, date: str, numbers: Sequence[str]) -> DataFrame:
     """A list of all-text match records to typed rows; unreadable numbers become 0."""
     rows = df.select(*keep, F.explode(items).alias("__m"))
-    return rows.select(*keep, F.try_to_timestamp(F.col("__m")[date]).alias(date), *_typed(F.col("__m"), numbers, 0.0))
+    return rows.select(*keep, F.try_to_timestamp(F.col("__m")[date]).alias(date), *_typed(F.col("__m"), numbers))
 
 
 def match_schema(date: str, numbers: Sequence[str]) -> str:
@@ -76,13 +94,20 @@ def read_match_json(spark: SparkSession, path: str, date: str, numbers: Sequence
     schema = StructType([StructField(c, StringType()) for c in (date, *numbers)])
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
     rows = raw.select(F.regexp_extract("_metadata.file_name", r"(\d+)\.json$", 1).cast("bigint").alias(id_name), F.struct("*").alias("m"))
-    return rows.select(id_name, F.try_to_timestamp(F.col("m")[date]).alias(date), *_typed(F.col("m"), numbers, 0.0))
+    return rows.select(id_name, F.try_to_timestamp(F.col("m")[date]).alias(date), *_typed(F.col("m"), numbers))
 
 
 def league_rows(df: DataFrame, item: str, keep: Sequence[str], numbers: Sequence[str], id_name: str = "id") -> DataFrame:
-    """Season aggregates from all-text records; records without a readable id are dropped."""
+    """Season aggregates from all-text records; records without a readable id are dropped.
+
+    An absent number is 0; one unreadable number makes all numbers of its record NULL.
+    """
     m = F.col(item)
-    out = df.select(m[id_name].try_cast("bigint").alias(id_name), *[m[c].alias(c) for c in keep], *_typed(m, numbers, None))
+    unreadable = F.lit(False)
+    for c in numbers:
+        unreadable = unreadable | (m[c].isNotNull() & m[c].try_cast("double").isNull())
+    value = lambda c: F.when(~unreadable, F.coalesce(m[c].try_cast("double"), F.lit(0.0)))
+    out = df.select(m[id_name].try_cast("bigint").alias(id_name), *[m[c].alias(c) for c in keep], *[value(c).alias(c) for c in numbers])
     return out.where(F.col(id_name).isNotNull())
 
 

@@ -17,6 +17,15 @@ def test_csv_encodings_and_bad_lines(spark, tmp_path):
     assert got == {1: ("Núñez", 5.5), 2: ("short", None), 4: ("a, b", None), 5: ("Peña", 4.0), 6: ("Plain", 4.5)}
 
 
+def test_csv_by_header(spark, tmp_path):
+    (tmp_path / "more.csv").write_text("id,team,name,price\n1,7,Ann,2.5\nid,team,name,price\n2,7,Bo,x,long\n")
+    (tmp_path / "turned.csv").write_text("\ufeffprice,id,name\n3.5,3,\"Cy, D\"\n4.5,4\n\n", encoding="utf-8")
+    (tmp_path / "less.csv").write_text("name,id\nEd,5\n")
+    (tmp_path / "empty.csv").write_text("")
+    got = [tuple(r) for r in files.read_csv_safe(spark, str(tmp_path), PLAYERS).collect()]
+    assert sorted(got, key=str) == sorted([(1, "Ann", 2.5), (None, "name", None), (3, "Cy, D", 3.5), (4, None, 4.5), (5, "Ed", None)], key=str)
+
+
 def test_optional_source(spark, tmp_path):
     df = files.read_optional(spark, str(tmp_path / "nothing.csv"), PLAYERS)
     assert df.schema == PLAYERS and df.count() == 0

@@ -59,10 +59,20 @@ def test_best_transfer_against_all_swaps(spark):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("sell_price", F.lit(50))
     market = spark.createDataFrame(pool, "gw long, element long, position string, team long, price long, xp long")
     ledger = spark.createDataFrame([(s, 1, w[2], w[3]) for s, w in want.items()], "squad_id long, gw long, bank long, free long")
-    out = Q.best_single_transfer(df, market, ledger, "squad_id", "gw", "element", "xp", top_per_pos=60).collect()
+    out = Q.best_single_transfer(df, market, ledger, "squad_id", "gw", "element", "xp", first_look=2).collect()
     assert {r.squad_id: (r.before, r.objective) for r in out} == {s: w[:2] for s, w in want.items()}
 
 
+def test_gain_behind_many_dearer_players(spark):
+    """The only affordable better player of a position stands behind more dearer ones than are looked at first."""
+    pool = [(1, 6000 + i, "GK", 100 + i, 999, 1000 - i) for i in range(400)] + [(1, 7000, "GK", 7, 50, 30), (1, 7001, "DEF", 8, 999, 99)]
+    df = spark.createDataFrame(squad(0, [1] * 15), SCHEMA).withColumn("sell_price", F.lit(50))
+    market = spark.createDataFrame(pool, "gw long, element long, position string, team long, price long, xp long")
+    ledger = spark.createDataFrame([(0, 1, 0, 1)], "squad_id long, gw long, bank long, free long")
+    r = Q.best_single_transfer(df, market, ledger, "squad_id", "gw", "element", "xp").first()
+    assert (r.before, r.objective) == (12, 70)
+
+
 def twin_subs(pdf: pd.DataFrame) -> pd.DataFrame:
     lineup = pdf[pdf.in_lineup].sort_values("slot")[["slot", "position", "played"]].values.tolist()
     opened = [not x[2] for x in lineup]
