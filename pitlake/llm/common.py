@@ -13,7 +13,6 @@ from ..session import tune
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 #: Characters between words, as the members of a regular expression's class and as a string.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -21,8 +20,8 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = rf"[^{SPACE_CLASS}]+"
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query, and its DuckDB statement where SQL can express it."""
+def query(name: str) -> Callable[[Query], Query]:
+    """Register a query."""
 
     def register(fn: Query) -> Query:
         @wraps(fn)
@@ -31,8 +30,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
-        if sql is not None:
-            ORACLES[name] = sql.strip()
         return fn
 
     return register

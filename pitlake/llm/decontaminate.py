@@ -214,7 +214,7 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(docs, table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated"), "found.spans")
+        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
