@@ -201,8 +201,13 @@ def name_index(variants: DataFrame, code: str) -> DataFrame:
     return variants.groupBy("norm").agg(F.min_by(code, "ord").alias(code), F.min("ord").alias("ord"))
 
 
+def _spelling_key(norm: Column) -> Column:
+    """Sixteen bytes that stand for a spelling, so an index row does not grow with it."""
+    return F.unhex(F.md5(norm))
+
+
 def prefix_index(variants: DataFrame, code: str, min_prefix: int = 3) -> DataFrame:
-    """Spellings as they are and, behind all of those, with the first of several words shortened.
+    """``key`` of spellings as they are and, behind all of those, with the first of several words shortened.
 
     Shortened keys hold the first ``min_prefix``.. letters of the first word; an exact spelling
     always beats a shortened one, and among equals the first definition wins.
@@ -213,15 +218,16 @@ def prefix_index(variants: DataFrame, code: str, min_prefix: int = 3) -> DataFra
         F.col("norm").contains(" ") & (F.length(first) > min_prefix), F.sequence(F.lit(min_prefix), F.length(first) - 1)
     ).otherwise(F.array().cast("array<int>"))
     later = F.lit(1 << 61)
-    exact = F.struct(F.col("norm"), F.col("ord"))
-    short = F.transform(shorter, lambda n: F.struct(F.concat(F.substr(first, F.lit(1), n), rest).alias("norm"), (F.col("ord") + later).alias("ord")))
+    exact = F.struct(_spelling_key(F.col("norm")).alias("key"), F.col("ord"))
+    short = F.transform(shorter, lambda n: F.struct(_spelling_key(F.concat(F.substr(first, F.lit(1), n), rest)).alias("key"), (F.col("ord") + later).alias("ord")))
     keys = variants.select(code, F.inline(F.concat(F.array(exact), short)))
-    return keys.groupBy("norm").agg(F.min_by(code, "ord").alias(code))
+    return keys.groupBy("key").agg(F.min_by(code, "ord").alias(code))
 
 
 def match_names(probes: DataFrame, name: str, variants: DataFrame, code: str, min_prefix: int = 3) -> DataFrame:
     """Probe names to codes: exact spelling first, shortened first names (several words only) second."""
-    return probes.withColumn("norm", normalise_name(name)).join(prefix_index(variants, code, min_prefix), "norm", "left")
+    keyed = probes.withColumn("norm", normalise_name(name)).withColumn("key", _spelling_key(F.col("norm")))
+    return keyed.join(prefix_index(variants, code, min_prefix), "key", "left").drop("key")
 
 
 def match_full_name(probes: DataFrame, name: str, people: DataFrame, code: str, order: str, full: str, web: str) -> DataFrame:
@@ -242,23 +248,28 @@ def contains_lookup(people: DataFrame, name: str, probes: DataFrame, probe: str,
     """Every (person, probe) where the normalised name contains the normalised probe.
 
     An equality join on letter groups finds the candidates: a probe looks up its rarest group of
-    ``n`` letters (its whole text when shorter), names offer all of theirs, and the match is verified.
+    ``n`` letters (its whole text when shorter), names offer those of theirs that a probe has, as rows
+    of an id and a group, and each text meets the probes that it may hold once, to be verified.
     """
     p = probes.withColumn("probe_norm", normalise_name(probe)).where("probe_norm <> ''")
-    t = people.withColumn("norm", normalise_name(name))
+    t = people.withColumn("norm", normalise_name(name)).withColumn("__id", _spelling_key(F.col("norm")))
     letters = F.split("probe_norm", "")
     wanted = p.select("probe_norm").distinct().withColumn(
         "gram", F.explode(F.when(F.length("probe_norm") < n, F.array("probe_norm")).otherwise(_grams(letters, n)))
     )
-    names = t.select("norm").distinct().withColumn("__chars", F.split("norm", ""))
-    offered = names.select("norm", F.explode(F.flatten(F.array(*[_grams(F.col("__chars"), i) for i in range(1, n + 1)]))).alias("gram"))
-    offered = offered.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    # only group lengths that a probe asks for; rows of groups carry an id, never the text
+    sizes = sorted(r[0] for r in wanted.select(F.length("gram")).distinct().collect()) or [n]
+    grams = F.flatten(F.array(*[_grams(F.col("__chars"), i) for i in sizes]))
+    offered = t.select("__id", F.split("norm", "").alias("__chars")).select("__id", F.explode(grams).alias("gram"))
+    offered = offered.join(wanted.select("gram").distinct(), "gram", "left_semi").distinct()
     counts = offered.groupBy("gram").agg(F.count(F.lit(1)).alias("__n"))
     rarest = wanted.join(counts, "gram", "left").groupBy("probe_norm").agg(
         F.min_by("gram", F.struct(F.coalesce("__n", F.lit(0)), F.col("gram"))).alias("gram")
     )
-    pairs = offered.join(rarest, "gram").where(F.col("norm").contains(F.col("probe_norm"))).select("norm", "probe_norm")
-    return t.join(pairs, "norm").join(p, "probe_norm")
+    asked = offered.join(rarest, "gram").groupBy("__id").agg(F.collect_set("probe_norm").alias("__asked"))
+    held = F.filter("__asked", lambda x: F.col("norm").contains(x))
+    pairs = t.join(asked, "__id").withColumn("probe_norm", F.explode(held)).drop("__asked", "__id")
+    return pairs.join(p, "probe_norm")
 
 
 def unmatched(df: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -14,12 +14,13 @@ from .registry import query
 KEYS = ["season", "element", "gw"]
 
 _MAP_SQL = """idm as (select s.season, s_suppkey as element, s_suppkey + 100000 as code from supplier,
-   (select unnest(range(1995, 2002)) as season) s where (s_suppkey + s.season) % 6 <> 0)"""
+   (select distinct year(o_orderdate)::bigint as season from orders) s where (s_suppkey + s.season) % 6 <> 0)"""
 
 
 def id_map(spark, sf):
-    """Season-local ids of the suppliers; some are missing in some seasons."""
-    s = table(spark, sf, "supplier").withColumn("season", F.explode(F.sequence(F.lit(1995), F.lit(2001))))
+    """Season-local ids of the suppliers for every season of the orders; some are missing in some seasons."""
+    seasons = table(spark, sf, "orders").agg(F.collect_set(F.year("o_orderdate"))).scalar()
+    s = table(spark, sf, "supplier").withColumn("season", F.explode(seasons))
     return s.where("(s_suppkey + season) % 6 <> 0").selectExpr(
         "cast(season as bigint) as season", "s_suppkey as element", "s_suppkey + 100000 as code")
 
