@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .scale import top_rows, value_ranks
 
 
@@ -17,11 +18,23 @@ def competition_rank(df: DataFrame, keys: Sequence[str], col: str, name: str = "
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], cols: dict[str, str]) -> DataFrame:
-    """Ascending ranks with ties sharing their mean rank: column -> rank column."""
+    """Ascending ranks with ties sharing their mean rank: column -> rank column.
+
+    Columns of one type share one histogram of (column, value), written once, so the input is read
+    for it once whatever the number of columns.
+    """
+    kinds: dict[str, list[str]] = {}
+    for col in cols:
+        kinds.setdefault(df.schema[col].dataType.simpleString(), []).append(col)
     out = df
-    for col, name in cols.items():
+    for same in kinds.values():
+        each = F.inline(F.array(*[F.struct(F.lit(c).alias("__column"), F.col(c).alias("__value")) for c in same]))
+        ranks = value_ranks(df.select(*keys, each), [*keys, "__column"], "__value")
         rank = F.col("n_less") + (F.col("n_equal") + 1) / 2.0
-        out = out.join(value_ranks(df, keys, col).select(*keys, col, rank.alias(name)), [*keys, col], "left")
+        ranks = materialise(ranks.select(*keys, "__column", "__value", rank.alias("__rank")), "ranks")
+        for col in same:
+            own = ranks.where(F.col("__column") == col).select(*keys, F.col("__value").alias(col), F.col("__rank").alias(cols[col]))
+            out = out.join(own, [*keys, col], "left")
     return out
 
 

@@ -13,8 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 BUCKET = "__bucket"
 SPREAD = 16
+# Rows of one range of a scanned group, and the most ranges a group can have.
+ROWS_PER_RANGE = 500_000
+CUTS = 2048
 
 
 def spread_join(
@@ -32,16 +37,20 @@ def spread_join(
     return big.withColumn("__salt", salt).join(small.withColumn("__salt", parts), [*on, "__salt"], how).drop("__salt")
 
 
-def bucketed(df: DataFrame, keys: Sequence[str], order: str, splits: int = 64) -> DataFrame:
+def bucketed(df: DataFrame, keys: Sequence[str], order: str, splits: int | None = None) -> DataFrame:
     """Add ``__bucket``: monotone in ``order`` within a group, equal values share a bucket.
 
     The cut points are approximate quantiles, so buckets are of similar size whatever the
-    distribution; the results built on them are exact because only monotonicity matters.
+    distribution, and a group has one for each ``ROWS_PER_RANGE`` rows (or ``splits``). They are
+    written once: all that is built on the buckets sees the same ones, and as only monotonicity
+    matters it is exact.
     """
-    probs = [i / splits for i in range(1, splits)]
-    cuts = df.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(order, probs, 10 * splits)).alias("__cuts")
-    )
+    probs = [i / CUTS for i in range(1, CUTS)]
+    fine = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(order, probs, 10 * CUTS).alias("__q"))
+    wanted = F.lit(splits) if splits else F.greatest(F.lit(1), F.ceil(F.col("__n") / ROWS_PER_RANGE))
+    step = F.greatest(F.lit(1), F.floor(F.lit(CUTS) / wanted))
+    cuts = fine.withColumn("__step", step).select(*keys, F.array_distinct(F.filter("__q", lambda _x, i: (i + 1) % F.col("__step") == 0)).alias("__cuts"))
+    cuts = materialise(cuts, "cuts")
     joined = spread_join(df, cuts, keys, [order], "left") if keys else df.withColumn("__cuts", cuts.scalar())
     bucket = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(order))), F.lit(0))
     return joined.withColumn(BUCKET, bucket).drop("__cuts")
@@ -59,7 +68,7 @@ def running(
     ties: Sequence[str] = (),
     descending: bool = False,
     inclusive: bool = True,
-    splits: int = 64,
+    splits: int | None = None,
 ) -> DataFrame:
     """Running ``sum``/``max``/``min`` per group: ``specs`` maps output -> (column, function).
 
@@ -90,7 +99,7 @@ def running(
 
 
 def lag_pair(
-    df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], ties: Sequence[str] = (), splits: int = 64
+    df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], ties: Sequence[str] = (), splits: int | None = None
 ) -> DataFrame:
     """``prev_<col>``: the value on the preceding row of the group, across bucket borders."""
     keys = list(keys)
@@ -108,7 +117,7 @@ def lag_pair(
     return out.withColumns({f"prev_{c}": prev[c] for c in cols}).select(*df.columns, *[f"prev_{c}" for c in cols])
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], col: str, splits: int = 64) -> DataFrame:
+def value_ranks(df: DataFrame, keys: Sequence[str], col: str, splits: int | None = None) -> DataFrame:
     """One row per (group, value) with its count, the number of smaller and of larger rows.
 
     Ranks follow from these three numbers, and the input shrinks to its distinct values
