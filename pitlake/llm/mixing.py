@@ -48,17 +48,18 @@ def sainte_lague(parties: DataFrame, group: str, order: list[str], votes: str, s
 
     All quotients above a divisor that is surely too large are won at once, by rounding; only the
     last few, four a party at most, are ranked. Equal quotients go by ``order``. ``seats`` must be the
-    same in all rows of a group; NULL groups are groups; parties without votes get nothing.
+    same in all rows of a group; NULL groups are groups; parties without votes get nothing. A group's
+    parties meet in one task: they are sources, or the shards of a source, whose number grows with the
+    root of its documents.
     """
     v = F.col(votes).cast("double")
-    sums = parties.groupBy(F.col(group).alias("_g")).agg(F.sum(v).alias("_all"), F.count(F.when(v > 0, 1)).alias("_n"))
+    of_group = Window.partitionBy(group)
     scaled = lambda by: F.floor(v * by / F.col("_all") + 0.5)
     wide = (
-        parties.join(sums, same(F.col(group), F.col("_g"))).drop("_g")
+        parties.withColumn("_all", F.sum(v).over(of_group)).withColumn("_n", F.count(F.when(v > 0, 1)).over(of_group))
         .withColumn("_low", F.when(v > 0, F.greatest(F.lit(0), scaled(F.col(seats) - F.col("_n") / 2) - 1)).otherwise(0).cast("long"))
         .withColumn("_high", F.when(v > 0, F.greatest(F.col("_low"), scaled(F.col(seats) + F.col("_n") / 2) + 1)).otherwise(0).cast("long"))
     )
-    of_group = Window.partitionBy(group)
     best_first = Window.partitionBy(group).orderBy(F.desc("_quotient"), *order, "_a")
     ranked = (
         wide.withColumn("_left", F.col(seats) - F.sum("_low").over(of_group))
