@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,6 +150,22 @@ def best_column(df: DataFrame, candidates: Sequence[str], name: str, threshold:
     return out.withColumn(name, value)
 
 
+def column_ladder(df: DataFrame, steps: Sequence[tuple[str, Sequence[str], Sequence[str], Sequence[str]]], name: str, threshold: float = 0.1) -> DataFrame:
+    """A value from the first usable step of a ladder, for the whole table, and ``chosen``, the step's name.
+
+    A step is (name, gated, required, optional) columns. It is usable if each gated column's share of
+    numeric values reaches the threshold. Its value is the sum of all its columns, NULL where a gated or
+    required one is not numeric; an optional one then counts 0.
+    """
+    number = lambda c: F.col(c).try_cast("double")
+    usable = [(step, [share(number(c).isNotNull()) >= threshold for c in gated]) for step, gated, _, _ in steps]
+    pick = F.coalesce(*[F.when(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(step)) for step, tests in usable])
+    out = df.withColumn("chosen", df.agg(pick.alias("chosen")).scalar())
+    total = lambda gated, required, optional: reduce(
+        lambda a, b: a + b, [*map(number, [*gated, *required]), *[F.coalesce(number(c), F.lit(0.0)) for c in optional]])
+    return out.withColumn(name, F.coalesce(*[F.when(F.col("chosen") == step, total(*parts)) for step, *parts in steps]))
+
+
 def feature_target_corr(df: DataFrame, cols: Sequence[str], target_col: str, min_n: int = 100) -> DataFrame:
     """Correlation of every feature with the target, for features with more than ``min_n`` valid rows."""
     known = F.col(target_col).isNotNull()

@@ -336,20 +336,30 @@ def free_transfer_ledger(ledger: DataFrame, squad: str, period: str, start: int
 
 def validate_chips(chips: DataFrame, squad: str, period: str) -> DataFrame:
     """Rules each chip use breaks: unknown name, second chip in a period, second use in a half,
-    free hits in both of the two middle periods."""
-    half = F.when(F.col(period) <= FIRST_HALF_END, 1).otherwise(2)
-    df = chips.withColumn("__half", half)
-    same = Window.partitionBy(squad, "chip", "__half").orderBy(period).rowsBetween(Window.unboundedPreceding, -1)
-    one = Window.partitionBy(squad, period).orderBy("chip").rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.lag(period).over(Window.partitionBy(squad, "chip").orderBy(period))
-    checks = {
-        "unknown": ~F.col("chip").isin(CHIPS),
-        "second_in_period": F.count(F.lit(1)).over(one) > 0,
-        "used_in_half": F.count(F.lit(1)).over(same) > 0,
-        "free_hit_twice": (F.col("chip") == "free_hit") & (F.col(period) == FIRST_HALF_END + 1)
-        & F.coalesce(prev == FIRST_HALF_END, F.lit(False)),
-    }
-    return df.select(squad, period, "chip", _violations(checks).alias("violations"))
+    free hits in both of the two middle periods.
+
+    Uses are judged in the order of period and name, and only accepted ones count against later ones,
+    so a squad's uses, a few a period at most, are folded from the first to the last.
+    """
+    use = F.struct(F.col(period).alias("p"), F.col("chip").alias("chip"))
+    kind = f"array<struct<p:{chips.schema[period].dataType.simpleString()},chip:string>>"
+    start = F.struct(F.array().cast(kind).alias("booked"), F.array().cast("array<array<string>>").alias("out"))
+
+    def judge(state: Column, u: Column) -> Column:
+        booked, half = state["booked"], lambda x: x["p"] <= FIRST_HALF_END
+        free_hit = lambda x, at: (x["chip"] == "free_hit") & (x["p"] == at)
+        found = _violations({
+            "unknown": F.coalesce(~u["chip"].isin(CHIPS), F.lit(True)),
+            "second_in_period": F.exists(booked, lambda x: x["p"] == u["p"]),
+            "used_in_half": F.exists(booked, lambda x: (x["chip"] == u["chip"]) & (half(x) == half(u))),
+            "free_hit_twice": free_hit(u, FIRST_HALF_END + 1) & F.exists(booked, lambda x: free_hit(x, FIRST_HALF_END)),
+        })
+        return F.struct(F.when(F.size(found) == 0, F.array_append(booked, u)).otherwise(booked).alias("booked"), F.array_append(state["out"], found).alias("out"))
+
+    uses = chips.groupBy(squad).agg(F.sort_array(F.collect_list(use)).alias("__uses"))
+    judged = uses.withColumn("__out", F.aggregate("__uses", start, judge, lambda s: s["out"]))
+    each = judged.select(squad, F.inline(F.arrays_zip("__uses", "__out")))
+    return each.select(squad, F.col("__uses.p").alias(period), F.col("__uses.chip").alias("chip"), F.col("__out").alias("violations"))
 
 
 def audit_transfers(

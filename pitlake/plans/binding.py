@@ -18,7 +18,10 @@ SUMS = [
     "total_points", "minutes", "goals_scored", "assists", "clean_sheets", "bonus", "bps", "saves",
     "goals_conceded", "yellow_cards", "red_cards", "starts", "transfers_balance", "transfers_in",
     "transfers_out", "influence", "creativity", "threat", "ict_index",
+    "expected_goals", "expected_assists", "expected_goal_involvements", "expected_goals_conceded",
+    "key_passes", "tackles", "completed_passes", "big_chances_created", "recoveries",
 ]
+DOUBLES = ("influence", "creativity", "threat", "ict_index", "expected_goals", "expected_assists", "expected_goal_involvements", "expected_goals_conceded")
 LASTS = ["value", "selected"]
 
 
@@ -61,6 +64,15 @@ PANEL_EXPRS: dict[str, str] = {
     "creativity": "cast(l_quantity * 2 as double)",
     "threat": "cast(l_linenumber as double)",
     "ict_index": "cast(l_quantity * 3 + l_linenumber as double)",
+    "expected_goals": "cast(cast(l_quantity as bigint) % 9 as double) / 8.0",
+    "expected_assists": "cast(l_linenumber as double) / 4.0",
+    "expected_goal_involvements": "cast(cast(l_quantity as bigint) % 9 as double) / 8.0 + cast(l_linenumber as double) / 4.0",
+    "expected_goals_conceded": "cast(l_partkey % 17 as double) / 8.0",
+    "key_passes": "l_partkey % 5",
+    "tackles": "l_orderkey % 6",
+    "completed_passes": "l_partkey % 70",
+    "big_chances_created": "cast(l_linenumber % 2 as bigint)",
+    "recoveries": "l_orderkey % 11",
     "value": "40 + l_partkey % 90",
     "selected": "l_partkey * 1000",
     "xp": "cast(cast(round(l_extendedprice * 100) as bigint) % 40 as double) / 8.0",
@@ -180,7 +192,7 @@ _PA = (
     _PG
     + ", pa as (select season, element, gw, "
     + ", ".join(
-        f"coalesce(sum({c}), 0)::{'double' if c in ('influence', 'creativity', 'threat', 'ict_index') else 'bigint'} as {c}"
+        f"coalesce(sum({c}), 0)::{'double' if c in DOUBLES else 'bigint'} as {c}"
         for c in SUMS
     )
     + ", "

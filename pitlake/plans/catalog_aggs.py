@@ -146,7 +146,7 @@ _TEXT_STATS = """case when p_partkey % 3 = 0 then 'n/a' else cast(p_size as varc
 def _text_stats(spark, sf):
     return table(spark, sf, "part").selectExpr(
         "p_partkey", "case when p_partkey % 3 = 0 then 'n/a' else cast(p_size as string) end as mostly",
-        "case when p_partkey % 20 = 0 then cast(p_size as string) else '' end as rarely", "p_name as never", "p_brand")
+        "case when p_partkey % 20 = 0 then cast(p_size as string) else '' end as rarely", "p_name as never", "p_brand", "p_size")
 
 
 @query("d15_valid_columns", f"""with t as (select {_TEXT_STATS} from part),
@@ -166,6 +166,18 @@ def d16(spark, sf):
     return A.best_column(_text_stats(spark, sf), ["rarely", "mostly"], "stat", 0.1).select("p_partkey", "chosen", "stat")
 
 
+@query("d16_column_ladder", f"""with t as (select p_partkey, p_brand, p_size, {_TEXT_STATS} from part), v as (select p_partkey, p_size::double as size, try_cast(rarely as double) as r, try_cast(mostly as double) as m from t),
+ g as (select avg((r is not null)::int) as gr, avg((m is not null)::int) as gm from v)
+ select p_partkey, case when gr >= 0.1 then 'combined' when gm >= 0.1 then 'sum' else 'proxy' end as chosen, case when gr >= 0.1 then r when gm >= 0.1 then m + size else size + coalesce(m, 0) end as stat,
+  case when gr >= 1.01 then r when gm >= 1.01 then m + size else size + coalesce(m, 0) end as proxy from v, g""")
+def d16_ladder(spark, sf):
+    """A combined column, else a sum of two, else one and what is known of its proxy."""
+    steps = [("combined", ["rarely"], [], []), ("sum", ["mostly"], ["p_size"], []), ("proxy", [], ["p_size"], ["mostly"])]
+    rows = _text_stats(spark, sf)
+    first = A.column_ladder(rows, steps, "stat", 0.1)
+    return A.column_ladder(first.withColumnRenamed("chosen", "first"), steps, "proxy", 1.01).select("p_partkey", F.col("first").alias("chosen"), "stat", "proxy")
+
+
 @query("d17_feature_target_corr", """with @PA, p as (select *, nullif(red_cards, 0) as reds from pa), u as (
   select 'minutes' as feature, count(minutes) as n, covar_pop(minutes, total_points) / nullif(stddev_pop(minutes) * stddev_pop(total_points), 0) as corr from p
   union all select 'bps', count(bps), covar_pop(bps, total_points) / nullif(stddev_pop(bps) * stddev_pop(total_points), 0) from p

@@ -206,13 +206,16 @@ def i12(spark, sf):
     return Q.free_transfer_ledger(moves, "squad_id", "gw")
 
 
-@query("i13_validate_chips", """with @SQ, @CH, x as (select squad_id, gw, chip from ch union all select squad_id, gw, 'bench_boost' from ch where squad_id % 4 = 1 and chip <> 'bench_boost'
+@query("i13_validate_chips", """with recursive @SQ, @CH, x as (select squad_id, gw, chip from ch union all select squad_id, gw, 'bench_boost' from ch where squad_id % 4 = 1 and chip <> 'bench_boost'
    union all select squad_id, unnest([19, 20]), 'free_hit' from ch where chip = 'free_hit' and gw = 12),
- h as (select *, gw <= 19 as h1, row_number() over () as id from x)
- select squad_id, gw, chip, list_filter([case when chip not in ('wildcard', 'free_hit', 'bench_boost', 'triple_captain') then 'unknown' end,
-   case when row_number() over (partition by squad_id, gw order by chip) > 1 then 'second_in_period' end,
-   case when row_number() over (partition by squad_id, chip, h1 order by gw) > 1 then 'used_in_half' end,
-   case when chip = 'free_hit' and gw = 20 and lag(gw) over (partition by squad_id, chip order by gw) = 19 then 'free_hit_twice' end], lambda v: v is not null) as violations from h""")
+ o as (select squad_id, gw, chip, row_number() over (partition by squad_id order by gw, chip) as rn from x),
+ r as (select squad_id, 0::bigint as rn, null::bigint as gw, null::varchar as chip, []::varchar[] as violations, []::struct(gw bigint, chip varchar)[] as booked from (select distinct squad_id from o)
+  union all select squad_id, rn, gw, chip, v, case when len(v) = 0 then list_append(booked, {'gw': gw, 'chip': chip}) else booked end from (
+   select o.squad_id, o.rn, o.gw, o.chip, r.booked, list_filter([case when o.chip not in ('wildcard', 'free_hit', 'bench_boost', 'triple_captain') then 'unknown' end,
+    case when len(list_filter(r.booked, lambda b: b.gw = o.gw)) > 0 then 'second_in_period' end, case when len(list_filter(r.booked, lambda b: b.chip = o.chip and (b.gw <= 19) = (o.gw <= 19))) > 0 then 'used_in_half' end,
+    case when o.chip = 'free_hit' and o.gw = 20 and len(list_filter(r.booked, lambda b: b.chip = 'free_hit' and b.gw = 19)) > 0 then 'free_hit_twice' end], lambda v: v is not null) as v
+   from r join o on o.squad_id = r.squad_id and o.rn = r.rn + 1))
+ select squad_id, gw, chip, violations from r where rn > 0""")
 def i13(spark, sf):
     c = chips(spark, sf)
     extra = c.where("squad_id % 4 = 1 and chip <> 'bench_boost'").withColumn("chip", F.lit("bench_boost"))

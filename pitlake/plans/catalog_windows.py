@@ -62,10 +62,8 @@ ROLLING_SPECS = [
     ("recoveries_rolling_5", "recoveries", 5, "mean"),
     ("dribbles_rolling_5", "dribbles", 5, "mean"),
 ]
-_ABSENT = {
-    "expected_goals", "expected_assists", "expected_goal_involvements", "expected_goals_conceded", "key_passes",
-    "tackles", "completed_passes", "big_chances_created", "recoveries", "dribbles",
-}
+# The panel has no such column: the feature is NULL.
+_ABSENT = {"dribbles"}
 _SQL_AGG = {"mean": "avg", "sum": "sum", "std": "stddev_samp"}
 
 
