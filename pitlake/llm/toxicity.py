@@ -178,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         model = fit_sample([t for _, t, _ in rows], np.array([y for _, _, y in rows], float))
         yield pa.RecordBatch.from_arrays([pa.array([model.kept.tolist()]), pa.array([model.weight.tolist()], pa.list_(pa.float64())), pa.array([model.constant])], names=["kept", "weight", "constant"])
 
-    r = sample.select(key, "_t", "_y").coalesce(1).mapInArrow(learn, "kept array<long>, weight array<double>, constant double").first()
+    r = sample.select(key, "_t", "_y").repartition(1).mapInArrow(learn, "kept array<long>, weight array<double>, constant double").first()
     return Model(np.array(r.kept, np.int64), np.array(r.weight), r.constant) if r else Model(np.zeros(0, np.int64), np.zeros(0), -3.0)
 
 
