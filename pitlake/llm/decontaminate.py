@@ -20,7 +20,7 @@ PHRASE_WORDS = 10
 #: Words of a shard; a shard is indexed when it holds so many, or at the end of its partition.
 SHARD_WORDS = 1 << 21
 #: Characters of benchmark items that are searched for at once; larger benchmarks take several rounds.
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 8 << 20
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bytes to lower case, and everything between words to a space.
@@ -52,22 +52,21 @@ class Phrases:
 
 
 def phrases(items: list[tuple[object, str | None]], window: int) -> Phrases:
+    """Windows of all items as rows of numbers, 0 behind the end of a short item, each distinct one once."""
     number: dict[bytes, int] = {}
-    found: dict[tuple[int, ...], set[int]] = {}
     names = sorted({str(k) for k, _ in items if k is not None})
     place = {k: i for i, k in enumerate(names)}
+    rows, owner = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
     for key, text in items:
         ids = [number.setdefault(w, len(number) + 1) for w in words(text)]
         if key is not None and ids:
-            for i in range(max(1, len(ids) - window + 1)):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(place[str(key)])
-    lengths = np.array([len(p) for p in found], np.int64)
-    symbols = np.zeros((len(found), window), np.int64)
-    for i, p in enumerate(found):
-        symbols[i, : len(p)] = p
-    sizes = [len(s) for s in found.values()]
-    item_of = np.array([x for s in found.values() for x in sorted(s)], np.int64)
-    return Phrases(number, symbols, lengths, item_of, np.r_[0, np.cumsum(sizes)].astype(np.int64), names)
+            padded = np.array(ids + [0] * (window - len(ids)), np.int32)
+            rows.append(np.lib.stride_tricks.sliding_window_view(padded, window))
+            owner.append(np.full(len(rows[-1]), place[str(key)]))
+    symbols, at = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+    held = np.unique(at.ravel() * np.int64(max(1, len(names))) + np.concatenate(owner))
+    phrase, item = np.divmod(held, max(1, len(names)))
+    return Phrases(number, symbols, (symbols > 0).sum(axis=1), item, np.searchsorted(phrase, np.arange(len(symbols) + 1)), names)
 
 
 def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
