@@ -27,21 +27,22 @@ def _stars(edges: DataFrame, larger_only: bool) -> DataFrame:
     return new.filter("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge at most, to a node that has none: then that node is its component's least."""
+    n, nodes = edges.agg(F.count("*"), F.count_distinct("u")).first()
+    return n == nodes and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``node``, ``component`` (least node reachable) for all nodes of ``links``, a table of long pairs.
 
-    Each round relinks every node to lower ones and writes the new edges to the shared folder; it ends
-    when a round changes nothing, after a number of rounds that grows with the logarithm of the
-    longest chain. Self links and repeats count nothing; NULL ends are left out.
+    Each round relinks every node to lower ones and writes the new edges to the shared folder, until
+    all hang on the least of their component, after a number of rounds that grows with the logarithm
+    of the longest chain. Self links and repeats count nothing; NULL ends are left out.
     """
     proper = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     edges = materialise(proper.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    sealed = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-    seal = edges.agg(*sealed).first()
-    while seal[0]:
+    while not _settled(edges):
         edges = materialise(_stars(_stars(edges, True), False), "links")
-        before, seal = seal, edges.agg(*sealed).first()
-        if seal == before:
-            break
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
