@@ -88,7 +88,8 @@ def format_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
     """One row per path: ``tree``, ``path``, ``formatted``.
 
     A turn is ``### role: text</turn>`` and a line break; ``\\``, ``#`` and ``<`` in texts, and ``:``
-    in roles, are escaped, so control strings inside texts never look like marks.
+    in roles, are escaped, so control strings inside texts never look like marks. A path's turns meet
+    in the one row that is its result; all steps before carry ids only and are spread by message.
     """
     turns = paths.join(messages.select(F.col("tree").alias("_t"), F.col("id").alias("_i"), "role", "text"), same(F.col("tree"), F.col("_t")) & (F.col("id") == F.col("_i")))
     turn = F.concat(F.lit(HEAD), escape(F.col("role")), F.lit(MIDDLE), _marked(F.col("text")), F.lit(TAIL))
