@@ -91,3 +91,33 @@ def test_stage_cuts_passages_only(spark, tmp_path):
     assert (out[2].text, out[2].n_chars) == ("clean text", 10)
     assert out[3].text is None and out[3].n_chars is None
     assert out[4].text == "" and out[4].n_chars == 0
+
+
+CASED = [
+    ("A I THE passage", "Alpha Beta gAmMa X delta EPSILON zETA Eta Theta IoTa", "B C after it"),
+    ("The", "ALPHA BETA GAMMA X DELTA EPSILON ZETA ETA THETA IOTA", "McTavish WENT"),
+    ("camelCase iPhone I", "alpha beta gamma x delta epsilon zeta eta theta iota", "End"),
+]
+
+
+def test_words_of_raw_and_folded_text_agree():
+    for text in [*(" ".join(c) for c in CASED), "A", "iPhone [X] `Y` @Z {W} x_Y", "Été ÀB c\x7fD", "I"]:
+        assert [m[0].encode().translate(d.FOLD) for m in d.WORD.finditer(text)] == d.words(text)
+
+
+def test_spans_of_capitals_in_one_and_several_blocks(spark, tmp_path):
+    items = [(1, "alpha beta gamma x delta epsilon zeta eta theta iota"), (2, "Other Words A b C"), (3, "I AM")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, " ".join(c)) for i, c in enumerate(CASED)] + [(9, "I am. OTHER words a B c; A Clean End")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (1 << 20, 10):
+        got = {r.doc_id: r for r in d.find(docs, bench, block_chars=block).select("doc_id", "text", "found.*").collect()}
+        for i, (before, passage, after) in enumerate(CASED):
+            r = got[i]
+            assert [r.text[s.start : s.end] for s in r.spans] == [passage]
+            assert (r.n_words, r.n_hit) == (len(r.text.split()), 10)
+        assert [got[9].text[s.start : s.end] for s in got[9].spans] == ["I am. OTHER words a B c"] and (got[9].n_words, got[9].n_hit) == (10, 7)
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, t, "en", "s", len(t)) for i, t in rows]
+    out = {r.doc_id: r.text for r in d.stage(spark, spark.createDataFrame(rows, DOC), str(tmp_path)).collect()}
+    assert out == {**{i: f"{a}  {c}" for i, (a, _, c) in enumerate(CASED)}, 9: "; A Clean End"}
