@@ -19,8 +19,12 @@ from .words import U64, alphabet, hashes, mix, pieces, spans
 
 SHINGLE_WORDS = 3
 PERCENT = 90
-#: Share of all possible shingles (by hash) in which unique ones are counted first.
-SAMPLE_SHARE = 0.2
+#: The pipeline's stage takes near copies in a wider sense than ``op7``, whose statement fixes the two values above.
+STAGE_SHINGLE_WORDS = 5
+STAGE_PERCENT = 80
+#: Share of all possible shingles (by hash) in which unique ones are counted first, as a multiple of what a set
+#: can spare: 0.2 at 90 percent, 0.4 at 80. At a multiple of 1 or less hardly a set could be proved alone. Results don't depend on it.
+SAMPLE_OF_SPARE = 2
 #: Rounds in which documents are compared with leaders, before all remaining pairs.
 LEADER_ROUNDS = 2
 #: Depth of the suffix filter's halvings.
@@ -230,7 +234,7 @@ def set_links(sets: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataF
     return links, components(links, "x", "y")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT, share: float = SAMPLE_SHARE) -> tuple[DataFrame, DataFrame]:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT, share: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Near-duplicate classes of documents: ``keyed`` (key and set keys per row), ``merged`` (set keys, ``component_id``).
 
     A text's set are its distinct shingles of ``size`` words, A-Z lower-cased; a shorter text with words has one;
@@ -240,6 +244,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     classes of several documents or with links; ``component_id`` is the least key reachable (NULL keys are
     passed over). Repeated rows are copies like any other.
     """
+    share = min(SAMPLE_OF_SPARE * (100 - percent) / 100, 0.99) if share is None else share
     keyed = materialise(with_keys(docs.select(key, text), text, size).drop(text), "jaccard-keys")
     of_class = ["n_shingles", "key_a", "key_b"]
     classes = keyed.filter("n_shingles > 0").groupBy(*of_class).agg(F.min(key).alias("first"), F.count("*").alias("rows"))
@@ -266,20 +271,21 @@ def attach(keyed: DataFrame, merged: DataFrame, key: str = "doc_id") -> DataFram
 
 @query("op7_jaccard_join")
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed, merged = groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    keyed, merged = groups(table(spark, sf_dir, "documents").select("doc_id", "text"), size=SHINGLE_WORDS, percent=PERCENT)
     return attach(keyed, merged).select("doc_id", "n_shingles", "component_id")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group, that with the least ``doc_id``; rows without words all stay.
 
+    Groups are of ``STAGE_SHINGLE_WORDS`` words a shingle and ``STAGE_PERCENT`` percent.
     Of rows that are equal in set and ``doc_id``, one stays; rows of one ``doc_id`` that differ in set
     count as one document.
     """
     columns, same_row = docs.columns, ["doc_id", "n_shingles", "key_a", "key_b"]
-    keyed, merged = groups(docs)
+    keyed, merged = groups(docs, size=STAGE_SHINGLE_WORDS, percent=STAGE_PERCENT)
     stays = (F.col("n_shingles") == 0) | same(F.col("doc_id"), F.col("component_id"))
-    rows = with_keys(docs.select(F.struct(*columns).alias("_row"), "doc_id"), "_row.text")
+    rows = with_keys(docs.select(F.struct(*columns).alias("_row"), "doc_id"), "_row.text", STAGE_SHINGLE_WORDS)
     kept = attach(rows, merged).filter(stays)
     again = attach(keyed, merged).filter(stays & (F.col("n_shingles") > 0)).groupBy(*same_row).agg(F.count("*").alias("_rows")).filter("_rows > 1")
     again = materialise(again.select(*(F.col(c).alias(f"_{c}") for c in same_row)), "jaccard-repeated")

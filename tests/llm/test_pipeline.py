@@ -86,3 +86,31 @@ def test_run_over_nothing(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_between_the_bounds(spark, tmp_path):
+    """Five-word similarity of 0.8 or more counts, also where three-word similarity is below 0.9."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmno") for _ in range(rng.randint(2, 8)))
+    rows, near, apart = [], [], []
+    for i in range(12):
+        words = [word() for _ in range(100)]
+        rows.append((i, " ".join(words) + ".", "en", "s0"))
+        for key, places, found in ((100 + i, (30, 60), near), (200 + i, (20, 45, 70), apart)):
+            w = list(words)
+            for at in places:
+                w[at] = f"changed{key}"
+            rows.append((key, " ".join(w) + ".", "en", "s0"))
+            found.append(key)
+    rows = [(*r, len(r[1])) for r in rows]
+    five = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    text = {r[0]: r[1] for r in rows}
+    alike = lambda a, b, f: len(f(text[a]) & f(text[b])) / len(f(text[a]) | f(text[b]))
+    assert all(alike(k, k - 100, five) >= 0.8 and alike(k, k - 100, shingles) < 0.9 for k in near)
+    assert all(alike(k, k - 200, five) < 0.8 and alike(k, k - 100, five) < 0.8 for k in apart)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = {r.doc_id for r in jaccard_join.stage(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows} - set(near)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert not set(near) & {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
