@@ -167,11 +167,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Fit on at most ``max_docs`` labelled rows that are not held out, chosen by a hash of their id.
 
     Labels other than 0 and 1 and NULL ids are left out; of several labels for one id the largest
-    counts. The sample is fitted in one task and only the model comes back.
+    counts, and of several texts the least. The sample has one row an id before it goes to the one task
+    that fits it; only the model comes back.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).alias("_y"))
     chosen = known.orderBy(F.xxhash64(key), key).limit(max_docs)
-    sample = docs.select(key, F.coalesce(text, F.lit("")).alias("_t")).join(F.broadcast(chosen), key)
+    sample = docs.select(key, F.coalesce(text, F.lit("")).alias("_t")).join(F.broadcast(chosen), key).groupBy(key).agg(F.min("_t").alias("_t"), F.max("_y").alias("_y"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((k, t, y) for b in batches for k, t, y in zip(*(c.to_pylist() for c in b.columns)))[:max_docs]

@@ -68,3 +68,13 @@ def test_no_usable_labels(spark):
     assert t.score(docs.limit(0), t.fit(docs.limit(0), none)).count() == 0
     ones = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     assert t.score(docs, t.fit(docs, ones)).first().score < 0.5
+
+
+def test_repeated_ids_are_one_row_of_the_sample(spark):
+    """Repeated rows crowd no other id out of a bounded sample."""
+    rows = corpus(300)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    once = [(i, x) for i, x, _ in rows]
+    many = once + [(i, "zzz repeated text") for i in range(0, 40) for _ in range(20)]
+    a, b = (t.fit(spark.createDataFrame(d, "doc_id long, text string"), labels, max_docs=150) for d in (once, many))
+    assert len(a.kept) and np.array_equal(a.kept, b.kept) and np.array_equal(a.weight, b.weight) and a.constant == b.constant
