@@ -3,7 +3,7 @@
 A window gathers its whole group in one task. Panel operators avoid trouble by windowing only
 rows that are unique per (entity, period), so a group is at most one row per period. Where a
 group has no such bound (all rows of a period, all lines of a log) the functions here cut it
-into value ranges, scan the ranges in parallel and carry a per-range total across.
+into ranges (a range partitioning), scan the ranges in parallel and carry a total per range across.
 """
 
 from __future__ import annotations
@@ -17,9 +17,8 @@ from ..session import materialise
 
 BUCKET = "__bucket"
 SPREAD = 16
-# Rows of one range of a scanned group, and the most ranges a group can have.
+# Rows of one range of a scanned group; a smaller group is one ordinary window.
 ROWS_PER_RANGE = 500_000
-CUTS = 2048
 
 
 def spread_join(
@@ -37,23 +36,41 @@ def spread_join(
     return big.withColumn("__salt", salt).join(small.withColumn("__salt", parts), [*on, "__salt"], how).drop("__salt")
 
 
-def bucketed(df: DataFrame, keys: Sequence[str], order: str, splits: int | None = None) -> DataFrame:
-    """Add ``__bucket``: monotone in ``order`` within a group, equal values share a bucket.
+def ranges(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], splits: int | None = None, rows: int = ROWS_PER_RANGE
+) -> tuple[DataFrame | None, DataFrame | None]:
+    """``df`` in two parts: groups of at most ``rows`` rows as they are, larger ones cut into ranges.
 
-    The cut points are approximate quantiles, so buckets are of similar size whatever the
-    distribution, and a group has one for each ``ROWS_PER_RANGE`` rows (or ``splits``). They are
-    written once: all that is built on the buckets sees the same ones, and as only monotonicity
-    matters it is exact.
+    Groups are counted first, which reads only the keys. Where some are too large for a window,
+    their rows are range-partitioned by (keys, order) into as many partitions as their number of
+    rows asks for, with the partition's number as ``__bucket``, and written once, so all that is
+    built on the ranges sees the same ones. Within a group the ranges follow each other by number.
+    Either part is None if there are no such groups; ``splits`` cuts all groups, into so many partitions.
     """
-    probs = [i / CUTS for i in range(1, CUTS)]
-    fine = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(order, probs, 10 * CUTS).alias("__q"))
-    wanted = F.lit(splits) if splits else F.greatest(F.lit(1), F.ceil(F.col("__n") / ROWS_PER_RANGE))
-    step = F.greatest(F.lit(1), F.floor(F.lit(CUTS) / wanted))
-    cuts = fine.withColumn("__step", step).select(*keys, F.array_distinct(F.filter("__q", lambda _x, i: (i + 1) % F.col("__step") == 0)).alias("__cuts"))
-    cuts = materialise(cuts, "cuts")
-    joined = spread_join(df, cuts, keys, [order], "left") if keys else df.withColumn("__cuts", cuts.scalar())
-    bucket = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(order))), F.lit(0))
-    return joined.withColumn(BUCKET, bucket).drop("__cuts")
+    keys = list(keys)
+    if splits:
+        return None, _placed(df, keys, order, splits)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > rows)
+    total, groups = sizes.agg(F.sum("__n"), F.count(F.lit(1))).first()
+    if not groups:
+        return df, None
+    parts = -(-total // rows)
+    if not keys:
+        return None, _placed(df, keys, order, parts)
+    large = materialise(sizes.select(*keys), "large-groups")
+    cond = lambda side: F.expr(" and ".join(f"df.`{k}` <=> large.`{k}`" for k in side))
+    named, marks = df.alias("df"), large.alias("large")
+    return named.join(marks, cond(keys), "left_anti"), _placed(named.join(marks, cond(keys), "left_semi"), keys, order, parts)
+
+
+def _placed(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int) -> DataFrame:
+    cut = df.repartitionByRange(int(parts), *[F.col(c) for c in (*keys, *order)])
+    return materialise(cut.withColumn(BUCKET, F.spark_partition_id()), "ranges")
+
+
+def _both(parts: Sequence[DataFrame | None]) -> DataFrame:
+    some = [p for p in parts if p is not None]
+    return some[0] if len(some) == 1 else some[0].unionByName(some[1])
 
 
 _COMBINE = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -72,69 +89,101 @@ def running(
 ) -> DataFrame:
     """Running ``sum``/``max``/``min`` per group: ``specs`` maps output -> (column, function).
 
-    ``descending`` scans from the largest order value down (a suffix aggregate);
-    ``inclusive=False`` leaves the current row out. ``ties`` complete the order.
+    A parallel prefix scan: small groups are one window each; a large one is scanned range by range, and
+    the total of the ranges before, carried over by their number, is added to each. ``descending`` scans from
+    the largest order value down (a suffix aggregate); ``inclusive=False`` leaves the current row
+    out. ``ties`` complete the order, also across ranges.
     """
     keys = list(keys)
     sort = lambda c: F.col(c).desc() if descending else F.col(c).asc()
-    parts = bucketed(df, keys, order, splits)
-    totals = parts.groupBy(*keys, BUCKET).agg(
-        *[_COMBINE[fn](c).alias(f"__t_{out}") for out, (c, fn) in specs.items()]
-    )
-    before = Window.partitionBy(*keys).orderBy(sort(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *keys, BUCKET, *[_COMBINE[fn](f"__t_{out}").over(before).alias(f"__c_{out}") for out, (_, fn) in specs.items()]
-    )
-    inside = (
-        Window.partitionBy(*keys, BUCKET)
-        .orderBy(sort(order), *[sort(c) for c in ties])
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    )
-    out = parts.withColumns({f"__l_{o}": _COMBINE[fn](c).over(inside) for o, (c, fn) in specs.items()})
-    out = out.join(carry, [*keys, BUCKET], "left")
-    out = out.withColumns(
-        {o: _PICK[fn](F.col(f"__l_{o}"), F.col(f"__c_{o}")) for o, (_, fn) in specs.items()}
-    )
-    return out.select(*df.columns, *specs)
+
+    def scan(rows: DataFrame, by: Sequence[str], prefix: str) -> DataFrame:
+        inside = Window.partitionBy(*by).orderBy(*[sort(c) for c in (order, *ties)]).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        return rows.withColumns({f"{prefix}{o}": _COMBINE[fn](c).over(inside) for o, (c, fn) in specs.items()})
+
+    whole, cut = ranges(df, keys, [order, *ties], splits)
+    parts = [scan(whole, keys, "").select(*df.columns, *specs) if whole is not None else None]
+    if cut is not None:
+        totals = cut.groupBy(*keys, BUCKET).agg(*[_COMBINE[fn](c).alias(f"__t_{out}") for out, (c, fn) in specs.items()])
+        before = Window.partitionBy(*keys).orderBy(sort(BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+        carry = totals.select(*keys, BUCKET, *[_COMBINE[fn](f"__t_{out}").over(before).alias(f"__c_{out}") for out, (_, fn) in specs.items()])
+        out = _carried(scan(cut, [*keys, BUCKET], "__l_"), carry, keys)
+        out = out.withColumns({o: _PICK[fn](F.col(f"__l_{o}"), F.col(f"__c_{o}")) for o, (_, fn) in specs.items()})
+        parts.append(out.select(*df.columns, *specs))
+    return _both(parts)
+
+
+def _carried(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row a range joined to the rows of that range; NULL keys meet NULL keys."""
+    named = carry.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)}).withColumnRenamed(BUCKET, "__b")
+    on = F.col(BUCKET) == F.col("__b")
+    for i, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return rows.join(named, on, "left").drop("__b", *[f"__k{i}" for i in range(len(keys))])
 
 
 def lag_pair(
     df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], ties: Sequence[str] = (), splits: int | None = None
 ) -> DataFrame:
-    """``prev_<col>``: the value on the preceding row of the group, across bucket borders."""
+    """``prev_<col>``: the value on the preceding row of the group, across the borders of ranges."""
     keys = list(keys)
-    parts = bucketed(df, keys, order, splits)
     sort = [F.col(order).asc(), *[F.col(c).asc() for c in ties]]
-    inside = Window.partitionBy(*keys, BUCKET).orderBy(*sort)
-    rank_key = F.struct(order, *ties)
-    tails = parts.groupBy(*keys, BUCKET).agg(
-        F.max_by(F.struct(*cols), rank_key).alias("__tail")
-    )
-    across = Window.partitionBy(*keys).orderBy(BUCKET)
-    tails = tails.select(*keys, BUCKET, F.lag("__tail").over(across).alias("__before"))
-    out = parts.withColumn("__inside", F.lag(F.struct(*cols)).over(inside)).join(tails, [*keys, BUCKET], "left")
-    prev = F.coalesce("__inside", "__before")
-    return out.withColumns({f"prev_{c}": prev[c] for c in cols}).select(*df.columns, *[f"prev_{c}" for c in cols])
+    prev = {f"prev_{c}": F.col("__prev")[c] for c in cols}
+    whole, cut = ranges(df, keys, [order, *ties], splits)
+    parts = []
+    if whole is not None:
+        parts.append(whole.withColumn("__prev", F.lag(F.struct(*cols)).over(Window.partitionBy(*keys).orderBy(*sort))).withColumns(prev).select(*df.columns, *prev))
+    if cut is not None:
+        inside = Window.partitionBy(*keys, BUCKET).orderBy(*sort)
+        tails = cut.groupBy(*keys, BUCKET).agg(F.max_by(F.struct(*cols), F.struct(order, *ties)).alias("__tail"))
+        tails = tails.select(*keys, BUCKET, F.lag("__tail").over(Window.partitionBy(*keys).orderBy(BUCKET)).alias("__before"))
+        out = _carried(cut.withColumn("__inside", F.lag(F.struct(*cols)).over(inside)), tails, keys)
+        parts.append(out.withColumn("__prev", F.coalesce("__inside", "__before")).withColumns(prev).select(*df.columns, *prev))
+    return _both(parts)
+
+
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "place", splits: int | None = None) -> DataFrame:
+    """``name``: the row's number in its group from 0, by ``order``, which may hold several columns; groups of any size."""
+    keys, order = list(keys), list(order)
+    whole, cut = ranges(df, keys, order, splits)
+    number = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long") - 1
+    parts = [whole.withColumn(name, number(keys)).select(*df.columns, name) if whole is not None else None]
+    if cut is not None:
+        sizes = cut.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
+        before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        carry = sizes.select(*keys, BUCKET, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+        out = _carried(cut.withColumn("__inside", number([*keys, BUCKET])), carry, keys)
+        parts.append(out.withColumn(name, F.col("__inside") + F.col("__before")).select(*df.columns, name))
+    return _both(parts)
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], col: str, splits: int | None = None) -> DataFrame:
     """One row per (group, value) with its count, the number of smaller and of larger rows.
 
     Ranks follow from these three numbers, and the input shrinks to its distinct values
-    (combined before the shuffle) before anything is ordered.
+    (combined before the shuffle) before anything is ordered. The number of larger rows is the
+    suffix scan of the same histogram, so no total has to be joined.
     """
     keys = list(keys)
     hist = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("n_equal"))
-    up = running(hist, keys, col, {"__n": ("n_equal", "sum")}, splits=splits)
-    total = hist.groupBy(*keys).agg(F.sum("n_equal").alias("__all"))
-    ranked = spread_join(up, total, keys, [col], "left") if keys else up.withColumn("__all", total.scalar())
-    return ranked.select(
-        *keys,
-        col,
-        "n_equal",
-        (F.col("__n") - F.col("n_equal")).alias("n_less"),
-        (F.col("__all") - F.col("__n")).alias("n_greater"),
-    )
+    hist = materialise(hist, "histogram")
+    whole, cut = ranges(hist, keys, [col], splits)
+    cols = [*keys, col, "n_equal"]
+    parts = []
+    if whole is not None:
+        line = Window.partitionBy(*keys)
+        upto = F.sum("n_equal").over(line.orderBy(col).rowsBetween(Window.unboundedPreceding, 0))
+        parts.append(whole.select(*cols, (upto - F.col("n_equal")).alias("n_less"), (F.sum("n_equal").over(line) - upto).alias("n_greater")))
+    if cut is not None:
+        totals = cut.groupBy(*keys, BUCKET).agg(F.sum("n_equal").alias("__t"))
+        line = Window.partitionBy(*keys)
+        upto = F.sum("__t").over(line.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0))
+        carry = totals.select(*keys, BUCKET, (upto - F.col("__t")).alias("__before"), F.sum("__t").over(line).alias("__all"))
+        inside = F.sum("n_equal").over(Window.partitionBy(*keys, BUCKET).orderBy(col).rowsBetween(Window.unboundedPreceding, 0))
+        out = _carried(cut.withColumn("__upto", inside), carry, keys)
+        less = F.col("__before") + F.col("__upto") - F.col("n_equal")
+        parts.append(out.select(*cols, less.alias("n_less"), (F.col("__all") - less - F.col("n_equal")).alias("n_greater")))
+    return _both(parts)
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:

@@ -4,9 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The run folder in use, and where materialised tables lie.
+_RUN: ContextVar[str | None] = ContextVar("run_folder", default=None)
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 # Adaptive execution sizes the shuffles, splits skewed join partitions and switches to a
 # broadcast only after a side has been measured, so no operator here forces a broadcast.
 CONF = {
@@ -37,8 +45,8 @@ def tune(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
+def _scratch_root(spark: SparkSession) -> str:
+    """The cluster's shared ``spark.checkpoint.dir``.
 
     Only in local mode, where driver and executors are one machine, a temporary folder takes the
     place of an unset setting; on a cluster the setting is required.
@@ -48,11 +56,46 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="pitlake-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the run folder in use, else under the shared scratch folder."""
+    return f"{_RUN.get() or _scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def run_folder(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """Everything that is materialised inside goes to one folder, which is deleted at the end.
+
+    A result must be written elsewhere, or collected, before the end; folders nest.
+    """
+    path = f"{_RUN.get() or _scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    token = _RUN.set(path)
+    try:
+        yield path
+    finally:
+        _RUN.reset(token)
+        _delete(spark, path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, and no later step computes it again."""
     path = scratch_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` returned, once nothing reads it any more."""
+    path = _WRITTEN.pop(df, None)
+    if path:
+        _delete(df.sparkSession, path)

@@ -9,7 +9,7 @@ from pitlake.operators import joins as J
 from pitlake.operators import windows as W
 from pitlake.operators.aggs import pre_aggregate
 from pitlake.operators.ranks import average_rank, competition_rank
-from pitlake.operators.scale import lag_pair, running, spread_join
+from pitlake.operators.scale import lag_pair, ranges, row_numbers, running, spread_join, value_ranks
 
 KEYS = ["season", "element"]
 SPECS = [("p3", "total_points", 3, "mean"), ("p5", "total_points", 5, "mean"), ("m3", "minutes", 3, "mean"), ("s5", "minutes", 5, "std"), ("g3", "total_points", 3, "sum")]
@@ -113,6 +113,32 @@ def test_running_matches_pandas(spark, rows):
     assert all(prev[o] == (None if pd.isna(w) else w) for o, w in want.items())
 
 
+def test_only_large_groups_are_cut(spark):
+    rows = [("a", i % 7, i) for i in range(100)] + [("b", i, i) for i in range(5)] + [(None, i, i) for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, o long, v long")
+    whole, cut = ranges(df, ["k"], ["o", "v"], rows=20)
+    assert {r.k for r in whole.collect()} == {"b"}
+    assert cut.count() == 130 and cut.select("__bucket").distinct().count() > 3
+    assert ranges(df, ["k"], ["o"], rows=1000)[1] is None
+
+
+def test_prefix_scan_over_ranges(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.randrange(40), i) for g in ("a", "b", None) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, o long, i long")
+    order = lambda r: (r[1], r[2])
+    want = {(g, i): n for g in ("a", "b", None) for n, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == g), key=order))}
+    for splits in (None, 7):
+        assert {(r.k, r.i): r.place for r in row_numbers(df, ["k"], ["o", "i"], splits=splits).collect()} == want
+        for r in value_ranks(df, ["k"], "o", splits=splits).collect():
+            own = [x[1] for x in rows if x[0] == r.k]
+            assert (r.n_equal, r.n_less, r.n_greater) == (own.count(r.o), sum(x < r.o for x in own), sum(x > r.o for x in own))
+        back = {(r.k, r.i): r.s for r in running(df, ["k"], "o", {"s": ("o", "sum")}, ["i"], descending=True, inclusive=False, splits=splits).collect()}
+        for g, o, i in rows:
+            later = [x[1] for x in rows if x[0] == g and order(x) > (o, i)]
+            assert back[g, i] == (sum(later) if later else None)
+
+
 def test_resume_dedup(spark):
     steps = [10, 20, 30, 40, 25, 35, 45, 41, 50]
     df = spark.createDataFrame([("r", i, s) for i, s in enumerate(steps)], "run string, i long, step long")
