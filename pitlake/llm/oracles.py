@@ -145,6 +145,23 @@ select dc.doc_id, dc.repository, dc.path, own as own_licence, cosine, coalesce(o
 from dc left join ow on ow.path = dc.path and ow.repository is not distinct from dc.repository left join ih on ih.doc_id = dc.doc_id"""
 
 
+def clusters(k: int = 16, size: int = 64, rounds: int = 3) -> str:
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} as materialized (select r, arg_min(c, (d, c)) as c, min(d) as d from
+   (select s.r, c.c, list_sum(list_transform(range(1, {size + 1}), lambda i: (s.v[i] - c.v[i]) * (s.v[i] - c.v[i]))) as d from s, c{i} as c) group by r)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} as materialized (select c{i}.c, coalesce(n.v, c{i}.v) as v from c{i} left join (select c, list(((t - ((t % n) + n) % n) // n)::bigint order by i) as v from
+   (select a{i}.c, i, sum(s.v[i]) as t, count(*) as n from a{i} join s using (r), range(1, {size + 1}) as p(i) group by all) group by c) as n on n.c = c{i}.c)""")
+    return rf"""
+with s as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+   where len(embedding) = {size} and len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = {size}),
+ c0 as materialized (select row_number() over (order by sha256('1:' || coalesce(vec_id::varchar, '')), v) - 1 as c, v from s order by c limit {k}),
+ {", ".join(steps)}
+select vec_id, c::int as cluster, d::bigint as distance, (sum(d) over (partition by c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(f.v, ',')) as centroid_sha256
+from a{rounds} join s using (r) join c{rounds} as f using (c)"""
+
+
 ORACLES = {
     "op1_decontaminate": decontaminate(),
     "op3_quality_rules": quality(),
@@ -153,4 +170,5 @@ ORACLES = {
     "op7_jaccard_join": near_duplicates(),
     "op9_secret_scan": secrets(),
     "op10_licence_scan": licences(),
+    "op12_centroid_clustering": clusters(),
 }
