@@ -162,6 +162,50 @@ select vec_id, c::int as cluster, d::bigint as distance, (sum(d) over (partition
 from a{rounds} join s using (r) join c{rounds} as f using (c)"""
 
 
+def repairs() -> str:
+    more = lambda x, cost, edit: f"(lpad((left({x}, 9)::int + {cost})::varchar, 9, '0') || substr({x}, 10) || '{edit}')"
+    when = lambda test, x: f"case when {test} then {x} end"
+    late, stays = "case when fault = 'truncated' then 3 else 0 end", "coalesce(fault, '') not in ('blank', 'duplicate')"
+
+    def row(q: int, ways: list[tuple[int, str]]) -> str:
+        each = [more(f"s{q}", 4, "D")]
+        for p, x in ways:
+            each.append(when(f"{stays} and initial = '{x}'", more(f"s{p}", late, "K")))
+            if x in "ua":
+                each.append(when(stays, more(f"s{p}", f"3 + {late}", "R")))
+        return f"least({', '.join(each)}, null)"
+
+    ins = lambda *xs: ", ".join(more(x, 3, "I") for x in xs)
+    new = [row(0, []), row(1, [(0, "s")]), row(2, [(0, "u"), (1, "u"), (3, "u")]), row(3, [(2, "a")])]
+    return rf"""
+with recursive v as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, encode(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')) as k from conversations),
+ bits as (select x as b, list_reduce(list_prepend(x::ubigint, range(8)::ubigint[]), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end) as t from range(256) as r(x)),
+ tab as (select list(t order by b) as t from bits),
+ crc as (select k, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(1, 2 * octet_length(k), 2), lambda i: ('0x' || substr(hex(k), i, 2))::ubigint)),
+   lambda c, x: xor(c >> 8, t[((xor(c, x) & 255) + 1)::bigint])), 4294967295::ubigint) % 20 as kind from (select distinct k from v), tab),
+ dm as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+   from (select *, unnest(range(case when kind = 3 then 2 else 1 end)) from v join crc using (k) where kind <> 0)),
+ pl as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) as i from dm),
+ fl as (select *, left(role, 1) as initial, case when not regexp_matches(text, '[^ 	-]') then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+   when not regexp_matches(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[.!?]$') then 'truncated' end as fault from pl),
+ st as (select conv_id, 0::bigint as i, '000000000' as s0, null::varchar as s1, '000000003I' as s2, '000000006II' as s3 from (select distinct conv_id from fl)
+   union all select conv_id, i, n0, n1, least(n2, {ins("n0", "n1", "n3")}), least(n3, {more(f"least(n2, {ins('n0', 'n1', 'n3')})", 3, "I")})
+   from (select st.conv_id, fl.i, {", ".join(f"{x} as n{q}" for q, x in enumerate(new))} from st join fl on st.conv_id is not distinct from fl.conv_id and fl.i = st.i + 1)),
+ best as (select conv_id, least(s0, s3) as w from (select *, i = max(i) over (partition by conv_id) as ends from st) where ends),
+ ad as (select conv_id, left(w, 9)::bigint as cost, substr(w, 10) as audit from best),
+ ed as (select conv_id, p, audit[p] as e, len(replace(audit[1 : p], 'I', '')) as i from (select conv_id, audit, unnest(range(1, len(audit) + 1)) as p from ad)),
+ ol as (select ed.conv_id, p, e, initial, role, case when e = 'I' then '' else text end as text, row_number() over (partition by ed.conv_id order by p) as n,
+   first_value(e = 'K' and initial = 's') over (partition by ed.conv_id order by p) as has_s from ed left join fl on e <> 'I' and ed.conv_id is not distinct from fl.conv_id and ed.i = fl.i where e <> 'D'),
+ sh as (select conv_id, sha256(string_agg(case when e = 'K' then role when (n - has_s::int) % 2 = 1 then 'user' else 'assistant' end || ':' || text, chr(10) order by p)) as h from ol group by 1),
+ il as (select conv_id, count(*) filter (where i > 1 and before || initial not in ('su', 'ua', 'au')) as illegal from (select *, lag(initial) over (partition by conv_id order by i) as before from fl) group by 1),
+ ct as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+   count(*) filter (where fault = 'truncated') as truncated from fl group by 1)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+ coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, coalesce(h, sha256('')) as repaired_sha256
+from (select distinct conv_id from conversations) as c left join ct on c.conv_id is not distinct from ct.conv_id left join il on c.conv_id is not distinct from il.conv_id
+ left join ad on c.conv_id is not distinct from ad.conv_id left join sh on c.conv_id is not distinct from sh.conv_id"""
+
+
 ORACLES = {
     "op1_decontaminate": decontaminate(),
     "op3_quality_rules": quality(),
@@ -171,4 +215,5 @@ ORACLES = {
     "op9_secret_scan": secrets(),
     "op10_licence_scan": licences(),
     "op12_centroid_clustering": clusters(),
+    "op13_conversation_repair": repairs(),
 }
