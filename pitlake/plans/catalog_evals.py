@@ -9,6 +9,7 @@ from ..operators import evals as H
 from ..operators import folds as G
 from ..operators import setops as S
 from ..operators import windows as W
+from ..operators.joins import scaffold
 from .binding import panel, panel_agg, table
 from .catalog_scalars import _FORM_SQL, _GRID_SQL, expected, grid
 from .registry import query
@@ -53,27 +54,23 @@ def f04(spark, sf):
     return S.membership_diff(m, "team", "period", "member")
 
 
-@query("f05_available", """with @PG select distinct season, element from pg intersect select season, element from (select s as season, s_suppkey as element
-   from supplier, (select unnest(range(1994, 2000)) as s)) order by 1, 2""")
+@query("f05_available", """with @PG select distinct season, element from pg intersect select season, element from (select distinct season, s_suppkey as element from supplier, pg) order by 1, 2""")
 def f05(spark, sf):
-    required = table(spark, sf, "supplier").select(
-        F.explode(F.sequence(F.lit(1994), F.lit(1999))).alias("season"), F.col("s_suppkey").alias("element"))
-    required = required.withColumn("season", F.col("season").cast("bigint"))
-    return S.available(required, panel(spark, sf), ["season", "element"])
+    """Every supplier is required in every season of the data."""
+    pg = panel(spark, sf)
+    required = scaffold(table(spark, sf, "supplier").selectExpr("s_suppkey as element", "1 as one"), pg.select("season", F.lit(1).alias("one")).distinct(), ["one"])
+    return S.available(required.select("season", "element"), pg, ["season", "element"])
 
 
 # ---------------------------------------------------------------- folds and variants
 
-SEASONS = [1994, 1995, 1996, 1997, 1998, 1999, 2000, 2001]
-
-
-@query("g01_temporal_folds", """with @PA, sx as (select season, row_number() over (order by season) - 1 as pos, max(gw) - 4 as cut from pa where season <> 2001 group by season),
+@query("g01_temporal_folds", """with @PA, sx as (select season, row_number() over (order by season) - 1 as pos, max(gw) - 4 as cut from pa where season <> (select max(season) from pa) group by season),
  f as (select pos as i, season from sx where pos >= 2)
  select pa.season, pa.element, pa.gw, (f.i - 1)::int as fold, case when sx.pos = f.i then 'test' when sx.pos = f.i - 1 and pa.gw > sx.cut then 'val' else 'train' end as role
  from pa join sx on sx.season = pa.season join f on f.i >= sx.pos""")
 def g01(spark, sf):
     df = panel_agg(spark, sf).select(*KEYS)
-    return G.temporal_folds(df, "season", "gw", SEASONS, 2001, 2, 4)
+    return G.temporal_folds(df, "season", "gw", min_train=2, val=4)
 
 
 @query("g03_predict_default", "with @PA select season, element, gw, 2.0::double as prediction from pa")
@@ -99,10 +96,12 @@ def g08(spark, sf):
     return G.ablation_variants(df, ["season", "element"], "gw", ["minutes"], ["bonus"], ["saves"])
 
 
-@query("g09_season_split", """with @PA, c as (select max(gw) - 8 as cut from pa where season = 1999)
- select season, element, gw, case when season = 2000 then 'holdout' when season = 1999 and gw > cut then 'val' else 'train' end as role from pa, c where season between 1995 and 2000""")
+@query("g09_season_split", """with @PA, x as (select max(season) as last, max(season) filter (where season < (select max(season) from pa)) as late from pa),
+ c as (select max(gw) - 8 as cut from pa where season = (select late from x))
+ select season, element, gw, case when season = last then 'holdout' when season = late and gw > cut then 'val' else 'train' end as role from pa, c, x""")
 def g09(spark, sf):
-    return G.season_split(panel_agg(spark, sf).select(*KEYS), "season", "gw", [1995, 1996, 1997, 1998, 1999], 2000, 8)
+    """All rows: the last season of the data is held out."""
+    return G.season_split(panel_agg(spark, sf).select(*KEYS), "season", "gw")
 
 
 # ---------------------------------------------------------------- evaluation
