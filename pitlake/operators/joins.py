@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.names import normalise_name
 from ..functions.stats import share
 from .aggs import two_level
-from .scale import spread_join, top_rows
+from .scale import first_after, spread_join, top_rows
 from .windows import lagged_rolling
 
 
@@ -32,11 +32,10 @@ def assemble(base: DataFrame, parts: Sequence[tuple[DataFrame, Sequence[str]]])
 
 
 def scaffold(entities: DataFrame, periods: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Every entity at every period of its scope, by expanding the scope's short list of periods."""
-    cols = [c for c in periods.columns if c not in scope]
-    lists = periods.groupBy(*scope).agg(F.collect_set(F.struct(*cols)).alias("__periods"))
+    """Every entity at every period of its scope; a scope's entities are spread over several tasks."""
     names = [c for c in entities.columns if c not in scope]
-    return spread_join(entities.distinct(), lists, scope, names).select(*entities.columns, F.inline("__periods"))
+    out = spread_join(entities.distinct(), periods.distinct(), scope, names)
+    return out.select(*entities.columns, *[c for c in periods.columns if c not in scope])
 
 
 def asof_rolling(
@@ -47,21 +46,17 @@ def asof_rolling(
     """Means of the last ``n`` events strictly before each cut-off, for every key and cut-off.
 
     ``specs`` are ``(output, column, n)``; ``entities(scope.., key)`` lists who gets rows, by default all
-    keys with events, and those without get NULLs. An event belongs to the first cut-off after it. Of each
+    keys with events, and those without get NULLs. An event belongs to the first cut-off after it, which a
+    sweep over events and cut-offs finds, however many cut-offs a scope has. Of each
     (key, cut-off) only the newest ``max(n)`` events can matter to any cut-off, so the rest is
     dropped before the shuffle and the ordered pass sees at most that many rows per cut-off.
     """
     scope = list(scope)
     k = max(n for _, _, n in specs)
-    cuts = cutoffs.groupBy(*scope).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(cutoff).alias("c"), F.col(period).alias("p")))).alias("__cuts")
-    )
-    later = F.filter("__cuts", lambda x: x["c"] > F.col(ts))
     cols = list(dict.fromkeys(c for _, c, _ in specs))
-    placed = (
-        spread_join(events.select(*scope, key, ts, tie, *cols), cuts, scope, [key, ts])
-        .withColumn("__p", F.try_element_at(later, F.lit(1))["p"]).drop("__cuts").where("__p is not null")
-    )
+    own = events.select(*dict.fromkeys([*scope, key, ts, tie, *cols]))
+    placed = first_after(own, cutoffs.select(*scope, cutoff, period), scope, ts, cutoff).where("__next is not null")
+    placed = placed.withColumn("__p", F.col("__next")[period]).drop("__next")
     newest = top_rows(placed, [*scope, key, "__p"], [F.col(ts).desc(), F.col(tie).desc()], k, "__back")
     line = Window.partitionBy(*scope, key).orderBy(ts, tie)
     rolled = newest.withColumns({out: F.avg(c).over(line.rowsBetween(-(n - 1), 0)) for out, c, n in specs})
@@ -69,7 +64,7 @@ def asof_rolling(
     ends = rolled.where("__back = 1").select(*scope, key, F.col("__p").alias(period), F.struct(*outs).alias("__f"))
     who = events if entities is None else entities
     grid = scaffold(who.select(*scope, key), cutoffs.select(*scope, period, cutoff), scope)
-    carry = Window.partitionBy(*scope, key).orderBy(cutoff).rowsBetween(Window.unboundedPreceding, 0)
+    carry = Window.partitionBy(*scope, key).orderBy(cutoff, period).rowsBetween(Window.unboundedPreceding, 0)
     filled = grid.join(ends, [*scope, key, period], "left").withColumn("__f", F.last("__f", ignorenulls=True).over(carry))
     return filled.select(*scope, key, period, cutoff, "__f.*")
 

@@ -157,6 +157,22 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     return _both(parts)
 
 
+def first_after(rows: DataFrame, cutoffs: DataFrame, scope: Sequence[str], ts: str, cutoff: str, name: str = "__next") -> DataFrame:
+    """``name``: the cut-off row (a struct, ``cutoff`` first) next after each row's ``ts`` in its scope; NULL after the last.
+
+    A sweep: rows and cut-offs pass in one ordered stream, from the end, and the least cut-off so far is
+    carried along. No scope is gathered and no row looks at more than its neighbour.
+    """
+    scope = list(scope)
+    rest = [c for c in cutoffs.columns if c not in scope and c != cutoff]
+    kind = cutoffs.select(F.struct(cutoff, *rest).alias("c")).schema["c"].dataType
+    line = rows.select(*scope, F.col(ts).alias("__t"), F.lit(1).alias("__kind"), F.struct(*rows.columns).alias("__row"), F.lit(None).cast(kind).alias("__cut"))
+    marks = cutoffs.select(*scope, F.col(cutoff).alias("__t"), F.lit(0).alias("__kind"), F.lit(None).cast(line.schema["__row"].dataType).alias("__row"), F.struct(cutoff, *rest).alias("__cut"))
+    # from the end: at one time a row comes before a cut-off, so it does not see it
+    swept = running(line.unionByName(marks), scope, "__t", {name: ("__cut", "min")}, ["__kind"], descending=True)
+    return swept.where("__row is not null").select("__row.*", name)
+
+
 def value_ranks(df: DataFrame, keys: Sequence[str], col: str, splits: int | None = None) -> DataFrame:
     """One row per (group, value) with its count, the number of smaller and of larger rows.
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from .scale import lag_pair, running as running_scan, spread_join, top_rows
+from ..session import materialise
+from .scale import first_after, lag_pair, row_numbers, running as running_scan, spread_join, top_rows
 
 _AGG = {"mean": F.avg, "sum": F.sum, "std": F.stddev_samp, "max": F.max, "min": F.min}
 
@@ -69,21 +70,37 @@ def time_window_mean(
 ) -> DataFrame:
     """Mean over the rows of earlier periods in the ``days`` before each period's cut-off.
 
-    Rows are first combined per (entity, period, timestamp). A scope (season) has few cut-offs, so
-    they travel as one array and every combined row is sent to just those it counts for.
+    Differences of prefix sums: a row, combined per (entity, period, timestamp), enters at the first
+    cut-off after it and leaves at the first one more than ``days`` after it. A sweep finds both, the
+    changes are added up along each entity's own line, and a value holds up to the entity's next
+    change. So a row costs two changes, however many cut-offs lie in its window. Cut-offs behind rows
+    of their own or a later period, which do not count for them, are put right row by row. Sums of doubles
+    carry the rounding of prefix sums.
     """
-    pairs = cutoffs.groupBy(*scope).agg(F.collect_list(F.struct(F.col(period), F.col(cutoff))).alias("__cuts"))
-    part = df.groupBy(*scope, key, period, ts).agg(F.sum(col).alias("__s"), F.count(col).alias("__n"))
+    scope = list(scope)
+    numbered = materialise(row_numbers(cutoffs.select(*scope, cutoff, period), scope, [cutoff, period], "__i"), "cutoffs")
+    part = df.groupBy(*scope, key, period, ts).agg(F.sum(col).alias("__s"), F.count(col).alias("__n")).where("__n > 0")
+    part = materialise(part, "window-rows")
     span = F.expr(f"interval {days} days")
-    hits = F.filter(
-        "__cuts",
-        lambda c: (c[period] > F.col(period)) & (F.col(ts) < c[cutoff]) & (F.col(ts) >= c[cutoff] - span),
-    )
-    sent = spread_join(part, pairs, scope, [key, ts]).withColumn("__to", F.explode(F.transform(hits, lambda c: c[period])))
-    out = sent.groupBy(*scope, key, F.col("__to").alias(period)).agg(
-        F.sum("__s").alias("__s"), F.sum("__n").alias("n_rows")
-    )
-    return out.select(*scope, key, period, F.try_divide("__s", "n_rows").alias("window_mean"), "n_rows")
+    change = lambda at, sign: F.struct(at.cast("timestamp").alias("__at"), (F.col("__s") * sign).alias("__s"), (F.col("__n") * sign).alias("__n"))
+    changes = part.select(*scope, key, F.inline(F.array(change(F.col(ts), 1), change(F.col(ts) + span, -1))))
+    swept = first_after(changes, numbered.withColumn(cutoff, F.col(cutoff).cast("timestamp")), scope, "__at", cutoff).where("__next is not null")
+    points = swept.groupBy(*scope, key, F.col("__next")["__i"].alias("__i")).agg(F.sum("__s").alias("__s"), F.sum("__n").alias("__n"))
+    line = Window.partitionBy(*scope, key).orderBy("__i")
+    sums = points.select(*scope, key, "__i", F.sum("__s").over(line).alias("__s"), F.sum("__n").over(line).alias("__n"), F.lead("__i").over(line).alias("__end"))
+    sizes = numbered.groupBy(*scope).agg((F.max("__i") + 1).alias("__all"))
+    held = spread_join(sums.where("__n > 0"), sizes, scope, [key, "__i"])
+    each = held.withColumn("__i", F.explode(F.sequence("__i", F.coalesce("__end", "__all") - 1)))
+    out = each.join(numbered, [*scope, "__i"]).select(*scope, key, period, "__s", "__n")
+    first = part.groupBy(*scope, period).agg(F.min(ts).alias("__first"))
+    ahead = Window.partitionBy(*scope).orderBy(F.desc(period))
+    early = materialise(numbered.join(first, [*scope, period], "full_outer").withColumn("__first", F.min("__first").over(ahead)).where(F.col("__first") < F.col(cutoff)).select(*scope, period, cutoff), "cutoffs")
+    if not early.isEmpty():
+        late = early.withColumnRenamed(period, "__p")
+        wrong = spread_join(part, late, scope, [key, ts]).where((F.col(period) >= F.col("__p")) & (F.col(ts) < F.col(cutoff)) & (F.col(ts) >= F.col(cutoff) - span))
+        out = out.unionByName(wrong.select(*scope, key, F.col("__p").alias(period), (-F.col("__s")).alias("__s"), (-F.col("__n")).alias("__n")))
+        out = out.groupBy(*scope, key, period).agg(F.sum("__s").alias("__s"), F.sum("__n").alias("__n")).where("__n > 0")
+    return out.select(*scope, key, period, F.try_divide("__s", "__n").alias("window_mean"), F.col("__n").alias("n_rows"))
 
 
 def trailing_streak(df: DataFrame, keys: Sequence[str], order: str, pred: Column, cap: int = 3, name: str = "streak") -> DataFrame:

@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pitlake.operators import joins as J
 from pitlake.operators import windows as W
@@ -113,6 +114,38 @@ def test_running_matches_pandas(spark, rows):
     assert all(prev[o] == (None if pd.isna(w) else w) for o, w in want.items())
 
 
+def test_window_means_at_any_cutoffs(spark):
+    """Cut-offs out of order, equal ones and periods without a cut-off, against a plain loop."""
+    rng = random.Random(11)
+    day = 86400
+    rows = [(s, rng.choice("ab"), rng.randrange(1, 9), rng.randrange(90) * day, rng.choice([None, 1, 2, 5])) for s in (1, 2) for _ in range(80)]
+    cuts = [(s, p, rng.randrange(100) * day) for s in (1, 2) for p in range(2, 9)] + [(1, 20, 50 * day), (1, 21, 50 * day)]
+    df = spark.createDataFrame(rows, "season long, code string, gw long, t long, v long").withColumn("ts", F.timestamp_seconds("t"))
+    cut = spark.createDataFrame(cuts, "season long, gw long, t long").select("season", "gw", F.timestamp_seconds("t").alias("cutoff"))
+    got = {(r.season, r.code, r.gw): (r.window_mean, r.n_rows) for r in W.time_window_mean(df, cut, ["season"], "code", "gw", "ts", "v").collect()}
+    want = {}
+    for s, p, c in cuts:
+        for k in "ab":
+            own = [v for s2, k2, q, t, v in rows if s2 == s and k2 == k and q < p and c - 30 * day <= t < c and v is not None]
+            if own:
+                want[s, k, p] = (pytest.approx(sum(own) / len(own)), len(own))
+    assert got == want
+
+
+def test_as_of_and_window_means_with_very_many_cutoffs(spark):
+    n = 100_000
+    ev = spark.createDataFrame([(1, k, i, i * 40, k * 10 + i) for k in (1, 2) for i in range(20)], "season long, code long, tie long, t long, v long").withColumn("ts", F.timestamp_seconds("t"))
+    cut = spark.range(n).select(F.lit(1).cast("long").alias("season"), F.col("id").alias("period"), F.timestamp_seconds("id").alias("cutoff"))
+    out = J.asof_rolling(ev, cut, ["season"], "code", "ts", "tie", [("m", "v", 3)])
+    assert out.count() == 2 * n
+    got = {(r.code, r.period): r.m for r in out.where("period in (0, 1, 40, 41, 99999)").collect()}
+    assert got == {(k, p): None if p == 0 else k * 10 + {1: 0, 40: 0, 41: 0.5, 99999: 18}[p] for k in (1, 2) for p in (0, 1, 40, 41, 99999)}
+    means = W.time_window_mean(ev.withColumn("period", F.lit(-1).cast("long")), cut, ["season"], "code", "period", "ts", "v", days=1)
+    assert means.count() == 2 * (86400 + 19 * 40)
+    last = {r.code: (r.window_mean, r.n_rows) for r in means.where("period = 86800").collect()}
+    assert last == {k: (k * 10 + 14.5, 10) for k in (1, 2)}
+
+
 def test_only_large_groups_are_cut(spark):
     rows = [("a", i % 7, i) for i in range(100)] + [("b", i, i) for i in range(5)] + [(None, i, i) for i in range(30)]
     df = spark.createDataFrame(rows, "k string, o long, v long")
