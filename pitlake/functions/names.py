@@ -14,13 +14,24 @@ from pyspark.sql.types import StringType
 from .stats import col_of
 
 
-# Every character Unicode gives a combining class, as one pattern.
-_MARKS = re.compile("[" + "".join(re.escape(chr(i)) for i in range(0x300, sys.maxunicode) if unicodedata.combining(chr(i))) + "]+")
+def _marks(first: int, last: int) -> re.Pattern:
+    return re.compile("[" + "".join(re.escape(chr(i)) for i in range(first, last) if unicodedata.combining(chr(i))) + "]+")
+
+
+# Every character that Unicode gives a combining class. Those of the basic plane alone make a set that is looked up in
+# one step; the rest, which hardly any text has, would turn it into a list that is walked for each character.
+_MARKS, _HIGH_MARKS = _marks(0x300, 0x10000), _marks(0x10000, sys.maxunicode)
+_HIGH = re.compile("[\U00010000-\U0010FFFF]")
+
+
+def _stripped(text: str) -> str:
+    plain = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+    return _HIGH_MARKS.sub("", plain) if _HIGH.search(plain) else plain
 
 
 @F.pandas_udf(StringType())
 def _strip_marks(names: pd.Series) -> pd.Series:
-    return names.map(lambda s: _MARKS.sub("", unicodedata.normalize("NFKD", s)), na_action="ignore")
+    return names.map(_stripped, na_action="ignore")
 
 
 def normalise_name(col: Column | str) -> Column:

@@ -6,13 +6,16 @@ out by measuring.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.names import normalise_name
 from ..functions.stats import share
+from ..session import materialise
 from .aggs import two_level
 from .scale import first_after, spread_join, top_rows
 from .windows import lagged_rolling
@@ -233,40 +236,54 @@ def match_full_name(probes: DataFrame, name: str, people: DataFrame, code: str,
     return out.withColumn(code, F.coalesce("__full", "__web")).drop("__full", "__web")
 
 
-def _grams(chars: Column, n: int) -> Column:
-    """All runs of ``n`` letters of a split text."""
-    starts = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)])))
+#: Characters of the probes that one automaton holds.
+BLOCK_CHARS = 500_000
 
 
-def contains_lookup(people: DataFrame, name: str, probes: DataFrame, probe: str, n: int = 3) -> DataFrame:
+def contains_lookup(people: DataFrame, name: str, probes: DataFrame, probe: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Every (person, probe) where the normalised name contains the normalised probe.
 
-    An equality join on letter groups finds the candidates: a probe looks up its rarest group of
-    ``n`` letters (its whole text when shorter), names offer those of theirs that a probe has, as rows
-    of an id and a group, and each text meets the probes that it may hold once, to be verified.
+    Distinct probes go into automata for many patterns (Aho-Corasick), one for each ``block_chars``
+    characters of them; each passes once over the texts and gives every text the probes that it
+    holds. With one block nothing is written; with more, texts are normalised once and written, and blocks come one after the other, so
+    the driver never holds more than one. Empty probes and missing names match nothing.
     """
     p = probes.withColumn("probe_norm", normalise_name(probe)).where("probe_norm <> ''")
-    t = people.withColumn("norm", normalise_name(name)).withColumn("__id", _spelling_key(F.col("norm")))
-    letters = F.split("probe_norm", "")
-    wanted = p.select("probe_norm").distinct().withColumn(
-        "gram", F.explode(F.when(F.length("probe_norm") < n, F.array("probe_norm")).otherwise(_grams(letters, n)))
-    )
-    # only group lengths that a probe asks for; rows of groups carry an id, never the text
-    sizes = sorted(r[0] for r in wanted.select(F.length("gram")).distinct().collect()) or [n]
-    grams = F.flatten(F.array(*[_grams(F.col("__chars"), i) for i in sizes]))
-    offered = t.select("__id", F.split("norm", "").alias("__chars")).select("__id", F.explode(grams).alias("gram"))
-    offered = offered.join(wanted.select("gram").distinct(), "gram", "left_semi").distinct()
-    counts = offered.groupBy("gram").agg(F.count(F.lit(1)).alias("__n"))
-    rarest = wanted.join(counts, "gram", "left").groupBy("probe_norm").agg(
-        F.min_by("gram", F.struct(F.coalesce("__n", F.lit(0)), F.col("gram"))).alias("gram")
-    )
-    asked = offered.join(rarest, "gram").groupBy("__id").agg(F.collect_set("probe_norm").alias("__asked"))
-    held = F.filter("__asked", lambda x: F.col("norm").contains(x))
-    pairs = t.join(asked, "__id").withColumn("probe_norm", F.explode(held)).drop("__asked", "__id")
+    distinct = p.select("probe_norm").distinct()
+    blocks = max(1, -(-(distinct.agg(F.sum(F.length("probe_norm"))).first()[0] or 0) // block_chars))
+    texts = people.select(F.struct(*people.columns).alias("__row"), normalise_name(name).alias("__norm")).where("__norm is not null")
+    if blocks > 1:
+        texts = materialise(texts, "texts")
+        distinct = materialise(distinct.withColumn("__block", F.pmod(F.xxhash64("probe_norm"), F.lit(blocks))), "probes")
+    found = None
+    for block in range(blocks):
+        mine = distinct if blocks == 1 else distinct.where(F.col("__block") == block)
+        part = _holding(texts, [r.probe_norm for r in mine.select("probe_norm").collect()])
+        part = part if blocks == 1 else materialise(part, "held")
+        found = part if found is None else found.unionByName(part)
+    pairs = found.select("__row.*", F.explode("__held").alias("probe_norm"))
     return pairs.join(p, "probe_norm")
 
 
+def _holding(texts: DataFrame, probes: Sequence[str]) -> DataFrame:
+    """``__row`` and ``__held``, the distinct probes in ``__norm``, for the texts that hold any."""
+    words = list(probes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for word in words:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        for batch in batches:
+            held = [sorted({w for _, w in automaton.iter(t)}) for t in batch.column(1).to_pylist()] if words else []
+            some = pa.array([i for i, h in enumerate(held) if h], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), pa.array([h for h in held if h], pa.list_(pa.string()))], names=["__row", "__held"])
+
+    return texts.mapInArrow(run, texts.select("__row").schema.add("__held", ArrayType(StringType())))
+
+
 def unmatched(df: DataFrame, dim: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.join(dim, list(on), "left_anti")
 

@@ -167,7 +167,7 @@ def c11(spark, sf):
 
 
 _PEOPLE_SQL = """st as (select doc_id, i, trim(regexp_replace(parts[i + 1], '\\s+', ' ', 'g')) as s from (select doc_id, string_split(text, '.') as parts from documents), unnest(range(len(parts))) t(i)),
- pp as (select doc_id * 100000 + i as code, w[1] as first_name, array_to_string(w[2:], ' ') as second_name, w[-1] as web_name, s from (select *, string_split(s, ' ') as w from st where s <> ''))"""
+ pp as (select doc_id * 1073741824 + i as code, w[1] as first_name, array_to_string(w[2:], ' ') as second_name, w[-1] as web_name, s from (select *, string_split(s, ' ') as w from st where s <> ''))"""
 _NORM = "trim(regexp_replace(lower(strip_accents({0})), '\\s+', ' ', 'g'))"
 _INDEX_SQL = f"""va as (
    select code, code * 10 + 0 as ord, {_NORM.format("first_name || ' ' || second_name")} as norm from pp where first_name <> '' and second_name <> ''
@@ -180,6 +180,10 @@ _INDEX_SQL = f"""va as (
  ix as (select norm, arg_min(code, ord) as code, min(ord) as ord from va where norm <> '' group by norm)"""
 
 
+# More than the sentences that a text of the largest size (2^31 bytes) can hold, so codes of documents never meet.
+SENTENCES = 1 << 30
+
+
 def people(spark, sf):
     """Every sentence of every document as a person: first word, the rest, last word."""
     # Texts differ in length by four orders of magnitude, so they are spread evenly before they multiply.
@@ -187,7 +191,7 @@ def people(spark, sf):
     s = parts.withColumn("s", F.trim(F.regexp_replace("raw", r"\s+", " "))).where("s <> ''")
     w = F.split("s", " ")
     return s.select(
-        (F.col("doc_id") * 100000 + F.col("i")).alias("code"), w[0].alias("first_name"),
+        (F.col("doc_id") * SENTENCES + F.col("i")).alias("code"), w[0].alias("first_name"),
         F.array_join(F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), " ").alias("second_name"), F.element_at(w, -1).alias("web_name"), "s")
 
 
@@ -211,13 +215,13 @@ def c13(spark, sf):
 
 
 @query("c14_match_full_name", f"""with {_PEOPLE_SQL}, fu as (select {_NORM.format("s")} as norm, max(code) as code from pp group by 1),
- we as (select {_NORM.format("web_name")} as norm, min(code) as code from pp group by 1), pr as (select code as probe_id, {_NORM.format("first_name")} as norm from pp
-   union all select code + 50000, {_NORM.format("s")} from pp)
+ we as (select {_NORM.format("web_name")} as norm, min(code) as code from pp group by 1), pr as (select code * 2 as probe_id, {_NORM.format("first_name")} as norm from pp
+   union all select code * 2 + 1, {_NORM.format("s")} from pp)
  select probe_id, coalesce(fu.code, we.code) as code from pr left join fu on fu.norm = pr.norm left join we on we.norm = pr.norm""")
 def c14(spark, sf):
     p = people(spark, sf)
-    probes = p.select(F.col("code").alias("probe_id"), F.col("first_name").alias("name")).unionByName(
-        p.select((F.col("code") + 50000).alias("probe_id"), F.col("s").alias("name")))
+    probes = p.select((F.col("code") * 2).alias("probe_id"), F.col("first_name").alias("name")).unionByName(
+        p.select((F.col("code") * 2 + 1).alias("probe_id"), F.col("s").alias("name")))
     return J.match_full_name(probes, "name", p, "code", "code", "s", "web_name").select("probe_id", "code")
 
 
@@ -227,7 +231,9 @@ def c14(spark, sf):
 def c15(spark, sf):
     words = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("probe"))
     probes = words.unionByName(table(spark, sf, "supplier").select(F.expr("substring(s_name, 13)").alias("probe"))).distinct()
-    return J.contains_lookup(table(spark, sf, "documents").select("doc_id", "text"), "text", probes, "probe").select("doc_id", "probe")
+    # the texts are one file of few splits here
+    texts = table(spark, sf, "documents").hint("rebalance").select("doc_id", "text")
+    return J.contains_lookup(texts, "text", probes, "probe").select("doc_id", "probe")
 
 
 @query("c15_contains_lookup_names", """select c_custkey, s_suppkey from customer join supplier on contains(lower(c_name), lower(substr(s_name, 13)))""")

@@ -63,7 +63,14 @@ def test_contains_against_brute_force(spark):
     wanted = spark.createDataFrame([(p,) for p in probes], "probe string")
     got = {(r.i, r.probe) for r in J.contains_lookup(people, "name", wanted, "probe").collect()}
     clean = [" ".join(n.split()) for n in names]
-    assert got == {(i, p) for i, n in enumerate(clean) for p in probes if p in n}
+    want = {(i, p) for i, n in enumerate(clean) for p in probes if p in n}
+    assert got == want
+    # several automata, one after the other; equal probes, empty ones and missing names
+    again = wanted.unionByName(wanted.limit(3)).unionByName(spark.createDataFrame([("",), (None,), (" ",)], "probe string"))
+    more = people.unionByName(spark.createDataFrame([(999, None)], "i long, name string"))
+    pairs = [(r.i, r.probe) for r in J.contains_lookup(more, "name", again, "probe", block_chars=20).collect()]
+    assert set(pairs) == want and len(pairs) == len(want) + sum(1 for _, p in want if p in {r.probe for r in wanted.limit(3).collect()})
+    assert J.contains_lookup(people, "name", wanted.limit(0), "probe").count() == 0
 
 
 def test_repair_team_cases(spark):
