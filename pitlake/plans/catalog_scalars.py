@@ -240,15 +240,14 @@ def b15(spark, sf):
     return grid(spark, sf).select(*KEYS, "gw", "variant", r6("ep").alias("ep"))
 
 
-_AVAIL_SQL = """m as (select season, customer, gw, case when sum(minutes) < 60 then 0 else sum(minutes) end::bigint as minutes, sum(transfers_out)::bigint as tout
-   from pg group by all),
- per as (select season, gw, lag(gw) over (partition by season order by gw) as last_gw from (select distinct season, gw from m)),
- x as (select m.season, m.customer, m.gw, last_gw, p.gw as pgw, p.minutes as pm, p.tout as pt,
-   row_number() over (partition by m.season, m.customer, m.gw order by p.gw desc) as back
-   from m join per on per.season = m.season and per.gw = m.gw left join m p on p.season = m.season and p.customer = m.customer and p.gw < m.gw
-   where last_gw is not null),
- y as (select season, customer, gw, last_gw, max(pgw) as prev, max(case when back = 1 then pm end) as pm, max(case when back = 1 then pt end) as pt, avg(pt) as avg_t,
-   max(case when pm > 0 then pgw end) as lp, least(coalesce(min(case when pm > 0 then back end) - 1, count(pgw)), 3) as z from x group by all),
+_AVAIL_SQL = """rr as (select season, customer, gw, case when minutes < 60 then 0 else minutes end as m, transfers_out as t,
+   row_number() over (partition by season, customer order by gw, seq_day, seq_line, seq_part) as rn from pg),
+ own as (select season, customer, gw, sum(m) as m, sum(t) as t from rr group by all),
+ per as (select season, gw, lag(gw) over (partition by season order by gw) as last_gw from (select distinct season, gw from rr)),
+ x as (select o.season, o.customer, o.gw, last_gw, max(p.gw) as prev, avg(p.t) as avg_t, max(case when p.m > 0 then p.gw end) as lp,
+   least(3, coalesce(max(p.rn), 0) - coalesce(max(case when p.m <> 0 then p.rn end), 0)) as z
+   from own o join per on per.season = o.season and per.gw = o.gw left join rr p on p.season = o.season and p.customer = o.customer and p.gw < o.gw where last_gw is not null group by all),
+ y as (select x.*, own.m as pm, own.t as pt from x left join own on own.season = x.season and own.customer = x.customer and own.gw = x.prev),
  av as (select season, customer, gw, 'always_100' as strategy, 100 as cop from y
   union all select season, customer, gw, 'consec_zero', case when z >= 3 then 0 when z = 2 then 25 when z = 1 then 75 else 100 end from y
   union all select season, customer, gw, 'last_gw', case when prev = last_gw then case when pm > 0 then 100 else 25 end when lp >= last_gw - 2 then 75 else 0 end from y
@@ -258,11 +257,9 @@ _AVAIL_SQL = """m as (select season, customer, gw, case when sum(minutes) < 60 t
 
 
 def availability(spark, sf):
-    """Customers as entities: they skip most periods, which is what the strategies are about."""
-    m = panel(spark, sf).groupBy("season", "customer", "gw").agg(
-        F.sum("minutes").alias("m"), F.sum("transfers_out").alias("transfers_out"))
-    m = m.withColumn("minutes", F.when(F.col("m") < 60, 0).otherwise(F.col("m")))
-    return X.infer_availability(m, ["season", "customer"], ["season"], "gw", "minutes", "transfers_out")
+    """Customers as entities: they skip most periods, and have several rows in others."""
+    rows = panel(spark, sf).select("season", "customer", "gw", "seq", "transfers_out", F.when(F.col("minutes") < 60, 0).otherwise(F.col("minutes")).alias("minutes"))
+    return X.infer_availability(rows, ["season", "customer"], ["season"], "gw", "minutes", "transfers_out", "seq")
 
 
 @query("b16_infer_availability", f"with @PG, {_AVAIL_SQL} select season, customer, gw, strategy, cop::int as cop from av")
@@ -319,19 +316,41 @@ def b20(spark, sf):
     return out.select("squad_id", "gw", r6("reward").alias("reward"))
 
 
-@query("b21_point_in_time_vector", """with @PA, f as (select *, avg(total_points) over (partition by season, element order by gw range between 5 preceding and 1 preceding) as form,
-   lag(gw) over w = gw - 1 as adj, lag(threat) over w as pth, lag(minutes) over w as pmin, lag(bps) over w as pbps from pa window w as (partition by season, element order by gw))
- select season, element, gw, [case when element % 4 = 0 then 1.0 else 0.0 end::double, case when element % 4 = 1 then 1.0 else 0.0 end::double,
-  case when element % 4 = 2 then 1.0 else 0.0 end::double, case when element % 4 = 3 then 1.0 else 0.0 end::double,
-  round(value / 1000.0::double, 6), round(selected / 1e7::double, 6), round(coalesce(form, 0) / 10.0::double, 6),
-  round(case when adj then pth else 0 end / 100.0::double, 6), round(case when adj then pmin else 0 end / 90.0::double, 6), round(case when adj then pbps else 0 end / 100.0::double, 6),
-  round(coalesce(form, 0) / 15.0::double, 6)] as features from f""")
+# The numbers of a vector, in order.
+SLOTS = [
+    *[X.Slot("label", p) for p in POSITIONS],
+    X.Slot("pre", "value", 1000.0),
+    X.Slot("past", "form", 10.0),
+    X.Slot("post", "expected_goals"),
+    X.Slot("post", "expected_assists"),
+    X.Slot("post", "influence", 100.0),
+    X.Slot("post", "creativity", 100.0),
+    X.Slot("post", "threat", 100.0),
+    X.Slot("post", "ict_index", 100.0),
+    X.Slot("post", "bps", 100.0),
+    X.Slot("pre", "selected", 1e7),
+    X.Slot("post", "minutes", 90.0),
+    X.Slot("post", "total_points", 15.0),
+    X.Slot("post", "transfers_balance", 1e5),
+    X.Slot("pre", "was_home"),
+    X.Slot("past", "prediction", 15.0),
+]
+_SLOT_SQL = {"pre": "case when k.gw is not null then k.{0} else b.{0} end", "post": "b.{0}", "past": "form", "label": "(['GK', 'DEF', 'MID', 'FWD'][fm.element % 4 + 1] = '{0}')::int"}
+
+
+@query("b21_point_in_time_vector", f"""with @PA, hm as (select season, element, gw, max(was_home::int) as was_home from pg group by all), r as (select pa.*, was_home from pa join hm using (season, element, gw)),
+ g as (select e.season, e.element, p.gw from (select distinct season, element from pa) e join (select distinct season, gw from pa) p on p.season = e.season),
+ fm as (select g.season, g.element, g.gw, avg(x.total_points) as form from g left join pa x on x.season = g.season and x.element = g.element and x.gw between g.gw - 5 and g.gw - 1 group by all)
+ select fm.season, fm.element, fm.gw, [{", ".join(f"round(coalesce({_SLOT_SQL[s.source].format(s.column)}, 0)::double / {s.scale}::double, 6)" for s in SLOTS)}] as features
+ from fm left join r k on k.season = fm.season and k.element = fm.element and k.gw = fm.gw left join r b on b.season = fm.season and b.element = fm.element and b.gw = fm.gw - 1""")
 def b21(spark, sf):
-    pa = W.period_window_mean(panel_agg(spark, sf), KEYS, "gw", "total_points", 5)
-    pa = pa.withColumn("position", F.element_at(F.array(*[F.lit(p) for p in POSITIONS]), (F.col("element") % 4 + 1).cast("int")))
-    out = X.point_in_time_vector(pa, KEYS, "gw", "position", POSITIONS, {"value": 1000.0, "selected": 1e7},
-                                 {"threat": 100.0, "minutes": 90.0, "bps": 100.0}, "form", "form", 10.0, 15.0)
-    return out.select(*KEYS, "gw", F.transform("features", lambda v: F.round(v, 6)).alias("features"))
+    """Every entity of a season at every period of it; the mean of five periods stands for the prediction too."""
+    home = panel(spark, sf).groupBy(*KEYS, "gw").agg(F.max(F.col("was_home").cast("int")).alias("was_home"))
+    df = panel_agg(spark, sf).join(home, [*KEYS, "gw"])
+    who = df.select(*KEYS, F.element_at(F.array(*[F.lit(p) for p in POSITIONS]), (F.col("element") % 4 + 1).cast("int")).alias("position"))
+    form = lambda w: F.avg("total_points").over(w.rangeBetween(-5, -1))
+    out = X.point_in_time_vector(df.withColumn("position", F.lit(None).cast("string")), who, df.select("season", "gw"), ["season"], "element", "gw", "position", SLOTS, {"form": form, "prediction": form})
+    return out.withColumn("features", F.transform("features", lambda v: F.round(v, 6)))
 
 
 @query("b22_population_cuts", """with @PG, c as (select 'played' as cut, total_points, xp from pg where minutes > 0 union all select 'sixty', total_points, xp from pg where minutes >= 60

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.stats import r6
-from ..session import scratch_dir
+from ..operators import joins as J
+from ..session import materialise, scratch_dir
 from ..sources import files as S
 from ..sources import logs as L
 from ..sources import nested as N
@@ -24,6 +25,18 @@ def a01(spark, sf):
     return S.parse_csv_lines(raw, "line", schema)
 
 
+@query("a01_csv_line_breaks", """select l_orderkey, l_linenumber, case l_linenumber % 3 when 0 then 'one' || chr(10) || '"two", three' || chr(10) when 1 then l_returnflag || ', x' else l_linestatus end as note,
+ l_quantity from lineitem""")
+def a01_breaks(spark, sf):
+    """Line items with line breaks, quotes and commas inside quoted fields, in files of many splits, and back."""
+    t = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_quantity",
+        """case l_linenumber % 3 when 0 then 'one\\n""two"", three\\n' when 1 then concat(l_returnflag, ', x') else l_linestatus end as note""")
+    path = scratch_dir(spark, "csv-breaks")
+    lines = t.select(F.concat_ws(",", "l_orderkey", F.concat(F.lit('"'), "note", F.lit('"')), "l_linenumber", "l_quantity").alias("value"))
+    lines.repartition(5).mapInArrow(_with_header("l_orderkey,note,l_linenumber,l_quantity"), "value string").write.text(path)
+    return S.read_csv_safe(spark, path, StructType.fromDDL("l_orderkey bigint, l_linenumber int, note string, l_quantity double"))
+
+
 @query("a01_csv_files", """select l_orderkey, l_linenumber, l_partkey, case when l_linenumber = 4 then null else l_suppkey end as l_suppkey, l_returnflag || 'é' as flag,
  case when l_linenumber = 3 then null else l_quantity end as l_quantity from lineitem where l_linenumber <> 5""")
 def a01_files(spark, sf):
@@ -205,6 +218,20 @@ def a14(spark, sf):
     return S.coverage_report(m, "source", "season", "ok")
 
 
+@query("a14_file_manifest", """with s as (select distinct event_type as source from events), d as (select distinct day(ts)::bigint as season from events),
+ f as (select event_type as source, day(ts)::bigint as season, count(*) filter (where value > 60) as n from events group by all)
+ select s.source, d.season, coalesce(n > 0, false) as found from s cross join d left join f on f.source = s.source and f.season = d.season""")
+def a14f(spark, sf):
+    """Events written as one folder per type and day, some of them with an empty file; the listing of the files says what is there."""
+    path = scratch_dir(spark, "collected")
+    ev = table(spark, sf, "events").selectExpr("event_type as source", "cast(day(ts) as bigint) as season", "case when value > 60 then concat(event_id, ',', value) end as line")
+    ev.where("line is not null").repartition("source", "season").write.partitionBy("source", "season").text(path)
+    spark.createDataFrame([], "line string").write.text(f"{path}/source=view/season=0")  # an empty file
+    found = S.file_manifest(spark, path).groupBy(F.col("keys")["source"].alias("source"), F.col("keys")["season"].cast("bigint").alias("season")).agg(F.bool_or("ok").alias("found"))
+    expected = J.scaffold(ev.select("source", F.lit(1).alias("one")), ev.select("season", F.lit(1).alias("one")), ["one"]).drop("one")
+    return expected.join(found, ["source", "season"], "left").fillna(False, ["found"])
+
+
 @query("a14_coverage_matrix", """select year(ts)::bigint * 100 + day(ts) as season, bool_or(event_type = 'click' and value > 60) as click, bool_or(event_type = 'error' and value > 60) as error,
  bool_or(event_type = 'view' and value > 60) as view from events group by 1""")
 def a14m(spark, sf):
@@ -220,6 +247,21 @@ def a15(spark, sf):
     return spark.read.schema(out.schema).parquet(path).select(*out.columns)
 
 
+@query("a15_rewrite_season", """with @PA, x as (select max(season) as last from pa)
+ select season, element, gw, case when season = last then -total_points else total_points end as total_points from pa, x""")
+def a15r(spark, sf):
+    """All seasons written, then the last one again with other values: the others stay as they were."""
+    path = scratch_dir(spark, "seasons")
+    rows = panel_agg(spark, sf).select("season", "element", "gw", "total_points")
+    S.write_table(rows, path, ["season"])
+    before = spark.read.schema(rows.schema).parquet(path)
+    last = before.where(F.col("season") == before.agg(F.max("season")).scalar()).withColumn("total_points", -F.col("total_points"))
+    last = materialise(last.select(*rows.columns), "season")
+    for _ in range(2):  # writing again changes nothing
+        S.write_table(last, path, ["season"])
+    return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
 @query("a15_write_json", "with @PA select season, element, gw, total_points from pa")
 def a15j(spark, sf):
     path = scratch_dir(spark, "json")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 from weakref import WeakKeyDictionary
@@ -23,6 +23,8 @@ CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot join partition even where the next step needs one more shuffle for it
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # tables that are both partitioned by some of the join's keys meet without another shuffle
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -41,7 +43,7 @@ def build_session(app: str = "pitlake", master: str | None = None, **conf: str)
 def tune(spark: SparkSession) -> None:
     """Give a session made elsewhere the adaptive settings above."""
     for key, value in CONF.items():
-        if key.startswith("spark.sql.adaptive."):
+        if key.startswith(("spark.sql.adaptive.", "spark.sql.requireAll")):
             spark.conf.set(key, value)
 
 
@@ -94,6 +96,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def co_partitioned(df: DataFrame, keys: Sequence[str], name: str, buckets: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``keys``, as a table of this session, and read back.
+
+    Aggregates, windows and joins whose keys contain these keep that partitioning and need no
+    shuffle of the table; column pruning and filters work as on any Parquet table. There are as many buckets as
+    shuffle partitions, unless a number is given.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_dir(spark, name)
+    table = f"{name}_{path.rsplit('-', 1)[1]}"
+    df.repartition(n, *keys).write.option("path", path).option("compression", "zstd").bucketBy(n, *keys).sortBy(*keys).saveAsTable(table)
+    out = spark.table(table)
+    _WRITTEN[out] = path
+    return out
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table that ``materialise`` returned, once nothing reads it any more."""
     path = _WRITTEN.pop(df, None)

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators.scale import running
+from ..session import materialise
+
 EXTRA = "_extra"
 FILE = "_file"
 
@@ -28,10 +32,29 @@ def parse_csv_lines(df: DataFrame, line: str, schema: StructType, keep: Sequence
 def _fields(line: Column, width: int) -> Column:
     """The first ``width`` fields of a CSV line."""
     ddl = ", ".join(f"`__{i}` string" for i in range(width))
-    record = F.from_csv(line, ddl, {"mode": "PERMISSIVE"})
+    record = F.from_csv(line, ddl, {"mode": "PERMISSIVE", "escape": '"'})  # a doubled quote is a quote
     return F.transform(F.array(record), lambda r: F.array(*[r[f"__{i}"] for i in range(width)]))[0]
 
 
+def _records(raw: DataFrame) -> DataFrame:
+    """Lines put together to records where a quoted field goes over line breaks: ``value``, file and place.
+
+    The number of quotes before a line, a running sum over its file, tells whether the line begins a
+    record; the number of beginnings so far names the record. Only files that have a line with an odd number of
+    quotes take part. Where a file's quotes don't balance, one of them is stray, and its lines stay records.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = raw.withColumn("__q", quotes.cast("long"))
+    kind = lines.groupBy(F.col(FILE).alias("__f")).agg((F.max(F.col("__q") % 2) == 1).alias("__odd"), (F.sum("__q") % 2 == 0).alias("__even"))
+    marked = lines.join(kind, F.col(FILE) == F.col("__f")).drop("__f").withColumn("__joined", F.col("__odd") & F.col("__even"))
+    broken = running(marked.where("__joined"), [FILE], "__at", {"__before": ("__q", "sum")}, inclusive=False)
+    begins = broken.withColumn("__begins", (F.coalesce("__before", F.lit(0)) % 2 == 0).cast("long"))
+    numbered = running(begins, [FILE], "__at", {"__record": ("__begins", "sum")})
+    whole = numbered.groupBy(FILE, "__record").agg(F.array_sort(F.collect_list(F.struct("__at", "value"))).alias("__lines"))
+    joined = whole.select(F.array_join(F.transform("__lines", lambda x: x["value"]), "\n").alias("value"), FILE, F.col("__lines")[0]["__at"].alias("__at"))
+    return marked.where(~F.col("__joined")).select("value", FILE, "__at").unionByName(joined)
+
+
 def read_csv_safe(spark: SparkSession, paths: str | Sequence[str], schema: StructType) -> DataFrame:
     """CSV files with a header, read by column name; UTF-8 or else Latin-1 file by file, bad lines skipped.
 
@@ -39,11 +62,13 @@ def read_csv_safe(spark: SparkSession, paths: str | Sequence[str], schema: Struc
     others, or lack some (NULL). Lines with more fields than their file's header are dropped, shorter
     ones padded with NULL. The text source keeps the raw bytes, so a file is Latin-1 when any of its
     lines is not valid UTF-8. Headers and verdicts are one aggregate per file, joined back by file
-    name; only the largest number of columns is read on the driver. A record is one line: line breaks
-    inside quotes are not supported. Repeated header names give the first column of that name.
+    name; only the largest number of columns is read on the driver. Quoted fields may hold line breaks,
+    except in files whose quotes don't balance. Repeated header names give the first column of that name.
     """
     raw = spark.read.text(paths).select(
         "value", F.col("_metadata.file_path").alias(FILE), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("__at"))
+    # places depend on how the files were split, so they are written once
+    raw = _records(materialise(raw, "csv-lines"))
     per_file = raw.groupBy(FILE).agg(F.bool_and(F.is_valid_utf8("value")).alias("__utf8"), F.min_by("value", "__at").alias("__first"), F.min("__at").alias("__head"))
     decoded = lambda c: F.when(F.col("__utf8"), F.col(c)).otherwise(F.decode(F.col(c).cast("binary"), "ISO-8859-1"))
     heads = per_file.withColumn("__first", F.regexp_replace(decoded("__first"), "[\ufeff\r]", ""))
@@ -153,9 +178,29 @@ def coverage_matrix(manifest: DataFrame, source: str, season: str, ok: str, sour
     return manifest.groupBy(season).pivot(source, list(sources)).agg(F.coalesce(F.bool_or(ok), F.lit(False))).fillna(False, list(sources))
 
 
+def file_manifest(spark: SparkSession, path: str, name: str = r"([^/=]+)=([^/]+)/") -> DataFrame:
+    """One row per file below ``path``, from the files themselves: ``file``, ``keys``, ``n_bytes``, ``changed`` and ``ok``.
+
+    ``keys`` maps the names to the values in the folders of its path, as ``name`` finds them; a file is ``ok`` if it has
+    any bytes; of an empty one the time is unknown. Contents are not read. Markers and hidden files are not listed.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    # a scan passes over empty files, but the listing, which Spark holds on the driver anyway, has them
+    listed = [(unquote(f).replace("file:///", "file:/", 1),) for f in files.inputFiles()]
+    every = spark.createDataFrame(listed, "file string").join(files, F.col("file") == F.col("path"), "left")
+    found = F.map_from_arrays(F.regexp_extract_all("file", F.lit(name), F.lit(1)), F.regexp_extract_all("file", F.lit(name), F.lit(2)))
+    size = F.coalesce("length", F.lit(0).cast("long"))
+    return every.select("file", found.alias("keys"), size.alias("n_bytes"), F.col("modificationTime").alias("changed"), (size > 0).alias("ok"))
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet") -> None:
     """Write a table by partition; rows are clustered first, so a partition is few files, and a hot
-    partition is split by adaptive execution rather than written by one task."""
+    partition is split by adaptive execution rather than written by one task.
+
+    Only the partitions that have rows in ``df`` are replaced, the others stay: files are written
+    aside and published at the end, so writing again gives the same table, and a write that fails
+    leaves the old one. Without ``partition_by`` the whole table is replaced.
+    """
     out = df.hint("rebalance", *partition_by) if partition_by else df
-    writer = out.write.mode("overwrite").format(fmt)
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if partition_by else "static").format(fmt)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
