@@ -122,21 +122,28 @@ from documents d left join a using (doc_id)"""
 def licences() -> str:
     s = licence_scan
     templates = ", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(s.TEMPLATES))
-    anchors = " or ".join(f"contains(lower(x), '{a}')" for a in s.ANCHORS)
-    n, unknown = len(s.TEMPLATES), math.log(1.0 + len(s.TEMPLATES)) + 1
-    term = f"'{s.TERM}'"
+    n, term = len(s.TEMPLATES), f"'{s.TERM}'"
+    anchors = f"list_filter(range(1, len(t) + 1), lambda i: regexp_matches(t[i], '{s.ANCHOR}'))"
     return rf"""
 with tp(template, licence, text) as (values {templates}),
- tt as (select template, licence, term, count(*) as tf from (select template, licence, unnest(regexp_extract_all(lower(text), {term}, 0)) as term from tp) group by all),
- idf as (select term, ln({n + 1}.0 / (1 + count(*))) + 1 as idf from tt group by term),
- tw as (select template, licence, term, tf * idf / sqrt(sum((tf * idf) ** 2) over (partition by template)) as w from tt join idf using (term)),
+ ta as (select template, licence, regexp_extract_all(lower(text), {term}, 0) as t from tp),
+ tt as (select template, licence, len(t) as n, {anchors}[1] - 1 as o, unnest(t) as term from ta),
+ tf as (select template, licence, n, o, term, count(*) as tf from tt group by all),
+ idf as (select term, ln({n + 1}.0 / (1 + count(*))) + 1 as idf from tf group by term),
+ tw as (select template, licence, n, o, term, tf * idf as v, sqrt(sum((tf * idf) ** 2) over (partition by template)) as size from tf join idf using (term)),
+ kn as (select list(term) as known from idf),
+ sp as (select distinct n, o from tw),
  dc as (select doc_id, source as repository, case when length(doc_id::varchar) > 2 then array_to_string(string_split(left(doc_id::varchar, length(doc_id::varchar) - 2), ''), '/') || '/' else '' end || doc_id::varchar as path, text from documents),
- ps as (select distinct doc_id, repository, path, trim(x, ' ') as passage from (select doc_id, repository, path, unnest(list_concat(string_split_regex(text, '\n[ \t\r]*\n'), string_split(text, chr(10)))) as x from dc) where {anchors}),
- pt as (select passage, term, count(*) as tf from (select passage, unnest(regexp_extract_all(lower(passage), {term}, 0)) as term from (select distinct passage from ps)) group by all),
- pw as (select passage, term, tf * coalesce(idf, {unknown!r}) as v from pt left join idf using (term)),
- ln as (select passage, sqrt(sum(v ** 2)) as size from pw group by 1),
- cs as (select passage, licence, max(round(dot / size, 6)) as c from (select passage, template, licence, sum(v * w) as dot from pw join tw using (term) group by all) join ln using (passage) group by all having max(round(dot / size, 6)) >= {s.LEAST_COSINE}),
- ow as (select repository, path, arg_min(licence, (-c, licence)) as own, max(c) as cosine from ps join cs using (passage) group by all),
+ dt as (select doc_id, repository, path, regexp_extract_all(lower(text), {term}, 0) as t from dc where regexp_matches(lower(text), '{s.HINT}')),
+ da as (select doc_id, repository, path, list_transform(t, lambda x: case when list_contains(known, x) then x end) as t, unnest({anchors}) as a from dt, kn),
+ wi as (select doc_id, repository, path, n, o, list_filter(t[greatest(1, a - o) : a - o + n - 1], lambda x: x is not null) as words from da, sp),
+ wk as (select *, n || ' ' || o || ' ' || array_to_string(words, ' ') as k from wi where len(words) >= n * {s.LEAST_KNOWN}),
+ wt as (select k, n, o, term, count(*) * any_value(idf) as u from (select distinct on (k) k, n, o, words from wk) as z, unnest(words) as w(term) join idf using (term) group by k, n, o, term),
+ wl as (select k, sqrt(sum(u ** 2)) as length from wt group by k),
+ mt as (select k, template, licence, round(dot / length / size, 6) as c, size from (select k, template, licence, sum(u * v) as dot, max(size) as size from wt join tw using (n, o, term) group by all) join wl using (k)),
+ bt as (select repository, path, template, licence, max(c) as c, max(c * size) as mass from wk join mt using (k) where c >= {s.LEAST_COSINE} group by all),
+ bl as (select repository, path, licence, max(c) as c, round(sum(mass), 4) as mass from bt group by all),
+ ow as (select repository, path, arg_min(licence, (-mass, licence)) as own, arg_min(c, (-mass, licence)) as cosine from bl group by all),
  gv as (select ow.repository, regexp_replace(ow.path, '/?[^/]*$', '') as dir, arg_min(own, (-cosine, own)) as given from ow join dc on ow.path = dc.path and ow.repository is not distinct from dc.repository
    where contains(lower(string_split(text, chr(10))[1]), 'licens') group by all),
  ih as (select dc.doc_id, arg_max(given, length(dir)) as given, arg_max(dir, length(dir)) as dir from dc join gv on dc.repository is not distinct from gv.repository
@@ -186,7 +193,8 @@ with recursive v as (select conv_id, turn, coalesce(role, ' ') as role, coalesce
  dm as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
    from (select *, unnest(range(case when kind = 3 then 2 else 1 end)) from v join crc using (k) where kind <> 0)),
  pl as (select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) as i from dm),
- fl as (select *, left(role, 1) as initial, case when not regexp_matches(text, '[^ 	-]') then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+ fl as (select *, left(role, 1) as initial, case when not regexp_matches(text, '[^ 	-
+]') then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
    when not regexp_matches(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[.!?]$') then 'truncated' end as fault from pl),
  st as (select conv_id, 0::bigint as i, '000000000' as s0, null::varchar as s1, '000000003I' as s2, '000000006II' as s3 from (select distinct conv_id from fl)
    union all select conv_id, i, n0, n1, least(n2, {ins("n0", "n1", "n3")}), least(n3, {more(f"least(n2, {ins('n0', 'n1', 'n3')})", 3, "I")})
