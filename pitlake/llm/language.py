@@ -31,7 +31,7 @@ STEPS = 40
 #: Words of a text that are scanned step by step; longer texts are cut into blocks of so many.
 BLOCK_WORDS = 256
 #: Bytes of texts worked on together.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 BETWEEN = bytes(b for b in range(128) if not (65 <= b <= 90 or 97 <= b <= 122))
 
