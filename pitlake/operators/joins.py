@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.names import normalise_name
+from ..functions.scalars import apply_alias
 from ..functions.stats import share
 from ..session import materialise
 from .aggs import two_level
@@ -120,6 +121,34 @@ def opponent_strength(df: DataFrame, teams: DataFrame, opponent: str = "opponent
     return out.drop(*[c for c in lookup.columns if c != opponent])
 
 
+def team_names(teams: DataFrame, master: DataFrame, scope: Sequence[str], name: str = "name", team: str = "id") -> DataFrame:
+    """(scope, name) -> team id: a scope's own list of teams, or the master list where a scope has none.
+
+    A scope with any usable row of its own takes nothing from the master list. Of several ids for a name
+    the largest counts; rows without name or id are left out.
+    """
+    keys = [*scope, name]
+    listed = [df.select(*keys, team).dropna(subset=[name, team]).groupBy(*keys).agg(F.max(team).alias(team)) for df in (teams, master)]
+    return listed[0].unionByName(listed[1].join(listed[0].select(*scope).distinct(), list(scope), "left_anti"))
+
+
+def sides_to_ids(
+    matches: DataFrame, names: DataFrame, scope: Sequence[str], sides: Sequence[str], salt_by: Sequence[str],
+    aliases: DataFrame | None = None, name: str = "name", team: str = "id",
+) -> DataFrame:
+    """Matches whose sides are named, with team ids in place of the names; a name that no list has becomes NULL.
+
+    ``aliases`` (alias, name) translates another source's spellings first. The lists are short but a scope's matches
+    are not, so each name is joined in parts by a hash of ``salt_by``.
+    """
+    columns = matches.columns
+    for side in sides:
+        matches = apply_alias(matches, side, aliases) if aliases is not None else matches
+        lookup = names.select(*scope, F.col(name).alias(side), F.col(team).alias("__id"))
+        matches = spread_join(matches, lookup, [*scope, side], salt_by, "left").withColumn(side, F.col("__id")).select(*columns)
+    return matches
+
+
 def attach_team_probs(df: DataFrame, probs: DataFrame, keys: Sequence[str], team: str, period_keys: Sequence[str], order: str) -> DataFrame:
     """Team probabilities for each (entity, period); an entity listed under two teams takes its first."""
     own = df.groupBy(*keys).agg(F.min_by(team, order).alias(team))

@@ -14,6 +14,7 @@ from ..operators.aggs import pre_aggregate
 
 POSITIONS = ("GK", "DEF", "MID", "FWD")
 
+# The panel's statistics.
 SUMS = [
     "total_points", "minutes", "goals_scored", "assists", "clean_sheets", "bonus", "bps", "saves",
     "goals_conceded", "yellow_cards", "red_cards", "starts", "transfers_balance", "transfers_in",

@@ -173,11 +173,6 @@ def h05(spark, sf):
 _XP_SQL = "xq as (select season, element, gw, avg(xp) as xp, sum(total_points)::bigint as actual from pg group by all)"
 
 
-def with_xp(spark, sf, df):
-    xp = panel(spark, sf).groupBy(*KEYS).agg(F.avg("xp").alias("xp"), F.sum("total_points").alias("actual"))
-    return df.join(xp, KEYS)
-
-
 @query("h06_zero_confusion", f"""with @PG, {_FORM_SQL}, xz as (select season, element, gw, sum(case when minutes > 0 then bonus else 0 end)::bigint as xp from pg group by all)
  select ep.season, count(*) filter (where xp = 0 and ep = 0) as both_zero, count(*) filter (where xp > 0 and ep = 0) as false_negative,
   count(*) filter (where xp = 0 and ep > 0) as false_positive, count(*) filter (where xp = 0) as n_zero
@@ -198,7 +193,7 @@ def _board_sql(corr_digits: int = 6) -> str:
 
 
 def board(spark, sf):
-    rows = with_xp(spark, sf, grid(spark, sf).drop("total_points"))
+    rows = grid(spark, sf).withColumnRenamed("total_points", "actual")
     return H.leaderboard(rows, "variant", "ep", "xp", "actual", P, "A")
 
 

@@ -218,7 +218,7 @@ _GRID_SQL = """f as (select season, element, gw, n_fix, total_points, minutes,
 def grid(spark, sf):
     """Every formula variant for every (season, element, gw)."""
     agg = panel(spark, sf).groupBy(*KEYS, "gw").agg(
-        F.count(F.lit(1)).alias("n_fix"), F.sum("total_points").alias("total_points"), F.sum("minutes").alias("minutes"))
+        F.count(F.lit(1)).alias("n_fix"), F.sum("total_points").alias("total_points"), F.sum("minutes").alias("minutes"), F.avg("xp").alias("xp"))
     zero = F.lit(0.0)
     df = W.last_k(agg, KEYS, "gw", 2, {"f2": F.avg("total_points"), "f2p": F.avg(F.when(F.col("minutes") > 200, F.col("total_points")))})
     df = W.last_k(df, KEYS, "gw", 3, {"m3": F.avg("minutes"), "any3": F.max((F.col("minutes") > 200).cast("double"))})
@@ -232,7 +232,7 @@ def grid(spark, sf):
         "pp_recent": F.when(F.col("prev_gw") >= F.col("gw") - 2, 1.0).otherwise(0.0), "pp_oracle": (F.col("minutes") > 0).cast("double")})
     sdiff = (F.col("element") % 9 - 4) * 100.0
     variants = X.variant_columns(F.col("n_fix"), sdiff, F.col("pp_mins"), S.clip(1.0 + sdiff / 2000.0, 0.7, 1.3))
-    return X.formula_grid(df, [*KEYS, "gw", "total_points"], variants)
+    return X.formula_grid(df, [*KEYS, "gw", "total_points", "xp"], variants)
 
 
 @query("b15_formula_grid", f"with @PG, {_GRID_SQL} select season, element, gw, variant, round(ep, 6) as ep from grid")

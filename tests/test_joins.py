@@ -84,3 +84,17 @@ def test_repair_team_cases(spark):
     assert out["ids", 1, "7", 8] == 7
     assert out["names", 1, "Ajax", 8] == 7 and out["names", 1, "Brest", 7] == 8 and out["names", 2, "Ajax", 8] == 7
     assert out["none", 1, None, 8] == 7 and out["none", 1, None, 7] == 8 and out["none", 2, None, 7] is None
+
+
+def test_named_sides_take_own_list_then_master_list(spark):
+    own = spark.createDataFrame([(1, "Ajax", 7), (1, "Ajax", 5), (1, None, 9), (2, "Ajax", None)], "season int, name string, id long")
+    master = spark.createDataFrame([(1, "Brest", 3), (2, "Ajax", 4), (2, "Brest", 6)], "season int, name string, id long")
+    names = J.team_names(own, master, ["season"])
+    assert {tuple(r) for r in names.collect()} == {(1, "Ajax", 7), (2, "Ajax", 4), (2, "Brest", 6)}
+    rows = [(1, "Ajax", "Brest"), (2, "AFC Ajax", "Brest"), (2, "Brest", "Ajax"), (3, "Ajax", "Brest"), (2, None, "Brest"), (2, "Brest", "Ajax")]
+    matches = spark.createDataFrame(rows, "season int, home string, away string")
+    aliases = spark.createDataFrame([("AFC Ajax", "Ajax")], "alias string, name string")
+    out = J.sides_to_ids(matches, names, ["season"], ["home", "away"], ["away"], aliases)
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    assert sorted(map(key, out.collect())) == sorted([(1, 7, -1), (2, 4, 6), (2, 6, 4), (2, 6, 4), (3, -1, -1), (2, -1, 6)])
+    assert out.columns == ["season", "home", "away"]
