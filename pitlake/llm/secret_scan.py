@@ -18,7 +18,7 @@ MIN_ASSIGN, MIN_ACCESS = 6, 20
 
 # Kinds that the ownership method adds: vendor tokens, credentials in addresses, bearer headers.
 VENDOR = r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{20,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,})"
-ADDRESS = r"://[^\s:/@]{1,256}:([^\s:/@]{6,256})@"
+ADDRESS = r"://[^\s:/@]++:([^\s:/@]{6,}+)@"
 BEARER = r"(?i:bearer)\x20+([A-Za-z0-9._~+/-]{20,}=*)"
 KINDS = ("assign", "access", "hex", "vendor", "address", "bearer")
 BASE_KINDS = 3
@@ -145,6 +145,7 @@ def redact(text: str, spans: str) -> Column:
 
 @query("op9_secret_scan")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents; a repository is a source and language, its owner the source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     found = materialise(candidates(docs).drop("text"), "secret-candidates")
     judged = judge(found, F.concat_ws("/", "source", "lang"), F.col("source"))
@@ -156,7 +157,10 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents, with live-looking secrets replaced in the text; widely copied examples stay."""
+    """Pipeline stage: all documents, with live-looking secrets replaced in the text; widely copied examples stay.
+
+    NULL and empty texts stay as they are; every other column, whatever its name, passes unchanged.
+    """
     columns = docs.columns
     found = materialise(candidates(docs.select(F.struct(*columns).alias("_row"), "lang", "source", "text")), "secret-documents")
     judged = judge(found, F.concat_ws("/", "source", "lang"), F.col("source")).withColumn("_live", F.filter("_spans", lambda x: ~x["example"]))

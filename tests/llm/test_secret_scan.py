@@ -73,3 +73,21 @@ def test_query_on_whole_table(spark):
         want = brute(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert r.n_assign == sum(x.startswith("assign") for x in want)
+
+
+def test_credentials_of_any_length_in_addresses(spark):
+    long = "aZ9-" * 500
+    rows = [(1, f"see https://{'u' * 400}:{long}@host/x end", "en", "a"), (2, "https://bob:short@h " + "://" * 20_000 + "z" * 200_000 + ":", "en", "a"), (3, "p://u:" + "b" * 300_000, "en", "a")]
+    out = {r.doc_id: r.s for r in found(spark, rows).select("doc_id", s._listed(s.F.col("_spans")).alias("s")).collect()}
+    assert out == {1: f"address:9:{9 + 3 + 400 + 1 + 2000 + 1}", 2: "", 3: "hex:6:300006"}
+
+
+def test_stage_passes_clashing_columns(spark):
+    names = ["_row", "_found", "_spans", "_live", "_new", "_list", "value"]
+    docs = spark.createDataFrame([(1, f"ghp_{'aZ' * 15} x", "en", "a", 9), (2, None, None, None, None), (3, "", "en", "a", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *(s.F.lit(n).alias(n) for n in names))
+    out = s.stage(spark, docs, "")
+    assert out.columns == docs.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[1].text == s.REDACTED + " x" and got[2].text is None and got[3].text == ""
+    assert all(r[n] == n for r in got.values() for n in names)
