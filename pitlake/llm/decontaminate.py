@@ -210,6 +210,7 @@ def remove_spans(text: str, spans: str) -> F.Column:
 
 @query("op1_decontaminate")
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in a benchmark item's window of ten words, and the items."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find(docs, table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -218,9 +219,16 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without the benchmark's passages, which are cut out; ``n_chars`` follows."""
+    """Pipeline stage: documents without the benchmark's passages, which are cut out; ``n_chars`` follows where it is there.
+
+    NULL and empty texts stay as they are, and so do rows without a passage; every other column, whatever its
+    name, passes unchanged.
+    """
     columns = docs.columns
-    found = find(docs, table(spark, sf_dir, "benchmark"), found="_found").withColumn("_spans", F.col("_found.spans"))
-    cut = F.size("_spans") > 0
-    clean = found.withColumn("text", remove_spans("text", "_spans"))
-    return clean.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns)
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns if c != "text")).alias("row"), "text")
+    found = find(packed, table(spark, sf_dir, "benchmark")).withColumn("spans", F.col("found.spans"))
+    clean = found.withColumn("new", remove_spans("text", "spans"))
+    fields = {"text": F.col("new")}
+    if "n_chars" in columns:
+        fields["n_chars"] = F.when(F.size("spans") > 0, F.length("new").cast("long")).otherwise(F.col("row.n_chars"))
+    return clean.select(*(fields[c] if c in fields else F.col(f"row.`{c}`") for c in columns)).toDF(*columns)

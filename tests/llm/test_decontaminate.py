@@ -121,3 +121,27 @@ def test_spans_of_capitals_in_one_and_several_blocks(spark, tmp_path):
     rows = [(i, t, "en", "s", len(t)) for i, t in rows]
     out = {r.doc_id: r.text for r in d.stage(spark, spark.createDataFrame(rows, DOC), str(tmp_path)).collect()}
     assert out == {**{i: f"{a}  {c}" for i, (a, _, c) in enumerate(CASED)}, 9: "; A Clean End"}
+
+
+def test_stage_keeps_clashing_columns_and_needs_no_size(spark, tmp_path):
+    passage = " ".join(f"w{i}" for i in range(12))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ["_found", "found", "_spans", "spans", "row", "new", "a.b"]
+    docs = spark.createDataFrame([(1, f"x {passage} y"), (2, None), (3, ""), (None, "clean"), (1, f"x {passage} y")], "doc_id long, text string")
+    docs = docs.select("*", *(d.F.lit(f"own {n}").alias(n) for n in names))
+    out = d.stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    rows = [tuple(r) for r in out.collect()]
+    own = tuple(f"own {n}" for n in names)
+    assert sorted(rows, key=str) == sorted([(1, "x  y", *own), (2, None, *own), (3, "", *own), (None, "clean", *own), (1, "x  y", *own)], key=str)
+
+
+def test_passage_in_a_very_long_text(spark, tmp_path):
+    passage = [f"w{i}" for i in range(10)]
+    spark.createDataFrame([("a", " ".join(passage))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = [f"v{i % 5000}" for i in range(300_000)]
+    for at in (0, 150_000, 299_990):
+        words[at : at + 10] = passage
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "short")], "doc_id long, text string")
+    out = {r.doc_id: r.found for r in d.find(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()}
+    assert (out[1].n_words, out[1].n_hit, out[1]["items"], len(out[1].spans)) == (300_000, 30, ["a"], 3) and out[2].n_hit == 0
