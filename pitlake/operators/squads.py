@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import HIT_COST, MAX_FREE, selling_price
 from ..session import materialise
-from .scale import spread_join, top_rows
+from .scale import grown_join, spread_join, top_rows
 
 # Fixed values of the game.
 SQUAD_SIZE = 15
@@ -65,7 +65,8 @@ def audit_squads(squads: DataFrame, bank: DataFrame, keys: Sequence[str]) -> Dat
     total = per_club.groupBy(*keys).agg(
         s("n"), s("n_in"), *[s(f"n_{p}") for p in QUOTAS], *[s(f"in_{p}") for p in QUOTAS], s("cap"), s("vice"),
         F.coalesce(F.max(F.when(F.col("team").isNotNull(), F.col("n"))), F.lit(0)).alias("most"),
-    ).join(bank, list(keys), "left")
+    )
+    total = grown_join(total, bank, keys, "left")
     shape = F.concat_ws("-", *[F.col(f"in_{p}").cast("string") for p in ("DEF", "MID", "FWD")])
     checks = {
         "size": F.col("n") != SQUAD_SIZE,
@@ -157,7 +158,8 @@ def _best_incoming(squads: DataFrame, pool: DataFrame, ledger: DataFrame, keys:
     spare = sum(QUOTAS.values())
     owned = squads.select(*keys, F.col(item).alias("in_item"))
     clubs = squads.groupBy(*keys, F.col("team").alias("in_team")).agg(F.count(F.lit(1)).alias("__in_club"))
-    out = squads.select(*keys, "position", "slot", F.col("team").alias("out_team"), F.col(xp).alias("out_xp"), "sell_price").join(ledger, keys)
+    out = squads.select(*keys, "position", "slot", F.col("team").alias("out_team"), F.col(xp).alias("out_xp"), "sell_price")
+    out = grown_join(out, ledger, keys)
     floor = pool.groupBy(period, "position").agg(F.min("price").alias("__least"), F.count(F.lit(1)).alias("__members"))
     depth = floor.agg(F.max("__members")).first()[0] or 0
     open_ = out.join(floor.drop("__members"), [period, "position"]).where(F.col("__least") <= F.col("bank") + F.col("sell_price")).drop("__least")
@@ -167,18 +169,16 @@ def _best_incoming(squads: DataFrame, pool: DataFrame, ledger: DataFrame, keys:
     while True:
         short = top_rows(pool, [period, "position"], [F.col(xp).desc(), F.col(item)], look + spare, "__place").select(
             period, "position", F.col(item).alias("in_item"), F.col("team").alias("in_team"), "price", F.col(xp).alias("in_xp"))
-        wanted = spread_join(open_.select(*keys, "position").distinct(), short, [period, "position"], [keys[0]]).join(owned, [*keys, "in_item"], "left_anti")
-        swaps = (
-            open_.join(wanted, [*keys, "position"])
-            .where(F.col("price") <= F.col("bank") + F.col("sell_price"))
-            .join(clubs, [*keys, "in_team"], "left")
-        )
+        wanted = spread_join(open_.select(*keys, "position").distinct(), short, [period, "position"], [keys[0]])
+        wanted = grown_join(wanted, owned, [*keys, "in_item"], "left_anti")
+        swaps = grown_join(open_, wanted, [*keys, "position"]).where(F.col("price") <= F.col("bank") + F.col("sell_price"))
+        swaps = grown_join(swaps, clubs, [*keys, "in_team"], "left")
         best = swaps.where(legal).groupBy(*keys, "slot", "position", "out_xp", "free").agg(F.max("in_xp").alias("in_xp"))
         if look >= depth:
             return best if found is None else found.unionByName(best)
         best = materialise(best, "transfers")
         found = best if found is None else found.unionByName(best)
-        open_ = materialise(open_.join(best.select(*keys, "slot"), [*keys, "slot"], "left_anti"), "transfers")
+        open_ = materialise(grown_join(open_, best.select(*keys, "slot"), [*keys, "slot"], "left_anti"), "transfers")
         if open_.isEmpty():
             return found
         look *= 8
@@ -207,7 +207,7 @@ def best_single_transfer(
         return F.when(F.col("position") == p, changed).otherwise(F.col(p))
 
     arrays = _with_best(arrays, {p: F.col(p) for p in QUOTAS}, "__now").withColumn("before", F.col("__now.objective"))
-    alternatives = arrays.join(best, keys, "left")
+    alternatives = grown_join(arrays, best, keys, "left")
     alternatives = _with_best(alternatives, {p: swapped(p) for p in QUOTAS}, "__new")
     hit = F.greatest(1 - F.col("free"), F.lit(0)) * HIT_COST
     after = F.when(F.col("slot").isNotNull(), F.col("__new.objective") - hit)
@@ -242,7 +242,8 @@ def captain_bonus(
     cap, vice = F.col("is_captain") & good, F.col("is_vice") & good
     sides = rows.groupBy(*keys).agg(
         F.max(F.when(cap, F.col("total_points"))).alias("__cap"), F.max(F.when(vice, F.col("total_points"))).alias("__vice")
-    ).join(chips.select(*keys, "chip"), list(keys), "left")
+    )
+    sides = grown_join(sides, chips.select(*keys, "chip"), keys, "left")
     extra = F.when(F.col("chip") == "triple_captain", 2).otherwise(1)
     points = F.coalesce(F.col("__cap"), F.col("__vice"), F.lit(0)) * extra
     return sides.select(*keys, points.alias("captain_points"), F.col("__cap").isNull().alias("captain_failover"))
@@ -289,8 +290,8 @@ def auto_subs(squads: DataFrame, facts: DataFrame, keys: Sequence[str], period:
     final = packed.select(*keys, F.explode(F.aggregate("__bench", F.col("__lineup"), step)).alias("__x"))
     final = final.select(*keys, F.col("__x.slot").alias("slot"), F.col("__x.out_slot").alias("__out"))
     names = squads.select(*keys, F.col("slot").alias("__out"), F.col(item).alias("for_element"))
-    final = final.join(names, [*keys, "__out"], "left").withColumn("__now", F.lit(True)).drop("__out")
-    out = squads.join(final, [*keys, "slot"], "left")
+    final = grown_join(final, names, [*keys, "__out"], "left").withColumn("__now", F.lit(True)).drop("__out")
+    out = grown_join(squads, final, [*keys, "slot"], "left")
     inside = F.coalesce("__now", F.lit(False))
     was_bench = F.when(~inside, F.col("bench_order"))
     return out.withColumns({"in_lineup": inside, "bench_order": was_bench}).drop("__now")
@@ -306,7 +307,8 @@ def gameweek_score(
     """
     base = squad_points(squads, facts, keys, period, item)
     cap = captain_bonus(squads, facts, chips, keys, period, item)
-    out = base.join(cap, list(keys)).join(chips.select(*keys, "chip"), list(keys), "left").join(ledger, list(keys), "left")
+    out = grown_join(grown_join(base, cap, keys), chips.select(*keys, "chip"), keys, "left")
+    out = grown_join(out, ledger, keys, "left")
     boost = F.when(F.col("chip") == "bench_boost", F.col("bench_points")).otherwise(0)
     out = out.withColumn("hit", F.coalesce("hit", F.lit(0)))
     out = out.withColumn("gw_points", F.col("lineup_points") + F.col("captain_points") + boost)
@@ -382,8 +384,9 @@ def audit_transfers(
         period, F.col(item).alias("element_in"), F.col("price"), F.col("position").alias("in_pos"), F.col("team").alias("in_team")
     )
     before = players.select((F.col(period) + 1).alias(period), F.col(item).alias("element_in"), F.col("price").alias("__before"))
-    t = ledger.join(sold, [*keys, "element_out"], "left").join(bought, [period, "element_in"], "left").join(bank, keys, "left")
-    t = t.join(before, [period, "element_in"], "left").withColumn("price", F.coalesce("price", "__before"))
+    t = grown_join(ledger, sold, [*keys, "element_out"], "left")
+    t = grown_join(grown_join(t, bought, [period, "element_in"], "left"), bank, keys, "left")
+    t = grown_join(t, before, [period, "element_in"], "left").withColumn("price", F.coalesce("price", "__before"))
     cash = F.coalesce("sell_price", F.lit(0)) - F.coalesce("price", F.lit(0))
     w = Window.partitionBy(*keys).orderBy(F.col("__cash").desc(), F.col("element_out"), F.col("element_in"))
     t = t.withColumn("__cash", cash)
@@ -398,7 +401,7 @@ def audit_transfers(
     )
     moves = t.select(*keys, F.inline(F.array(
         F.struct(F.col("out_team").alias("team"), F.lit(-1).alias("d")), F.struct(F.col("in_team").alias("team"), F.lit(1).alias("d")))))
-    held = squads.join(ledger.select(*keys).distinct(), keys, "left_semi").select(*keys, "team", F.lit(1).alias("d"))
+    held = grown_join(squads, ledger.select(*keys).distinct(), keys, "left_semi").select(*keys, "team", F.lit(1).alias("d"))
     clubs = held.unionByName(moves).where("team is not null").groupBy(*keys, "team").agg(F.sum("d").alias("n"))
     most = clubs.groupBy(*keys).agg(F.max("n").alias("most"))
     checks = {
@@ -410,13 +413,13 @@ def audit_transfers(
         "composition": F.greatest(*[F.abs(f"d_{p}") for p in QUOTAS]) > 0,
         "club_limit": F.coalesce("most", F.lit(0)) > MAX_PER_CLUB,
     }
-    out = per_swap.join(most, keys, "left")
+    out = grown_join(per_swap, most, keys, "left")
     return out.select(*keys, F.col("n_out").alias("n_transfers"), "lowest_bank", _violations(checks).alias("violations"))
 
 
 def team_value(squads: DataFrame, prices: DataFrame, keys: Sequence[str], period: str, item: str = "element") -> DataFrame:
     """Sum of selling prices per squad and period, and its change from the period before."""
-    priced = squads.join(prices, [*keys, period, item])
+    priced = grown_join(squads, prices, [*keys, period, item])
     value = priced.groupBy(*keys, period).agg(F.sum(selling_price("purchase_price", "current_price")).alias("value"))
     return value.withColumn("value_change", F.col("value") - F.lag("value").over(Window.partitionBy(*keys).orderBy(period)))
 
@@ -425,7 +428,7 @@ def reward(
     net: DataFrame, value: DataFrame, averages: DataFrame, keys: Sequence[str], period: str, w_rel: float = 0.1, w_val: float = 0.05
 ) -> DataFrame:
     """Net points, plus a share of the lead over the period average and of the value gained (in tens)."""
-    df = spread_join(net.join(value, [*keys, period], "left"), averages, [period], keys, "left")
+    df = spread_join(grown_join(net, value, [*keys, period], "left"), averages, [period], keys, "left")
     relative = F.col("net") - F.coalesce("period_avg", F.lit(0.0))
     change = F.coalesce("value_change", F.lit(0)) / 10.0
     return df.withColumn("reward", F.col("net") + w_rel * relative + w_val * change)
@@ -446,7 +449,7 @@ def season_report(
     running = F.sum("net_points").over(
         Window.partitionBy(squad).orderBy(period).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    out = scores.join(shapes, keys).join(caps, keys, "left").join(listed, keys, "left")
+    out = grown_join(grown_join(grown_join(scores, shapes, keys), caps, keys, "left"), listed, keys, "left")
     return out.select(
         *keys, "formation", F.col("gw_points").alias("gross"), "hit", F.col("net_points").alias("net"),
         running.alias("cumulative"), "captain", F.coalesce("transfers", F.lit("")).alias("transfers"),
@@ -456,7 +459,7 @@ def season_report(
 def audit_free_hit(squads: DataFrame, chips: DataFrame, squad: str, period: str, item: str = "element") -> DataFrame:
     """For every free hit with a following period: how many members differ from the period before it."""
     used = chips.where(F.col("chip") == "free_hit").select(squad, F.col(period).alias("hit_period")).distinct()
-    rows = squads.select(squad, period, item).join(used, squad)
+    rows = grown_join(squads.select(squad, period, item), used, [squad])
     rows = rows.where(F.col(period).isin(F.col("hit_period") - 1, F.col("hit_period") + 1))
     side = rows.groupBy(squad, "hit_period", item).agg(
         F.max((F.col(period) < F.col("hit_period")).cast("int")).alias("before"),

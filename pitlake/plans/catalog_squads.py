@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import selling_price, transfer_hit
 from ..operators import squads as Q
+from ..operators.scale import grown_join
 from .binding import chips, panel, prices, squad_facts, squads, table, transfers
 from .registry import query
 
@@ -85,7 +86,7 @@ def i05b(spark, sf):
 
 def sells(spark, sf):
     s = squads(spark, sf)
-    return s.join(prices(s), ["squad_id", "gw", "element"]).withColumn("sell_price", selling_price("purchase_price", "current_price")).drop("current_price")
+    return grown_join(s, prices(s), ["squad_id", "gw", "element"]).withColumn("sell_price", selling_price("purchase_price", "current_price")).drop("current_price")
 
 
 def market(spark, sf):
@@ -166,7 +167,7 @@ def i10(spark, sf):
 
 def ledger(spark, sf):
     n = transfers(spark, sf).groupBy(*K).agg(F.count(F.lit(1)).alias("n"))
-    return n.join(one_chip(spark, sf), K, "left").join(bank(spark, sf), K).withColumn("hit", transfer_hit("n", "free", "chip").cast("bigint"))
+    return grown_join(grown_join(n, one_chip(spark, sf), K, "left"), bank(spark, sf), K).withColumn("hit", transfer_hit("n", "free", "chip").cast("bigint"))
 
 
 _HIT = f"""{_BANK}, hn as (select tr.squad_id, tr.gw, count(*) as n, any_value(chip) as chip, any_value(free) as free from tr left join ch on ch.squad_id = tr.squad_id and ch.gw = tr.gw
@@ -202,7 +203,8 @@ def i11b(spark, sf):
  select squad_id, gw, free::int as free, free_next from fl""")
 def i12(spark, sf):
     n = transfers(spark, sf).groupBy(*K).agg(F.count(F.lit(1)).alias("n"))
-    moves = squads(spark, sf).select(*K).distinct().join(n, K, "left").fillna(0, ["n"]).join(one_chip(spark, sf), K, "left")
+    moves = grown_join(squads(spark, sf).select(*K).distinct(), n, K, "left").fillna(0, ["n"])
+    moves = grown_join(moves, one_chip(spark, sf), K, "left")
     return Q.free_transfer_ledger(moves, "squad_id", "gw")
 
 

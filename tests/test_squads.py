@@ -147,3 +147,37 @@ def test_audit_squads(spark):
     df = spark.createDataFrame(good + crowded + no_captain + short, SCHEMA)
     got = {r.squad_id: r.violations for r in Q.audit_squads(df, bank, KEYS).collect()}
     assert got == {1: [], 2: ["club_limit"], 3: ["captain", "bank"], 4: ["size", "quota_FWD", "bench_size"]}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _grown(spark, path):
+    """Squads of twelve periods, made by an explode that the planner's estimate doesn't see."""
+    spark.createDataFrame(squad(1) + squad(2), SCHEMA).drop("gw").write.parquet(path)
+    one = spark.read.parquet(path)
+    return one.withColumn("gw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(12).cast("bigint"))))
+
+
+def test_squads_are_not_broadcast(spark, tmp_path):
+    s = _grown(spark, f"{tmp_path}/squads")
+    prices = s.selectExpr("squad_id", "gw", "element", "purchase_price + 4 as current_price")
+    facts = s.selectExpr("gw", "element", "slot as total_points", "slot - 1 as minutes", "0 as yellow_cards", "0 as red_cards").hint("merge")
+    bank = s.where("slot = 1").selectExpr("squad_id", "gw", "5 as bank")
+    sold = s.withColumn("sell_price", F.lit(50))
+    book = s.where("slot = 4").selectExpr("squad_id", "gw", "element as element_out", "element + 1 as element_in")
+    pool = s.selectExpr("gw", "element", "position", "team", "purchase_price as price")
+    for df in (Q.team_value(s, prices, ["squad_id"], "gw"), Q.auto_subs(s, facts, KEYS), Q.audit_squads(s, bank, KEYS),
+               Q.audit_transfers(book, sold, pool, bank, "squad_id", "gw", "element")):
+        assert "BroadcastExchange" not in _plan(df)
+
+
+def test_registered_prices_are_not_broadcast(spark, tmp_path):
+    from pitlake.plans.catalog import QUERIES
+
+    rows = [(i, f"p{i}", f"Brand#{i % 5}", "T", i % 50, 900.0 + i) for i in range(60)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    df = QUERIES["b17_selling_price"](spark, str(tmp_path))
+    assert "BroadcastExchange" not in _plan(df)
+    assert df.count() == 60 * 12
