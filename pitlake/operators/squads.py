@@ -53,7 +53,11 @@ def formations(squads: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def audit_squads(squads: DataFrame, bank: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Names of the rules each squad breaks; an unknown club is exempt from the club limit."""
+    """Names of the rules each squad breaks; an unknown club is exempt from the club limit.
+
+    Squads are shuffled before they are counted: a task that reads a whole file of squads holds no counts of them.
+    """
+    squads = squads.repartition(*keys)
     inside, pos = F.col("in_lineup"), F.col("position")
     per_club = squads.groupBy(*keys, "team").agg(
         F.count(F.lit(1)).alias("n"), _count(inside).alias("n_in"),

@@ -181,3 +181,10 @@ def test_registered_prices_are_not_broadcast(spark, tmp_path):
     df = QUERIES["b17_selling_price"](spark, str(tmp_path))
     assert "BroadcastExchange" not in _plan(df)
     assert df.count() == 60 * 12
+
+
+def test_audit_counts_squads_after_their_shuffle(spark, tmp_path):
+    s = _grown(spark, f"{tmp_path}/squads")
+    out = Q.audit_squads(s, s.where("slot = 1").selectExpr("squad_id", "gw", "5 as bank"), KEYS)
+    assert "HashAggregate" not in _plan(out).split("REPARTITION_BY_COL", 1)[1]
+    assert out.count() == 24
