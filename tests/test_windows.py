@@ -215,3 +215,18 @@ def test_time_window_counts_only_earlier_periods(spark):
     cut = cut.selectExpr("season", "gw", "cast(d as timestamp) cutoff")
     out = W.time_window_mean(df, cut, ["season"], "e", "gw", "ts", "v", 30)
     assert {r.gw: (r.window_mean, r.n_rows) for r in out.collect()} == {2: (4.0, 1), 3: (8.0, 1), 4: (53.0, 2)}
+
+
+def test_vector_carries_only_what_slots_read(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from pitlake.operators import features as X
+
+    rows = [(1, 1, g, "GK", 10 * g, 7 * g, "x") for g in (1, 2, 3)]
+    spark.createDataFrame(rows, "season long, element long, gw long, position string, value long, points long, ballast string").write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    past = {"form": lambda w: F.avg("points").over(w.rangeBetween(-5, -1))}
+    slots = [X.Slot("pre", "value"), X.Slot("post", "points"), X.Slot("past", "form")]
+    out = X.point_in_time_vector(df, df, df, ["season"], "element", "gw", "position", slots, past)
+    assert "ballast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.gw: r.features for r in out.collect()} == {1: [10.0, 0.0, 0.0], 2: [20.0, 7.0, 7.0], 3: [30.0, 14.0, 10.5]}
