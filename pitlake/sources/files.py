@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.scale import running
-from ..session import materialise
+from ..session import materialise, release
 
 EXTRA = "_extra"
 FILE = "_file"
@@ -67,8 +67,10 @@ def read_csv_safe(spark: SparkSession, paths: str | Sequence[str], schema: Struc
     """
     raw = spark.read.text(paths).select(
         "value", F.col("_metadata.file_path").alias(FILE), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("__at"))
-    # places depend on how the files were split, so they are written once
-    raw = _records(materialise(raw, "csv-lines"))
+    # places depend on how the files were split, so they are written once; so are the records, which headers, width and fields are read from
+    lines = materialise(raw, "csv-lines")
+    raw = materialise(_records(lines), "csv-records")
+    release(lines)
     per_file = raw.groupBy(FILE).agg(F.bool_and(F.is_valid_utf8("value")).alias("__utf8"), F.min_by("value", "__at").alias("__first"), F.min("__at").alias("__head"))
     decoded = lambda c: F.when(F.col("__utf8"), F.col(c)).otherwise(F.decode(F.col(c).cast("binary"), "ISO-8859-1"))
     heads = per_file.withColumn("__first", F.regexp_replace(decoded("__first"), "[\ufeff\r]", ""))

@@ -93,3 +93,14 @@ def test_find_col():
     assert files.find_col(cols, "player") == cols[0]
     assert files.find_col(cols, "sot", "/90") == cols[2]
     assert files.find_col(cols, "blocks") is None
+
+
+def test_csv_records_are_put_together_once(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    from pitlake.sources.files import read_csv_safe
+
+    (tmp_path / "a.csv").write_text('id,note\n1,"one\ntwo"\n2,three\n')
+    out = read_csv_safe(spark, str(tmp_path), StructType.fromDDL("id int, note string"))
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(1, "one\ntwo"), (2, "three")]
