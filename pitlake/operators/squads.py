@@ -152,36 +152,53 @@ def build_pool(
     return pool.fillna(0.0, ["xp"]).drop("points")
 
 
+def _asks(squads: DataFrame, ledger: DataFrame, keys: list[str], item: str, xp: str) -> DataFrame:
+    """One row per slot with what it may spend, the squad's members, and its clubs of at least three (``__crowded``) and four (``__over``).
+
+    A squad's fifteen rows are packed into arrays once, so candidates are judged beside the slot and need no join.
+    """
+    # shuffled before they are packed: no task holds parts of all squads
+    rows = squads.repartition(*keys).groupBy(*keys).agg(
+        F.collect_list(F.struct("position", "slot", F.col("team").alias("out_team"), F.col(xp).alias("out_xp"), "sell_price")).alias("__slots"),
+        F.collect_list(item).alias("__owned"), F.sort_array(F.collect_list("team")).alias("__clubs"))
+    # sorted clubs: one that meets itself ``n - 1`` places further has at least ``n`` members
+    at_least = lambda n: F.array_distinct(F.filter("__clubs", lambda t, i: t == F.get("__clubs", i + (n - 1))))
+    rows = rows.withColumns({"__crowded": at_least(MAX_PER_CLUB), "__over": at_least(MAX_PER_CLUB + 1)})
+    rows = grown_join(rows.drop("__clubs"), ledger.select(*keys, "bank", "free"), keys)
+    out = rows.select(*keys, "bank", "free", "__owned", "__crowded", "__over", F.inline("__slots"))
+    return out.withColumn("__budget", F.col("bank") + F.col("sell_price")).drop("bank", "sell_price")
+
+
 def _best_incoming(squads: DataFrame, pool: DataFrame, ledger: DataFrame, keys: list[str], period: str, item: str, xp: str, first_look: int) -> DataFrame:
     """For each slot of each squad the best ``in_xp`` of a non-member that is affordable and within the club limit.
 
     A pool is looked at from the best value down: the first legal candidate is the answer. Slots that
     find none among the ``first_look`` best of their position look eight times deeper, and so on to
-    the end of the pool; slots that cannot pay its cheapest member drop out at once.
+    the end of the pool, past candidates that none of them can pay; slots that cannot pay its cheapest member drop out at once.
     """
     spare = sum(QUOTAS.values())
-    owned = squads.select(*keys, F.col(item).alias("in_item"))
-    clubs = squads.groupBy(*keys, F.col("team").alias("in_team")).agg(F.count(F.lit(1)).alias("__in_club"))
-    out = squads.select(*keys, "position", "slot", F.col("team").alias("out_team"), F.col(xp).alias("out_xp"), "sell_price")
-    out = grown_join(out, ledger, keys)
-    floor = pool.groupBy(period, "position").agg(F.min("price").alias("__least"), F.count(F.lit(1)).alias("__members"))
+    group = [period, "position"]
+    pool = pool.select(*group, F.col(item).alias("in_item"), F.col("team").alias("in_team"), "price", F.col(xp).alias("in_xp"))
+    # a pool may come from a small file that grows in one task
+    pool = materialise(pool.repartition(*group, "in_item"), "transfers")
+    floor = materialise(pool.groupBy(*group).agg(F.min("price").alias("__least"), F.count(F.lit(1)).alias("__members")), "transfers")
     depth = floor.agg(F.max("__members")).first()[0] or 0
-    open_ = out.join(floor.drop("__members"), [period, "position"]).where(F.col("__least") <= F.col("bank") + F.col("sell_price")).drop("__least")
-    freed = F.when(F.col("in_team").eqNullSafe(F.col("out_team")), 1).otherwise(0)
-    legal = F.col("in_team").isNull() | (F.coalesce("__in_club", F.lit(0)) - freed < MAX_PER_CLUB)
+    asks = _asks(squads, ledger, keys, item, xp)
+    open_ = materialise(spread_join(asks, floor.drop("__members"), group, [keys[0]]).where(F.col("__least") <= F.col("__budget")).drop("__least"), "transfers")
+    has = lambda array, value: F.coalesce(F.array_contains(array, F.col(value)), F.lit(False))
+    full = has("__crowded", "in_team") & ~(F.col("in_team").eqNullSafe(F.col("out_team")) & ~has("__over", "in_team"))
     found, look = None, first_look
     while True:
-        short = top_rows(pool, [period, "position"], [F.col(xp).desc(), F.col(item)], look + spare, "__place").select(
-            period, "position", F.col(item).alias("in_item"), F.col("team").alias("in_team"), "price", F.col(xp).alias("in_xp"))
-        wanted = spread_join(open_.select(*keys, "position").distinct(), short, [period, "position"], [keys[0]])
-        wanted = grown_join(wanted, owned, [*keys, "in_item"], "left_anti")
-        swaps = grown_join(open_, wanted, [*keys, "position"]).where(F.col("price") <= F.col("bank") + F.col("sell_price"))
-        swaps = grown_join(swaps, clubs, [*keys, "in_team"], "left")
-        best = swaps.where(legal).groupBy(*keys, "slot", "position", "out_xp", "free").agg(F.max("in_xp").alias("in_xp"))
-        if look >= depth:
-            return best if found is None else found.unionByName(best)
+        # what no open slot can pay is no candidate
+        most = materialise(open_.groupBy(*group).agg(F.max("__budget").alias("__most")), "transfers")
+        within = spread_join(pool, most, group, ["in_item"]).where(F.col("price") <= F.col("__most")).drop("__most")
+        short = materialise(top_rows(within, group, [F.col("in_xp").desc(), F.col("in_item")], look + spare, "__place").drop("__place"), "transfers")
+        swaps = spread_join(open_, short, group, [keys[0]]).where((F.col("price") <= F.col("__budget")) & ~has("__owned", "in_item") & ~full)
+        best = swaps.groupBy(*keys, "slot", "position", "out_xp", "free").agg(F.max("in_xp").alias("in_xp"))
         best = materialise(best, "transfers")
         found = best if found is None else found.unionByName(best)
+        if look >= depth:
+            return found
         open_ = materialise(grown_join(open_, best.select(*keys, "slot"), [*keys, "slot"], "left_anti"), "transfers")
         if open_.isEmpty():
             return found

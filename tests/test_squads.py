@@ -73,6 +73,22 @@ def test_gain_behind_many_dearer_players(spark):
     assert (r.before, r.objective) == (12, 70)
 
 
+def test_candidates_are_judged_beside_the_slot(spark, monkeypatch):
+    """No join of squads times candidates with the members or clubs; a club of four stays full when one leaves."""
+    joins = []
+    plain = Q.grown_join
+    monkeypatch.setattr(Q, "grown_join", lambda a, b, on, *how: joins.append(list(on)) or plain(a, b, on, *how))
+    rows = squad(0, [1] * 15, lambda s: 7 if s <= 3 else 8 if 5 < s <= 9 else s) + squad(1, [1] * 15, lambda s: 7 if s <= 3 else s + 20)
+    pool = [(1, 5000, "GK", 7, 50, 5), (1, 5001, "DEF", 7, 50, 9), (1, 5002, "MID", 8, 50, 20), (1, None, "FWD", None, 50, 2), (1, 5003, "FWD", 4, None, 99)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("sell_price", F.lit(50))
+    market = spark.createDataFrame(pool, "gw long, element long, position string, team long, price long, xp long")
+    ledger = spark.createDataFrame([(0, 1, 0, 1), (1, 1, 0, 1)], "squad_id long, gw long, bank long, free long")
+    best = Q._best_incoming(df, market, ledger, KEYS, "gw", "element", "xp", 2).collect()
+    assert {(r.squad_id, r.slot, r.in_xp) for r in best} == {
+        *[(s, slot, 5) for s in (0, 1) for slot in (1, 2)], *[(s, 3, 9) for s in (0, 1)], *[(1, slot, 20) for slot in range(8, 13)], *[(s, slot, 2) for s in (0, 1) for slot in (13, 14, 15)]}
+    assert not any("in_item" in on or "in_team" in on for on in joins)
+
+
 def twin_subs(pdf: pd.DataFrame) -> pd.DataFrame:
     lineup = pdf[pdf.in_lineup].sort_values("slot")[["slot", "position", "played"]].values.tolist()
     opened = [not x[2] for x in lineup]
