@@ -98,3 +98,22 @@ def test_named_sides_take_own_list_then_master_list(spark):
     key = lambda r: tuple(-1 if v is None else v for v in r)
     assert sorted(map(key, out.collect())) == sorted([(1, 7, -1), (2, 4, 6), (2, 6, 4), (2, 6, 4), (3, -1, -1), (2, -1, 6)])
     assert out.columns == ["season", "home", "away"]
+
+
+def test_full_names_are_joined_once(spark):
+    """Full names before short ones, the last and the first person of a name; one join, by a key of fixed size."""
+    people = spark.createDataFrame(
+        [(1, 10, "Ana Lima", "Lima"), (2, 20, "ANA  Lima", "Ana"), (3, 30, None, "Lima"), (4, 40, "Lima", None), (5, None, "Rui", "Rui")], "code long, ord long, full string, web string")
+    probes = spark.createDataFrame([(1, "ana lima"), (2, "Lima"), (3, "Aná"), (4, None), (5, "nobody"), (6, "Rui")], "id long, name string")
+    out = J.match_full_name(probes, "name", people, "code", "ord", "full", "web")
+    assert {(r.id, r.norm, r.code) for r in out.collect()} == {(1, "ana lima", 2), (2, "lima", 4), (3, "ana", 2), (4, None, None), (5, "nobody", None), (6, "rui", None)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
+def test_texts_are_cut_into_tasks(spark):
+    texts = spark.createDataFrame([(i, "abc " * 50 + str(i)) for i in range(60)] + [(99, None)], "id long, text string").coalesce(1)
+    probes = spark.createDataFrame([("c 1",), ("c 59",), ("zzz",)], "probe string")
+    out = J.contains_lookup(texts, "text", probes, "probe", task_chars=500)
+    assert {(r.id, r.probe) for r in out.collect()} == {(59, "c 59"), (1, "c 1"), *[(i, "c 1") for i in range(10, 20)]}
+    assert "RoundRobinPartitioning(25)" in out._jdf.queryExecution().executedPlan().toString()
