@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,6 +36,23 @@ def _strip_marks(names: pd.Series) -> pd.Series:
     return names.map(_stripped, na_action="ignore")
 
 
+# The white space of regular expressions, and what else may end a line.
+_SPACES, _LINE_ENDS = " \t\n\x0b\f\r", "\x85\u2028\u2029"
+
+
+def single_spaced(col: Column | str) -> Column:
+    """Each run of white space as one space; a plain search leaves the values alone that have none to change."""
+    c = col_of(col)
+    odd = reduce(or_, [c.contains(x) for x in ("  ", *_SPACES[1:])])
+    return F.when(odd, F.regexp_replace(c, r"\s+", " ")).otherwise(c)
+
+
+def trimmed(col: Column | str) -> Column:
+    """Without white space at either end; values that have none there stay as they are."""
+    c = col_of(col)
+    return F.when(F.btrim(c, F.lit(_SPACES + _LINE_ENDS)) != c, F.regexp_replace(c, r"^\s+|\s+$", "")).otherwise(c)
+
+
 def normalise_name(col: Column | str) -> Column:
     """Compatibility-decompose, drop combining marks, lower-case, collapse white space.
 
@@ -41,5 +60,5 @@ def normalise_name(col: Column | str) -> Column:
     through it as NULL, which costs next to nothing, and the rest stays in generated code.
     """
     c = col_of(col)
-    plain = F.coalesce(_strip_marks(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
-    return F.trim(F.regexp_replace(F.lower(plain), r"\s+", " "))
+    plain = F.coalesce(_strip_marks(F.when(F.octet_length(c) > F.length(c), c)), c)
+    return F.trim(single_spaced(F.lower(plain)))
