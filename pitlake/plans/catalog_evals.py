@@ -10,8 +10,8 @@ from ..operators import folds as G
 from ..operators import setops as S
 from ..operators import windows as W
 from ..operators.joins import scaffold
-from .binding import panel, panel_agg, table
-from .catalog_scalars import _FORM_SQL, _GRID_SQL, expected, grid
+from .binding import panel, panel_agg, table, written_panel
+from .catalog_scalars import _FORM_SQL, _GRID_SQL, EXPECTED_COLS, expected, grid
 from .registry import query
 
 KEYS = ["season", "element", "gw"]
@@ -178,8 +178,9 @@ _XP_SQL = "xq as (select season, element, gw, avg(xp) as xp, sum(total_points)::
   count(*) filter (where xp = 0 and ep > 0) as false_positive, count(*) filter (where xp = 0) as n_zero
  from ep join xz on xz.season = ep.season and xz.element = ep.element and xz.gw = ep.gw group by ep.season""")
 def h06(spark, sf):
-    xz = panel(spark, sf).groupBy(*KEYS).agg(F.sum(F.when(F.col("minutes") > 0, F.col("bonus")).otherwise(0)).alias("xp"))
-    return H.zero_confusion(expected(spark, sf).join(xz, KEYS), "xp", "ep", ["season"])
+    pg = written_panel(spark, sf, [*EXPECTED_COLS, "bonus"])
+    xz = pg.groupBy(*KEYS).agg(F.sum(F.when(F.col("minutes") > 0, F.col("bonus")).otherwise(0)).alias("xp"))
+    return H.zero_confusion(expected(spark, sf, pg).join(xz, KEYS), "xp", "ep", ["season"])
 
 
 def _board_sql(corr_digits: int = 6) -> str:
