@@ -33,7 +33,7 @@ def a01_breaks(spark, sf):
         """case l_linenumber % 3 when 0 then 'one\\n""two"", three\\n' when 1 then concat(l_returnflag, ', x') else l_linestatus end as note""")
     path = scratch_dir(spark, "csv-breaks")
     lines = t.select(F.concat_ws(",", "l_orderkey", F.concat(F.lit('"'), "note", F.lit('"')), "l_linenumber", "l_quantity").alias("value"))
-    lines.repartition(5).mapInArrow(_with_header("l_orderkey,note,l_linenumber,l_quantity"), "value string").write.text(path)
+    lines.mapInArrow(_with_header("l_orderkey,note,l_linenumber,l_quantity"), "value string").write.text(path)
     return S.read_csv_safe(spark, path, StructType.fromDDL("l_orderkey bigint, l_linenumber int, note string, l_quantity double"))
 
 

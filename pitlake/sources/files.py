@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.scale import running
-from ..session import materialise, release
+from ..session import materialise
 
 EXTRA = "_extra"
 FILE = "_file"
+START = "_start"
 
 
 def parse_csv_lines(df: DataFrame, line: str, schema: StructType, keep: Sequence[str] = ()) -> DataFrame:
@@ -37,22 +40,79 @@ def _fields(line: Column, width: int) -> Column:
 
 
 def _records(raw: DataFrame) -> DataFrame:
-    """Lines put together to records where a quoted field goes over line breaks: ``value``, file and place.
+    """Lines put together to records where a quoted field goes over line breaks: ``value``, file and place (split and line), written once.
 
-    The number of quotes before a line, a running sum over its file, tells whether the line begins a
-    record; the number of beginnings so far names the record. Only files that have a line with an odd number of
+    The number of quotes before a line tells whether it begins a record. They are counted split by split first; a second pass
+    over the text knows what came before each split, joins lines inside it, and leaves only pieces of records that go over
+    a split's end to be put together. Only files that have a line with an odd number of
     quotes take part. Where a file's quotes don't balance, one of them is stray, and its lines stay records.
     """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    lines = raw.withColumn("__q", quotes.cast("long"))
-    kind = lines.groupBy(F.col(FILE).alias("__f")).agg((F.max(F.col("__q") % 2) == 1).alias("__odd"), (F.sum("__q") % 2 == 0).alias("__even"))
-    marked = lines.join(kind, F.col(FILE) == F.col("__f")).drop("__f").withColumn("__joined", F.col("__odd") & F.col("__even"))
-    broken = running(marked.where("__joined"), [FILE], "__at", {"__before": ("__q", "sum")}, inclusive=False)
-    begins = broken.withColumn("__begins", (F.coalesce("__before", F.lit(0)) % 2 == 0).cast("long"))
-    numbered = running(begins, [FILE], "__at", {"__record": ("__begins", "sum")})
-    whole = numbered.groupBy(FILE, "__record").agg(F.array_sort(F.collect_list(F.struct("__at", "value"))).alias("__lines"))
-    joined = whole.select(F.array_join(F.transform("__lines", lambda x: x["value"]), "\n").alias("value"), FILE, F.col("__lines")[0]["__at"].alias("__at"))
-    return marked.where(~F.col("__joined")).select("value", FILE, "__at").unionByName(joined)
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    counted = raw.withColumn("__q", quotes.cast("long")).groupBy(FILE, START).agg(F.sum("__q").alias("__q"), F.max(F.col("__q") % 2).alias("__odd"))
+    file = Window.partitionBy(FILE)
+    before = F.coalesce(F.sum("__q").over(file.orderBy(START).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
+    splits = counted.select(FILE, START, before.alias("__before"), ((F.max("__odd").over(file) == 1) & (F.sum("__q").over(file) % 2 == 0)).alias("__joined"))
+    joined = {(r[0], r[1]): r[2] for r in splits.where("__joined").collect()}  # one row a split, as Spark's own list of them
+    if not joined:
+        return materialise(raw.withColumn("__line", F.monotonically_increasing_id()), "csv-records")
+    places = f"`{FILE}` string, `{START}` long, __line long"
+    pieces = raw.select(F.col("value").cast("binary").alias("value"), FILE, START).mapInArrow(_joiner(joined), f"value binary, {places}, __goes_on boolean, __open boolean")
+    pieces = materialise(pieces.withColumn("value", F.col("value").cast("string")), "csv-records")
+    cut = pieces.where("__goes_on or __open")
+    numbered = cut.withColumn("__record", F.sum((~F.col("__goes_on")).cast("long")).over(Window.partitionBy(FILE).orderBy(START, "__line")))
+    whole = numbered.groupBy(FILE, "__record").agg(F.array_sort(F.collect_list(F.struct(START, "__line", "value"))).alias("__p"))
+    whole = whole.select(F.array_join(F.transform("__p", lambda x: x["value"]), "\n").alias("value"), FILE, F.col("__p")[0][START].alias(START), F.col("__p")[0]["__line"].alias("__line"))
+    return pieces.where("not __goes_on and not __open").select("value", FILE, START, "__line").unionByName(materialise(whole, "csv-cut"))
+
+
+def _joiner(joined: dict[tuple[str, int], int]):
+    """Lines, in the order of their splits, to records; a split's first piece may go on with a record of the split before, its last may stay open."""
+    names = ["value", FILE, START, "__line", "__goes_on", "__open"]
+
+    def emit(values: pa.Array, begins: np.ndarray, split: tuple[str, int], line: int, goes_on: bool, is_open: bool) -> pa.RecordBatch:
+        n = len(begins)
+        lists = pa.ListArray.from_arrays(pa.array([*begins, len(values)], pa.int32()), values)
+        flag = lambda at, on: pa.array(np.arange(n) == (at if on else -1))
+        return pa.RecordBatch.from_arrays(
+            [pc.binary_join(lists, pa.scalar(b"\n", pa.binary())), pa.repeat(split[0], n), pa.repeat(pa.scalar(split[1], pa.int64()), n),
+             pa.array(begins + line, pa.int64()), flag(0, goes_on), flag(n - 1, is_open)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, waiting, line, quotes, goes_on = None, None, 0, 0, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ends = {e for c in (1, 2) for e in pc.run_end_encode(batch.column(c)).run_ends.to_pylist()}
+            start = 0
+            for end in sorted(ends):
+                values, here = batch.column(0).slice(start, end - start), (batch.column(1)[start].as_py(), batch.column(2)[start].as_py())
+                start = end
+                if here != split:
+                    if waiting is not None:
+                        yield emit(waiting, np.zeros(1, np.int64), split, line, goes_on, quotes % 2 == 1)
+                    split, waiting, line, quotes = here, None, 0, joined.get(here, 0)
+                    goes_on = quotes % 2 == 1
+                if here not in joined:
+                    yield emit(values, np.arange(len(values)), here, line, False, False)
+                    line += len(values)
+                    continue
+                n = pc.count_substring(values, '"').to_numpy(zero_copy_only=False).astype(np.int64)
+                begin = (quotes + np.cumsum(n) - n) % 2 == 0
+                quotes += int(n.sum())
+                if waiting is None:
+                    begin[0] = True  # the split's first piece
+                else:
+                    values, begin = pa.concat_arrays([waiting, values]), np.concatenate([np.arange(len(waiting)) == 0, begin])
+                begins = np.flatnonzero(begin)
+                last = int(begins[-1])  # whether that record is whole is not known yet
+                if last:
+                    yield emit(values.slice(0, last), begins[:-1], here, line, goes_on, False)
+                    goes_on = False
+                waiting, line = values.slice(last), line + last
+        if waiting is not None:
+            yield emit(waiting, np.zeros(1, np.int64), split, line, goes_on, quotes % 2 == 1)
+
+    return run
 
 
 def read_csv_safe(spark: SparkSession, paths: str | Sequence[str], schema: StructType) -> DataFrame:
@@ -65,22 +125,22 @@ def read_csv_safe(spark: SparkSession, paths: str | Sequence[str], schema: Struc
     name; only the largest number of columns is read on the driver. Quoted fields may hold line breaks,
     except in files whose quotes don't balance. Repeated header names give the first column of that name.
     """
-    raw = spark.read.text(paths).select(
-        "value", F.col("_metadata.file_path").alias(FILE), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("__at"))
-    # places depend on how the files were split, so they are written once; so are the records, which headers, width and fields are read from
-    lines = materialise(raw, "csv-lines")
-    raw = materialise(_records(lines), "csv-records")
-    release(lines)
-    per_file = raw.groupBy(FILE).agg(F.bool_and(F.is_valid_utf8("value")).alias("__utf8"), F.min_by("value", "__at").alias("__first"), F.min("__at").alias("__head"))
+    raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.file_block_start").alias(START))
+    # headers, width and fields are read from the records; the tables of one row a file are written, so that the planner knows their size
+    raw = _records(raw)
+    per_file = raw.groupBy(FILE).agg(F.bool_and(F.is_valid_utf8("value")).alias("__utf8"), F.min(F.when(F.col(START) == 0, F.col("__line"))).alias("__head"))
     decoded = lambda c: F.when(F.col("__utf8"), F.col(c)).otherwise(F.decode(F.col(c).cast("binary"), "ISO-8859-1"))
-    heads = per_file.withColumn("__first", F.regexp_replace(decoded("__first"), "[\ufeff\r]", ""))
+    firsts = raw.where(F.col(START) == 0).join(materialise(per_file, "csv-files"), FILE).where(F.col("__line") == F.col("__head"))
+    heads = materialise(firsts.select(FILE, "__utf8", "__head", F.regexp_replace(decoded("value"), "[\ufeff\r]", "").alias("__first")), "csv-heads")
     widest = heads.agg(F.max(F.length(F.regexp_replace("__first", "[^,]", "")))).first()[0]
     width = max(len(schema.fields), (widest or 0) + 1) + 1
     heads = heads.withColumn("__names", F.transform(_fields(F.col("__first"), width), lambda x: F.trim(x)))
     # fields of a line beyond the file's own last named column make it too long
     heads = heads.withColumn("__n", F.size(F.filter("__names", lambda x: x.isNotNull()))).select(FILE, "__utf8", "__head", "__names", "__n")
-    lines = raw.join(heads, FILE).where(F.col("__at") != F.col("__head")).withColumn("__line", F.regexp_replace(decoded("value"), "\r$", ""))
-    parsed = lines.where(F.trim("__line") != "").withColumn("__f", _fields(F.col("__line"), width))
+    is_head = (F.col(START) == 0) & (F.col("__line") == F.col("__head"))
+    lines = raw.join(heads, FILE).where(~is_head).withColumn("__line", F.regexp_replace(decoded("value"), "\r$", ""))
+    # exploded, as a filter on the fields would read them again
+    parsed = lines.where(F.trim("__line") != "").select("__names", "__n", F.explode(F.array(_fields(F.col("__line"), width))).alias("__f"))
     fits = parsed.where(~F.exists(F.slice("__f", F.col("__n") + 1, F.lit(width)), lambda x: x.isNotNull()))
     field = lambda name: F.get(F.col("__f"), F.array_position("__names", F.lit(name)).cast("int") - 1)
     return fits.select(*[field(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])

@@ -70,3 +70,28 @@ def test_vector_of_absent_periods_falls_back_by_one(spark):
     assert got[7, 3] == [1, 6, 0.5, 6]  # absent: the fields of period 2
     assert got[7, 4] == [1, 0, 0, 6] and got[7, 5] == [1, 7, 0, 6] and got[7, 6] == [1, 7, 1, pytest.approx(14 / 3)]
     assert got[8, 1] == [0, 0, 0, 0] and got[8, 5] == [0, pytest.approx(0.1), pytest.approx(1 / 90), 1] and len(got) == 12
+
+
+def test_records_go_over_the_ends_of_splits(spark, tmp_path):
+    """Line breaks in quoted fields of files that are read in splits of a few bytes: no text is shuffled, all records come back."""
+    want, text = {}, ["id,name,n"]
+    for i in range(60):
+        name = ["plain", "two\nlines", 'a "quoted"\n\nword, with a comma', "x" * 90 + "\n" + "y\n" * 40, "é\nè", "\n"][i * 7 % 6]
+        want[i] = (name, i * 3)
+        text.append(f'{i},"{name.replace(chr(34), chr(34) * 2)}",{i * 3}')
+    (tmp_path / "a.csv").write_text("\n".join(text) + "\n", encoding="utf-8")
+    (tmp_path / "stray.csv").write_text('id,name,n\n9000,"open,1\n9001,fine,2\n', encoding="utf-8")
+    (tmp_path / "plain.csv").write_text("id,name,n\n8000,fine,2\n", encoding="utf-8")
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+    old = [spark.conf.get(x) for x in names]
+    try:
+        for size in ("90", "1000000"):
+            for x in names:
+                spark.conf.set(x, size)
+            rows = S.read_csv_safe(spark, str(tmp_path), StructType.fromDDL("id long, name string, n int")).collect()
+            got = {r.id: (r.name, r.n) for r in rows}
+            assert {k: got[k] for k in want} == want and got[8000] == ("fine", 2) and got[9001] == ("fine", 2)
+            assert len(rows) == len(want) + 3
+    finally:
+        for x, value in zip(names, old):
+            spark.conf.set(x, value)
